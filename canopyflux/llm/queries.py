@@ -8,13 +8,21 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
 from .exact_dedup import exact_copies
+from .quality import judge
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_copies(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op2_exact_dedup": op2_exact_dedup}
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge(table(spark, sf_dir, "documents")).drop("rejected_by")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_exact_dedup": op2_exact_dedup,
+    "op9_quality_rules": op9_quality_rules,
+}
 
 _SQUEEZED = r"regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')"
 
@@ -24,4 +32,22 @@ ORACLE_SQL: dict[str, str] = {
              w AS (SELECT doc_id, content, count(*) OVER (PARTITION BY content) AS group_size,
                           first_value(doc_id) OVER (PARTITION BY content ORDER BY n DESC, doc_id) AS keep_id FROM t)
         SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(content) AS text_sha256 FROM w""",
+    "op9_quality_rules": r"""
+        WITH w AS (SELECT doc_id, coalesce(text, '') AS s,
+                          list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+             g AS (SELECT doc_id, i, array_to_string(ws[i:i + 4], ' ') AS k FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 3)) AS i FROM w)),
+             r AS (SELECT doc_id, i FROM g QUALIFY count(*) OVER (PARTITION BY doc_id, k) > 1),
+             c AS (SELECT doc_id, count(DISTINCT i + j) AS n FROM r, range(5) AS q(j) GROUP BY doc_id),
+             m AS (SELECT doc_id, len(ws) AS n_words, length(regexp_replace(s, '[\x20\x09-\x0D]', '', 'g')) AS word_chars,
+                          length(regexp_replace(s, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+                          len(list_filter(string_split(s, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')))
+                            - len(list_distinct(list_filter(string_split(s, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')))) AS n_dup_lines,
+                          coalesce(c.n, 0) AS n_repeat_words,
+                          length(regexp_replace(s, '[^A-Z]', '', 'g')) AS upper, length(regexp_replace(s, '[^A-Za-z]', '', 'g')) AS letters,
+                          len(list_filter(range(2, len(ws) + 1), lambda i: ws[i] = ws[i - 1])) AS echoes
+                   FROM w LEFT JOIN c USING (doc_id)),
+             b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM m)
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+               NOT (base_failed OR n_symbols / n_words > 0.3 OR coalesce(upper / nullif(letters, 0), 0) > 0.6 OR echoes / n_words > 0.3) AS kept
+        FROM b""",
 }
