@@ -12,6 +12,7 @@ from .packing import pack_documents
 from .pii import find_personal_data
 from .quality import judge
 from .simhash import near_duplicates
+from .warc import archive_round_trip
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,6 +27,10 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_personal_data(table(spark, sf_dir, "documents"))
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive_round_trip(table(spark, sf_dir, "pages"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "documents")).drop("rejected_by")
 
@@ -38,6 +43,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_exact_dedup": op2_exact_dedup,
     "op6_simhash_near_dedup": op6_simhash_near_dedup,
     "op7_pii": op7_pii,
+    "op8_warc": op8_warc,
     "op9_quality_rules": op9_quality_rules,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
@@ -45,6 +51,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 _SQUEEZED = r"regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')"
 
 ORACLE_SQL: dict[str, str] = {
+    "op8_warc": r"""
+        WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+             k AS (SELECT page_id, html, max(page_id) OVER (PARTITION BY html) AS first, sha1(html) AS h FROM p),
+             b AS (SELECT page_id, list_reduce(list_transform(range(1, 41), lambda i: lpad(bin(instr('0123456789abcdef', h[i]) - 1), 4, '0')), lambda x, y: x || y) AS bits FROM k),
+             d AS (SELECT page_id, list_reduce(list_transform(range(0, 32), lambda i:
+                     substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + list_reduce(list_transform(range(1, 6), lambda j: substr(bits, 5 * i + j, 1)::INTEGER), lambda x, y: 2 * x + y), 1)), lambda x, y: x || y) AS digest FROM b)
+        SELECT page_id, strlen(html) AS payload_bytes, digest AS payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN page_id <> first THEN first END AS refers_to
+        FROM k JOIN d USING (page_id)""",
     "op2_exact_dedup": f"""
         WITH t AS (SELECT doc_id, length(coalesce(text, '')) AS n, {_SQUEEZED} AS content FROM documents),
              w AS (SELECT doc_id, content, count(*) OVER (PARTITION BY content) AS group_size,
