@@ -13,6 +13,7 @@ from .packing import pack_documents
 from .pii import find_personal_data
 from .quality import judge
 from .simhash import near_duplicates
+from .url_filter import filter_urls
 from .warc import archive_round_trip
 
 
@@ -24,6 +25,10 @@ def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_text(table(spark, sf_dir, "pages"))
 
 
+def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_urls(table(spark, sf_dir, "pages"))
+
+
 def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -47,6 +52,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_exact_dedup": op2_exact_dedup,
     "op3_html_extraction": op3_html_extraction,
+    "op5_url_filters": op5_url_filters,
     "op6_simhash_near_dedup": op6_simhash_near_dedup,
     "op7_pii": op7_pii,
     "op8_warc": op8_warc,
