@@ -79,3 +79,23 @@ def tokenizer_path(name: str) -> str:
     import public_tokenizers
 
     return str(public_tokenizers.path(name))
+
+
+class Memory(dict):
+    """Remembers a bounded number of items. When full, what was used since it was last full stays for one more round."""
+
+    def __init__(self, most: int) -> None:
+        super().__init__()
+        self.most, self.old = most // 2, {}
+
+    def missing(self, wanted: set) -> set:
+        """Those of ``wanted`` that must be learnt; all others are items of this dictionary after the call."""
+        new = wanted.difference(self)
+        if len(self) + len(new) > self.most:
+            self.old = dict(self)
+            self.clear()
+            new = wanted
+        if self.old and (known := new.intersection(self.old)):
+            self.update((x, self.old[x]) for x in known)
+            new = new - known
+        return new

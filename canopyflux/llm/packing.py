@@ -29,13 +29,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import core, cut, texts, tokenizer_path
+from .common import Memory, core, cut, texts, tokenizer_path
 
 CAPACITY = 2048
 END_ID = 0
 TOKENIZER = "word_bpe_49k.json"
-#: Distinct words whose ids a worker remembers before it starts anew.
-REMEMBERED = 400_000
+#: Distinct words whose ids a worker remembers.
+REMEMBERED = 600_000
 #: A plan: the lengths of a sequence in the order of their offsets, and how many such sequences there are.
 Plan = list[tuple[tuple[int, ...], int]]
 
@@ -55,7 +55,7 @@ class WordIds:
 
         self.tokenizer = Tokenizer.from_file(path)
         (self.mark,) = self._encode([self.MARK])[0]
-        self.known: dict[bytes, bytes] = {}
+        self.known = Memory(REMEMBERED)
 
     def _encode(self, lines: list[str]) -> list[list[int]]:
         return [x.ids for x in self.tokenizer.encode_batch_fast(lines, add_special_tokens=False)]
@@ -79,10 +79,7 @@ class WordIds:
     def __call__(self, batch: list[str]) -> Iterator[np.ndarray]:
         """The ids of each text, without an end id."""
         split = [x.encode("utf-8", "surrogatepass").split() for x in batch]
-        new = set().union(*split).difference(self.known)
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known.clear()
-            new = set().union(*split)
+        new = self.known.missing(set().union(*split))
         self._learn(new)
         known = self.known
         for words in split:

@@ -12,6 +12,7 @@ from .html_text import extract_text
 from .packing import pack_documents
 from .pii import find_personal_data
 from .quality import judge
+from .sentencepiece import encode_texts
 from .simhash import near_duplicates
 from .url_filter import filter_urls
 from .warc import archive_round_trip
@@ -25,6 +26,10 @@ def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_text(table(spark, sf_dir, "pages"))
 
 
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_texts(table(spark, sf_dir, "documents"), with_ids=False)
+
+
 def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(table(spark, sf_dir, "pages"))
 
@@ -52,6 +57,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_exact_dedup": op2_exact_dedup,
     "op3_html_extraction": op3_html_extraction,
+    "op4_sentencepiece": op4_sentencepiece,
     "op5_url_filters": op5_url_filters,
     "op6_simhash_near_dedup": op6_simhash_near_dedup,
     "op7_pii": op7_pii,
