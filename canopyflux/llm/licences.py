@@ -28,6 +28,8 @@ from .common import core, texts
 
 #: Least Dice coefficient of a match.
 THRESHOLD = 0.8
+#: Lines of so many words or fewer, such as one that names the holder of the rights, don't end a run of lines.
+BETWEEN = 12
 
 # Licence notices and statements as their stewards publish them. Several texts can stand for one licence.
 TEMPLATES: tuple[tuple[str, str], ...] = (
@@ -136,6 +138,7 @@ class Scanner:
         made = [(name, bigrams(words_of(text))) for name, text in templates]
         self.templates = sorted((sum(b.values()), name, b) for name, b in made)
         self.vocabulary = frozenset(w for _, text in templates for w in words_of(text))
+        self.grams = frozenset(g for _, b in made for g in b)
         ratio = threshold / (2 - threshold)  # least ratio of the sizes of two units that reach the threshold
         self.ratio = ratio
         self.smallest = self.templates[0][0] * ratio if made else 0.0
@@ -157,20 +160,28 @@ class Scanner:
                 found, top = name, score
         return (found, top) if found is not None else None
 
+    def _rich(self, words: list[str]) -> bool:
+        """Whether a line can be a match, or part of one: at least half of a match's bigrams must be some template's."""
+        n = len(words) - 1
+        least = self.ratio / 2 * n
+        if n < 1 or sum(map(self.vocabulary.__contains__, words)) < least:
+            return False
+        return sum(map(self.grams.__contains__, zip(words, words[1:], strict=False))) >= least
+
     def scan(self, text: str) -> list[Match]:
         """Matches by start; none overlap."""
         lines: list[tuple[int, int, list[str], bool]] = []
         for m in _LINE.finditer(text):
             words = words_of(m[0])
-            known = sum(map(self.vocabulary.__contains__, words))
-            # of n words, n - 1 bigrams; common ones need common words: below this share no template can be reached
-            lines.append((*m.span(), words, known > 0 and known >= self.ratio * 0.5 * len(words)))
+            lines.append((*m.span(), words, self._rich(words)))
         found = [Match(*hit, a, b) for a, b, words, rich in lines if rich and (hit := self.best(words))]
         run: list[tuple[int, int, list[str], bool]] = []
-        for line in [*lines, (0, 0, [""], False)]:
-            if line[3]:
+        for line in [*lines, (0, 0, [""] * (BETWEEN + 1), False)]:
+            if line[3] or run and len(line[2]) <= BETWEEN:
                 run.append(line)
-            elif line[2]:  # lines without words don't end a run
+            else:
+                while run and not run[-1][3]:
+                    run.pop()
                 if len(run) > 1:
                     found += self._run(run)
                 run = []
