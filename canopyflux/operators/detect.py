@@ -53,6 +53,13 @@ def segments_of(day: np.ndarray, bands: dict[str, np.ndarray], params: CcdParams
     return out
 
 
+def _by_location(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Spreads locations over the cluster. Their series are small but costly, so partitions must not be merged by size."""
+    spark = rows.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    return rows.repartition(n, *keys)
+
+
 _OUT = (
     [T.StructField(c, T.LongType()) for c in ("tBreak", "tEnd", "tStart")]
     + [T.StructField("changeProb", T.IntegerType()), T.StructField("coeficientes", T.ArrayType(T.DoubleType())), T.StructField("intercept_values", T.DoubleType())]
@@ -84,7 +91,7 @@ def detect_changes(df: DataFrame, keys: Sequence[str], date_col: str = "date", p
     from pyspark.sql.pandas.types import to_arrow_schema
 
     arrow = to_arrow_schema(schema)
-    return rows.groupBy(*keys).applyInArrow(run, schema)
+    return _by_location(rows, keys).groupBy(*keys).applyInArrow(run, schema)
 
 
 def detection_struct(df: DataFrame, keys: Sequence[str], date_col: str = "date", params: CcdParams | None = None, nodata: float = NODATA) -> DataFrame:
@@ -110,7 +117,7 @@ def detection_struct(df: DataFrame, keys: Sequence[str], date_col: str = "date",
         key = {k: table.column(k)[0].as_py() for k in keys}
         return pa.Table.from_pylist([key | {"algorithm": "ccd", "processing_mask": mask.tolist(), "change_models": models}], schema=arrow)
 
-    return rows.groupBy(*keys).applyInArrow(run, schema)
+    return _by_location(rows, keys).groupBy(*keys).applyInArrow(run, schema)
 
 
 def cloud_outlier_mask(df: DataFrame, keys: Sequence[str], date_col: str = "date", params: CcdParams | None = None, nodata: float = NODATA) -> DataFrame:
@@ -129,4 +136,4 @@ def cloud_outlier_mask(df: DataFrame, keys: Sequence[str], date_col: str = "date
             out = kernel.cloud_outliers(day, values, kernel.adjusted_variogram(day, values), params)
         return pa.table([*(table.column(k) for k in keys), table.column("day"), pa.array(out)], names=schema.names)
 
-    return rows.groupBy(*keys).applyInArrow(run, schema)
+    return _by_location(rows, keys).groupBy(*keys).applyInArrow(run, schema)

@@ -129,23 +129,24 @@ def lasso(gram: np.ndarray, moment: np.ndarray, square: float, penalty: float, s
     """
     k = len(moment)
     rows, q = gram.tolist(), moment.tolist()
-    w = [0.0] * k
+    w, slope = [0.0] * k, list(q)  # slope = X'(y - Xw), kept up to date
+    used = [j for j in range(k) if rows[j][j]]
     for sweep in range(sweeps):
         largest = moved = 0.0
-        for j in range(k):
-            row, scale = rows[j], rows[j][j]
-            if scale == 0:
-                continue
-            rho = q[j] - sum(a * b for a, b in zip(row, w, strict=True)) + scale * w[j]
-            new = (rho - penalty if rho > penalty else rho + penalty if rho < -penalty else 0.0) / scale
-            moved = max(moved, abs(new - w[j]))
+        for j in used:
+            scale, old = rows[j][j], w[j]
+            rho = slope[j] + scale * old
+            new = (rho - penalty) / scale if rho > penalty else (rho + penalty) / scale if rho < -penalty else 0.0
+            if new != old:
+                step = new - old
+                slope = [a - step * b for a, b in zip(slope, rows[j], strict=True)]
+                w[j] = new
+                moved = max(moved, abs(step))
             largest = max(largest, abs(new))
-            w[j] = new
         if largest == 0 or moved < tolerance * largest or sweep == sweeps - 1:
-            gw = [sum(a * b for a, b in zip(row, w, strict=True)) for row in rows]
             wq = sum(a * b for a, b in zip(w, q, strict=True))
-            rest = square - 2 * wq + sum(a * b for a, b in zip(w, gw, strict=True))
-            steep = max(abs(a - b) for a, b in zip(q, gw, strict=True))
+            rest = square - wq - sum(a * b for a, b in zip(w, slope, strict=True))
+            steep = max(map(abs, slope))
             shrink = penalty / steep if steep > penalty else 1.0
             gap = (0.5 * rest * (1 + shrink**2) if steep > penalty else rest) + penalty * sum(map(abs, w)) - shrink * (square - wq)
             if gap <= tolerance * square:
@@ -186,34 +187,49 @@ def robust_scale(residual: np.ndarray, dropped: int = 4) -> float:
     return float(np.median(np.sort(np.abs(residual))[dropped:]) / 0.6745)
 
 
+def _solve(x: np.ndarray, weights: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Weighted least squares for each row of weights and of y, by normal equations; the least solution where these fail."""
+    weighted = x.T[None] * weights[:, None, :]
+    try:
+        return np.linalg.solve(weighted @ x, (weighted @ y[:, :, None]))[..., 0]
+    except np.linalg.LinAlgError:
+        return np.array([np.linalg.lstsq(x * np.sqrt(w)[:, None], v * np.sqrt(w), rcond=None)[0] for w, v in zip(weights, y, strict=True)])
+
+
 def robust_fit(x: np.ndarray, y: np.ndarray, rounds: int = 5, weigh=bisquare, scale_of=robust_scale, tolerance: float = 1e-8) -> np.ndarray:
-    """Iteratively reweighted least squares. It ends when no coefficient has fallen by more than the tolerance."""
+    """Iteratively reweighted least squares of each row of y. A row ends when no coefficient has fallen by more than the tolerance."""
     tiny = np.finfo(float).eps
-    now = np.linalg.lstsq(x, y, rcond=None)[0]
+    now = _solve(x, np.ones_like(y), y)
     q = np.linalg.qr(x)[0]
-    leverage = 1 / np.sqrt(1 - np.minimum(np.einsum("ij,ij->i", q, q), 0.9999))
+    leverage = 1 / np.sqrt(1 - np.minimum((q * q).sum(1), 0.9999))
+    floor = tiny * y.std(1)
+    going = np.ones(len(y), bool)
     for _ in range(rounds):
-        residual = (y - x @ now) * leverage
-        scale = max(tiny * float(np.std(y)), scale_of(residual))
-        if scale < tiny:
+        residual = (y - now @ x.T) * leverage
+        scale = np.array([max(f, scale_of(r)) for f, r in zip(floor, residual, strict=True)])
+        going &= scale >= tiny
+        if not going.any():
             break
-        root = np.sqrt(weigh(residual / scale))
-        before, now = now, np.linalg.lstsq(x * root[:, None], y * root, rcond=None)[0]
-        if not np.any(before - now > tolerance):
+        new = _solve(x, weigh(residual / np.where(scale < tiny, 1, scale)[:, None]), y)
+        before, now = now, np.where(going[:, None], new, now)
+        going &= (before - now > tolerance).any(1)
+        if not going.any():
             break
     return now
 
 
 def cloud_outliers(dates: np.ndarray, values: np.ndarray, vario: np.ndarray, params: CcdParams) -> np.ndarray:
-    """Observations that a robust seasonal model of any of the bands is far from."""
+    """Observations that a robust seasonal model of any of the bands is far from.
+
+    The model has a yearly wave and one as long as the window's years; for a window of one year both are the same.
+    """
     days = dates.astype(float)
-    w = 2 * pi / params.avg_days_yr
-    slow = w / max(1, ceil((days[-1] - days[0]) / params.avg_days_yr))
-    x = np.column_stack([np.cos(w * days), np.sin(w * days), np.cos(slow * days), np.sin(slow * days), np.ones(len(days))])
-    out = np.zeros(len(days), bool)
-    for b in params.tmask_bands:
-        out |= np.abs(x @ robust_fit(x, values[b]) - values[b]) > vario[b] * params.t_const
-    return out
+    w, years = 2 * pi / params.avg_days_yr, ceil((days[-1] - days[0]) / params.avg_days_yr)
+    waves = [w] if years <= 1 else [w, w / years]
+    x = np.column_stack([*(f(k * days) for k in waves for f in (np.cos, np.sin)), np.ones(len(days))])
+    bands = list(params.tmask_bands)
+    far = np.abs(robust_fit(x, values[bands]) @ x.T - values[bands]) > vario[bands, None] * params.t_const
+    return far.any(0)
 
 
 # --- the state machine -------------------------------------------------------------------------------------------------

@@ -52,7 +52,7 @@ def adjusted_variogram(df: DataFrame, keys: Sequence[str], values: Sequence[str]
             for k in range(1, longest + 1)
         )
     )
-    pairs = df.select(*keys, F.explode(lags).alias("p")).select(*keys, "p.*").filter("gap IS NOT NULL")
+    pairs = df.select(*keys, lags.alias("lags")).select(*keys, F.explode("lags").alias("p")).select(*keys, "p.*").filter("gap IS NOT NULL")
     by_lag = pairs.groupBy(*keys, "lag").agg(
         F.mode("gap", True).alias("usual"), *(F.median(F.when(F.col("gap") > apart, F.col(v))).alias(v) for v in values), *(F.median(v).alias(f"{v}_all") for v in values)
     )
