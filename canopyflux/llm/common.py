@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -11,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from canopyflux.operators.components import cut, shared_dir  # noqa: F401
+
 #: The six ASCII white space characters that separate words.
 ASCII_SPACE = " \t\n\x0b\x0c\r"
 
@@ -19,27 +20,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share, as the session names it.
-
-    Only where no folder is named (tests, a single machine) a temporary one is set.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        if not spark.sparkContext.getCheckpointDir():
-            spark.sparkContext.setCheckpointDir(named)
-        return named
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="canopyflux-"))
-    return spark.sparkContext.getCheckpointDir()
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and go on from the files."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def unused(taken: list[str], wanted: str) -> str:
     """``wanted``, or the first free variation of it, whatever case the taken names have."""
     low = {c.lower() for c in taken}

@@ -16,6 +16,7 @@ row. An empty table gives an empty result. Other columns don't matter.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -43,44 +44,56 @@ Plan = list[tuple[tuple[int, ...], int]]
 class WordIds:
     """Token ids of texts by way of their distinct words.
 
-    The tokenizer drops white space, and no token crosses it, so that the ids of a text are those of its words one after
-    the other. Each distinct word is encoded once for as long as it is remembered. Words are encoded many at a time with
-    a mark between them: a control character that is one token by itself. A word that holds the mark is encoded alone.
+    The tokenizer drops white space and case, and no token crosses white space or the border between letters and the
+    signs after them, so that the ids of a text are those of its words one after the other, and those of a word of
+    letters and signs are those of its stem (in lower case) and of its signs. Each distinct part is encoded once for as
+    long as it is remembered, many at a time, with a mark between them: a control character that is one token by itself.
+    A part that holds the mark is encoded alone.
     """
 
     MARK = "\x01"
+    #: Letters that have one code point in any form, and signs that are no part of a contraction.
+    STEM = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         (self.mark,) = self._encode([self.MARK])[0]
-        self.known = Memory(REMEMBERED)
+        self.known, self.parts = Memory(REMEMBERED), Memory(REMEMBERED + REMEMBERED // 2)
 
     def _encode(self, lines: list[str]) -> list[list[int]]:
         return [x.ids for x in self.tokenizer.encode_batch_fast(lines, add_special_tokens=False)]
 
-    def _learn(self, new: set[bytes]) -> None:
-        mark = self.MARK.encode()
-        alone = [w for w in new if mark in w]
-        words = list(new.difference(alone))
-        for w, ids in zip(alone, self._encode([w.decode("utf-8", "replace") for w in alone]), strict=True):
-            self.known[w] = np.array(ids, "<u4").tobytes()
-        for i in range(0, len(words), 8000):
-            lots = [words[j : j + 100] for j in range(i, min(i + 8000, len(words)), 100)]
-            for lot, ids in zip(lots, self._encode([(b" " + mark + b" ").join(x).decode("utf-8", "replace") for x in lots]), strict=True):
+    def _learn_parts(self, new: set[str]) -> None:
+        alone = [x for x in new if self.MARK in x]
+        parts = list(new.difference(alone))
+        for x, ids in zip(alone, self._encode(alone), strict=True):
+            self.parts[x] = np.array(ids, "<u4").tobytes()
+        for i in range(0, len(parts), 8000):
+            lots = [parts[j : j + 100] for j in range(i, min(i + 8000, len(parts)), 100)]
+            for lot, ids in zip(lots, self._encode([f" {self.MARK} ".join(x) for x in lots]), strict=True):
                 row = np.array(ids, "<u4")
                 raw, ends = row.tobytes(), np.flatnonzero(row == self.mark).tolist()
                 if len(ends) != len(lot) - 1:
                     raise ValueError("the mark isn't a token of its own")
-                for w, a, b in zip(lot, [-1, *ends], [*ends, len(row)], strict=True):
-                    self.known[w] = raw[4 * a + 4 : 4 * b]
+                for x, a, b in zip(lot, [-1, *ends], [*ends, len(row)], strict=True):
+                    self.parts[x] = raw[4 * a + 4 : 4 * b]
+
+    def _learn(self, new: set[bytes]) -> None:
+        split: dict[bytes, tuple[str, str]] = {}
+        for w in new:
+            x = w.decode("utf-8", "replace")
+            m = self.STEM.fullmatch(x)
+            split[w] = (m[1].lower(), m[2]) if m else (x, "")
+        self._learn_parts(self.parts.missing({x for pair in split.values() for x in pair if x}))
+        for w, (stem, signs) in split.items():
+            self.known[w] = self.parts[stem] + self.parts[signs] if signs else self.parts[stem]
 
     def __call__(self, batch: list[str]) -> Iterator[np.ndarray]:
         """The ids of each text, without an end id."""
         split = [x.encode("utf-8", "surrogatepass").split() for x in batch]
-        new = self.known.missing(set().union(*split))
-        self._learn(new)
+        self._learn(self.known.missing(set().union(*split)))
         known = self.known
         for words in split:
             yield np.frombuffer(b"".join([known[w] for w in words]), "<u4")

@@ -30,7 +30,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import core, cut, texts, unused
+from canopyflux.operators.components import components, cut
+
+from .common import core, texts, unused
 
 BITS = 3
 SHINGLE = 3
@@ -180,29 +182,6 @@ def fingerprint_links(nodes: DataFrame, block: int = BLOCK, sampled: int = SAMPL
     return dealt.mapInArrow(_bucket_edges, "a long, b long").distinct()
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """(node, root): the smallest node that can be reached from each node that has an edge, itself included.
-
-    Alternating star steps: each replaces the edges by as many at most, and each is written to the shared folder.
-    """
-    both = lambda e: e.select("a", "b").unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    edges = cut(edges.filter("a <> b").distinct())
-    before = None
-    for _ in range(rounds):
-        sides = both(edges)
-        least = sides.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
-        large = sides.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
-        down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        lowest = down.groupBy("a").agg(F.min("b").alias("m"))
-        small = down.join(lowest, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(lowest.select("a", F.col("m").alias("b")))
-        edges = cut(small.filter("a <> b").distinct())
-        now = edges.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0))).first()
-        if now == before:
-            return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        before = now
-    raise RuntimeError(f"no end after {rounds} rounds")
-
-
 def _classes(found: DataFrame, block: int, sampled: int) -> tuple[DataFrame, DataFrame]:
     """(fp, component): for fingerprints that link with others, and for all."""
     nodes = cut(found.groupBy("fp").agg(F.min("doc").alias("least")))
