@@ -16,6 +16,7 @@ row. An empty table gives an empty result. Other columns don't matter.
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from collections import Counter
@@ -25,78 +26,121 @@ from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Memory, core, cut, texts, tokenizer_path
+from .common import Memory, core, cut, tokenizer_path
 
 CAPACITY = 2048
 END_ID = 0
 TOKENIZER = "word_bpe_49k.json"
-#: Distinct words whose ids a worker remembers.
-REMEMBERED = 600_000
+#: Distinct parts of words whose ids a worker remembers.
+REMEMBERED = 800_000
 #: A plan: the lengths of a sequence in the order of their offsets, and how many such sequences there are.
 Plan = list[tuple[tuple[int, ...], int]]
 
 
+#: The signs by which byte-level models name bytes: themselves if printable, else the next free code points from U+0100.
+BYTE_SIGNS = {b: chr(b) for b in (*range(33, 127), *range(161, 173), *range(174, 256))}
+BYTE_SIGNS |= {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in BYTE_SIGNS)}
+
+
 class WordIds:
     """Token ids of texts by way of their distinct words.
 
     The tokenizer drops white space and case, and no token crosses white space or the border between letters and the
     signs after them, so that the ids of a text are those of its words one after the other, and those of a word of
-    letters and signs are those of its stem (in lower case) and of its signs. Each distinct part is encoded once for as
-    long as it is remembered, many at a time, with a mark between them: a control character that is one token by itself.
-    A part that holds the mark is encoded alone.
+    letters and signs are those of its stem (in lower case) and of its signs. Splitting, finding distinct words and parts
+    and putting ids together are array operations; each distinct part is encoded once for as long as it is remembered,
+    many at a time, with a mark between them: a control character that is one token by itself. A part that holds the mark
+    is encoded alone.
     """
 
     MARK = "\x01"
     #: Letters that have one code point in any form, and signs that are no part of a contraction.
-    STEM = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
+    LETTERS, SIGNS = "[A-Za-zÀ-ÖØ-öø-ÿ]", r"[!-&(-/:-@\[-`{-~]"
 
     def __init__(self, path: str) -> None:
-        from tokenizers import Tokenizer
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+        from tokenizers import Tokenizer, pre_tokenizers
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer, self.plain = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.plain.normalizer, self.plain.pre_tokenizer = None, pre_tokenizers.WhitespaceSplit()
+        self.stem = re.compile(f"{self.LETTERS}+")
         (self.mark,) = self._encode([self.MARK])[0]
-        self.known, self.parts = Memory(REMEMBERED), Memory(REMEMBERED + REMEMBERED // 2)
+        self.parts = Memory(REMEMBERED)
 
     def _encode(self, lines: list[str]) -> list[list[int]]:
         return [x.ids for x in self.tokenizer.encode_batch_fast(lines, add_special_tokens=False)]
 
-    def _learn_parts(self, new: set[str]) -> None:
-        alone = [x for x in new if self.MARK in x]
-        parts = list(new.difference(alone))
+    def _learn(self, new: set[str]) -> None:
+        stems = [x for x in new if x.isalpha() and (x.isascii() or self.stem.fullmatch(x))]
+        others = new.difference(stems)
+        alone = [x for x in others if self.MARK in x]
         for x, ids in zip(alone, self._encode(alone), strict=True):
             self.parts[x] = np.array(ids, "<u4").tobytes()
-        for i in range(0, len(parts), 8000):
-            lots = [parts[j : j + 100] for j in range(i, min(i + 8000, len(parts)), 100)]
-            for lot, ids in zip(lots, self._encode([f" {self.MARK} ".join(x) for x in lots]), strict=True):
-                row = np.array(ids, "<u4")
+        self._learn_many(list(others.difference(alone)), self.tokenizer, str)
+        # stems, in lower case as they are, need no more than their bytes as the model's signs
+        self._learn_many(stems, self.plain, lambda x: x.encode().decode("latin-1").translate(BYTE_SIGNS | {32: " "}))
+
+    def _learn_many(self, parts: list[str], tokenizer, spelt) -> None:
+        between = f" {self.MARK} "
+        for i in range(0, len(parts), 50_000):
+            lots = [parts[j : j + 500] for j in range(i, min(i + 50_000, len(parts)), 500)]
+            found = tokenizer.encode_batch_fast([spelt(between.join(x)) for x in lots], add_special_tokens=False)
+            for lot, e in zip(lots, found, strict=True):
+                row = np.array(e.ids, "<u4")
                 raw, ends = row.tobytes(), np.flatnonzero(row == self.mark).tolist()
                 if len(ends) != len(lot) - 1:
                     raise ValueError("the mark isn't a token of its own")
                 for x, a, b in zip(lot, [-1, *ends], [*ends, len(row)], strict=True):
                     self.parts[x] = raw[4 * a + 4 : 4 * b]
 
-    def _learn(self, new: set[bytes]) -> None:
-        split: dict[bytes, tuple[str, str]] = {}
-        for w in new:
-            x = w.decode("utf-8", "replace")
-            m = self.STEM.fullmatch(x)
-            split[w] = (m[1].lower(), m[2]) if m else (x, "")
-        self._learn_parts(self.parts.missing({x for pair in split.values() for x in pair if x}))
-        for w, (stem, signs) in split.items():
-            self.known[w] = self.parts[stem] + self.parts[signs] if signs else self.parts[stem]
-
-    def __call__(self, batch: list[str]) -> Iterator[np.ndarray]:
-        """The ids of each text, without an end id."""
-        split = [x.encode("utf-8", "surrogatepass").split() for x in batch]
-        self._learn(self.known.missing(set().union(*split)))
-        known = self.known
-        for words in split:
-            yield np.frombuffer(b"".join([known[w] for w in words]), "<u4")
+    def _part_ids(self, parts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each part where its ids start in a pool and how many there are, and the pool."""
+        coded = parts.dictionary_encode()
+        distinct = coded.dictionary.to_pylist()
+        self._learn(self.parts.missing(set(distinct)))
+        blobs = [self.parts[x] for x in distinct]
+        sizes = np.fromiter(map(len, blobs), np.int64, len(blobs)) // 4
+        at = coded.indices.to_numpy()
+        return (np.cumsum(sizes) - sizes)[at], sizes[at], np.frombuffer(b"".join(blobs), "<u4")
+
+    def _words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """As :meth:`_part_ids` for words."""
+        simple = pc.match_substring_regex(words, f"^{self.LETTERS}+{self.SIGNS}*$")
+        stems = pc.if_else(simple, pc.utf8_lower(pc.replace_substring_regex(words, f"{self.SIGNS}+$", "")), words)
+        signs = pc.if_else(simple, pc.replace_substring_regex(words, f"^{self.LETTERS}+", ""), "")
+        (at, n, pool), (sign_at, sign_n, sign_pool) = self._part_ids(stems), self._part_ids(signs)
+        both = np.column_stack([n, sign_n]).ravel()
+        start = np.column_stack([at, sign_at + len(pool)]).ravel()
+        total = n + sign_n
+        return np.cumsum(total) - total, total, _gather(start, both, np.concatenate([pool, sign_pool]))
+
+    def __call__(self, column: pa.Array, at_once: int = 1000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For so many texts at once their ids, one after the other without end ids, and how many each text has.
+
+        Distinct words are looked up once for the whole column.
+        """
+        lists = pc.ascii_split_whitespace(pc.fill_null(column, ""))
+        words = lists.flatten().dictionary_encode()
+        at, n, pool = self._words(words.dictionary)
+        own = words.indices.to_numpy()
+        ends = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))])
+        for lo in range(0, len(column), at_once):
+            bounds = ends[lo : lo + at_once + 1]
+            part = own[bounds[0] : bounds[-1]]
+            total = np.concatenate([[0], np.cumsum(n[part])])[bounds - bounds[0]]
+            yield _gather(at[part], n[part], pool), np.diff(total)
+
+
+def _gather(start: np.ndarray, sizes: np.ndarray, pool: np.ndarray) -> np.ndarray:
+    """The runs of ``pool`` that begin at ``start``, one after the other."""
+    skip = start - (np.cumsum(sizes) - sizes)
+    return pool[np.repeat(skip, sizes) + np.arange(int(sizes.sum()))]
 
 
 @lru_cache(2)
@@ -105,7 +149,7 @@ def word_ids(path: str) -> WordIds:
     return WordIds(path)
 
 
-def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, path: str | None = None) -> DataFrame:
+def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, path: str | None = None, with_ids: bool = True) -> DataFrame:
     """One row for each piece: id, piece, start, length, ids_crc32, ids, and the part and place there among its length."""
     rows, path = core(docs, id_col, text_col), path or tokenizer_path(TOKENIZER)
     kinds = [("piece", T.IntegerType()), ("start", T.LongType()), ("length", T.LongType()), ("ids_crc32", T.LongType()), ("ids", T.BinaryType()), ("part", T.LongType()), ("nth", T.LongType())]
@@ -114,19 +158,23 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capa
     def run(batches):
         encode, part_id = word_ids(path), TaskContext.get().partitionId()
         seen = [0] * (capacity + 1)
-        end = np.array([END_ID], "<u4")
+        end = np.array([END_ID], "<u4").tobytes()
         for b in batches:
-            for lo in range(0, b.num_rows, 1000):
-                part = b.slice(lo, 1000)
+            lo = 0
+            for ids, counts in encode(b.column(text_col)):
+                part = b.slice(lo, len(counts))
+                lo += len(counts)
+                raw, done = ids.tobytes(), 0
                 at, rest = [], []
-                for i, ids in enumerate(encode(list(texts(part, text_col)))):
-                    whole = np.concatenate([ids, end]).tobytes()
+                for i, n in enumerate(counts.tolist()):
+                    whole = raw[4 * done : 4 * (done + n)] + end
+                    done += n
                     for k, start in enumerate(range(0, len(whole), 4 * capacity)):
                         own = whole[start : start + 4 * capacity]
+                        length = len(own) // 4
                         at.append(i)
-                        n = len(own) // 4
-                        rest.append((k, start // 4, n, zlib.crc32(own), own, part_id, seen[n]))
-                        seen[n] += 1
+                        rest.append((k, start // 4, length, zlib.crc32(own), own if with_ids else None, part_id, seen[length]))
+                        seen[length] += 1
                 cols = list(zip(*rest, strict=True))
                 arrays = [pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64()), strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column(id_col).take(pa.array(at)), *arrays], names=schema.names)
@@ -311,5 +359,5 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     The ids are little-endian unsigned 32-bit numbers in ``ids``.
     """
-    found = pieces(docs, id_col, text_col, capacity, path)
+    found = pieces(docs, id_col, text_col, capacity, path, with_ids)
     return pack(cut(found if with_ids else found.drop("ids")), capacity)
