@@ -107,7 +107,7 @@ def merge_operations(base: DataFrame, *others: DataFrame, key: str) -> DataFrame
 def class_shares(df: DataFrame, cls: str, area: str) -> DataFrame:
     """(class, n, area, percent): counts, areas and shares of the total area."""
     sums = df.groupBy(cls).agg(F.count("*").alias("n"), F.sum(area).alias("area"))
-    return sums.withColumn("percent", 100 * F.try_divide(F.col("area"), F.sum("area").over(Window.partitionBy())))
+    return sums.withColumn("percent", F.try_divide(100 * F.col("area"), F.sum("area").over(Window.partitionBy())))
 
 
 def null_counts(df: DataFrame, columns: Sequence[str]) -> Column:
