@@ -121,11 +121,30 @@ class Fit:
         return self.coefficients @ terms.T + self.intercept[:, None]
 
 
-def lasso(gram: np.ndarray, moment: np.ndarray, square: float, penalty: float, sweeps: int, tolerance: float = 1e-4) -> list[float]:
+def _optima(gram: np.ndarray, moments: np.ndarray, penalty: float, near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """By band the lasso's optimum where its coefficients have the signs of ``near``, and whether they have.
+
+    Given the signs, the optimum is the solution of a linear system in the terms that aren't 0.
+    """
+    sign = np.sign(near)
+    used = np.abs(sign)
+    system = gram * used[:, :, None] * used[:, None, :]
+    diagonal = np.arange(gram.shape[0])
+    system[:, diagonal, diagonal] += 1 - used
+    try:
+        out = np.linalg.solve(system, (used * (moments - penalty * sign))[:, :, None])[:, :, 0]
+    except np.linalg.LinAlgError:
+        return near, np.zeros(len(near), bool)
+    rest = np.abs(moments - out @ gram) * (1 - used)
+    return out, (out * sign >= used * 1e-300).all(1) & (rest <= penalty).all(1)
+
+
+def lasso(gram: np.ndarray, moment: np.ndarray, square: float, penalty: float, sweeps: int, tolerance: float = 1e-4) -> np.ndarray:
     """Coordinate descent on centred sums: gram = X'X, moment = X'y, square = y'y, penalty = n * alpha.
 
     A sweep costs a handful of multiplications, whatever the number of observations. It ends when coordinates have come
-    to rest and the duality gap is within tolerance * y'y.
+    to rest and the duality gap is within tolerance * y'y. Where the signs found are those of the optimum, the optimum
+    itself is returned.
     """
     k = len(moment)
     rows, q = gram.tolist(), moment.tolist()
@@ -151,11 +170,15 @@ def lasso(gram: np.ndarray, moment: np.ndarray, square: float, penalty: float, s
             gap = (0.5 * rest * (1 + shrink**2) if steep > penalty else rest) + penalty * sum(map(abs, w)) - shrink * (square - wq)
             if gap <= tolerance * square:
                 break
-    return w
+    best, right = _optima(gram, moment[None], penalty, np.array([w]))
+    return best[0] if right[0] else np.array(w)
 
 
-def fit_lasso(terms: np.ndarray, values: np.ndarray, coefs: int, params: CcdParams) -> Fit:
-    """Lasso with a free intercept on the first coefs - 1 terms (least squares if alpha is 0), for all bands."""
+def fit_lasso(terms: np.ndarray, values: np.ndarray, coefs: int, params: CcdParams, near: Fit | None = None) -> Fit:
+    """Lasso with a free intercept on the first coefs - 1 terms (least squares if alpha is 0), for all bands.
+
+    near: the fit of a window that differs by an observation or so; mostly its signs are right, and no search is needed.
+    """
     n, used = len(terms), coefs - 1
     x = terms[:, :used]
     mean_x, mean_y = x.mean(0), values.mean(1)
@@ -163,7 +186,11 @@ def fit_lasso(terms: np.ndarray, values: np.ndarray, coefs: int, params: CcdPara
     weights = np.zeros((len(values), terms.shape[1]))
     if params.alpha:
         gram, moments, squares = xc.T @ xc, xc.T @ yc.T, np.einsum("ij,ij->i", yc, yc)
-        for b in range(len(values)):
+        if near is None:
+            right = np.zeros(len(values), bool)
+        else:
+            weights[:, :used], right = _optima(gram, moments.T, n * params.alpha, near.coefficients[:, :used])
+        for b in np.flatnonzero(~right):
             weights[b, :used] = lasso(gram, moments[:, b], float(squares[b]), n * params.alpha, params.lasso_max_iter)
     else:
         weights[:, :used] = np.linalg.lstsq(xc, yc.T, rcond=None)[0].T
@@ -174,8 +201,8 @@ def fit_lasso(terms: np.ndarray, values: np.ndarray, coefs: int, params: CcdPara
     return Fit(weights, intercept, residual, rmse)
 
 
-#: Fits all bands of a window: (terms, values by band, number of coefficients, parameters).
-Fitter = Callable[[np.ndarray, np.ndarray, int, CcdParams], Fit]
+#: Fits all bands of a window: (terms, values by band, number of coefficients, parameters, a near fit or None).
+Fitter = Callable[[np.ndarray, np.ndarray, int, CcdParams, Fit | None], Fit]
 
 
 def bisquare(residual: np.ndarray, c: float = 4.685) -> np.ndarray:
@@ -270,8 +297,8 @@ class Detector:
         self.live = np.delete(self.live, places)
         self._view()
 
-    def _fit(self, lo: int, hi: int, coefs: int) -> Fit:
-        return self.fitter(self.terms[lo:hi], self.values[:, lo:hi], coefs, self.p)
+    def _fit(self, lo: int, hi: int, coefs: int, near: Fit | None = None) -> Fit:
+        return self.fitter(self.terms[lo:hi], self.values[:, lo:hi], coefs, self.p, near)
 
     def _scores(self, residual: np.ndarray, error: np.ndarray) -> np.ndarray:
         """Sum over the bands of the squared residuals in units of the usual scatter, by observation."""
@@ -378,7 +405,7 @@ class Detector:
                 first_span = span
                 share = n / p.num_obs_factor
                 coefs = p.coefficient_min if share < p.coefficient_mid else p.coefficient_mid if share < p.coefficient_max else p.coefficient_max
-                fit = self._fit(lo, hi, coefs)
+                fit = self._fit(lo, hi, coefs, fit)
             ahead = hi
             residual = self._residual(fit, slice(hi, hi + self.peek))
             score = self._scores(residual, self._seasonal_error(fit, lo, hi))

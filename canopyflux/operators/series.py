@@ -43,26 +43,18 @@ def adjusted_variogram(df: DataFrame, keys: Sequence[str], values: Sequence[str]
     """Median absolute differences at the first lag whose most frequent gap (the smaller of equals) is over ``apart`` days.
 
     Only gaps over ``apart`` days count at that lag. A key with no such lag up to ``longest`` has its plain variogram.
-    All lags come from one window, so that the series is sorted once.
+    Gaps of all lags are only counted, which combines before the shuffle; values are paired at the lag that is found.
     """
     w = _ordered(keys, day)
-    lags = F.array(
-        *(
-            F.struct(F.lit(k).alias("lag"), (F.col(day) - F.lag(day, k).over(w)).alias("gap"), *(F.abs(F.col(v) - F.lag(v, k).over(w)).alias(v) for v in values))
-            for k in range(1, longest + 1)
-        )
-    )
-    pairs = df.select(*keys, lags.alias("lags")).select(*keys, F.explode("lags").alias("p")).select(*keys, "p.*").filter("gap IS NOT NULL")
-    by_lag = pairs.groupBy(*keys, "lag").agg(
-        F.mode("gap", True).alias("usual"), *(F.median(F.when(F.col("gap") > apart, F.col(v))).alias(v) for v in values), *(F.median(v).alias(f"{v}_all") for v in values)
-    )
-    first = F.struct(F.col("lag"), *(F.col(v) for v in values))
-    out = by_lag.groupBy(*keys).agg(
-        F.min(F.when(F.col("usual") > apart, first)).alias("far"), *(F.min(F.when(F.col("lag") == 1, F.col(f"{v}_all"))).alias(f"{v}_near") for v in values)
-    )
-    return out.select(
-        *keys, F.col("far.lag").alias("lag"), *(F.when(F.col("far").isNull(), F.col(f"{v}_near")).otherwise(F.col(f"far.{v}")).alias(f"{v}_variogram") for v in values)
-    )
+    placed = df.select(*keys, day, *values, F.row_number().over(w).alias("r"), F.array(*(F.col(day) - F.lag(day, k).over(w) for k in range(1, longest + 1))).alias("gaps"))
+    gaps = placed.select(*keys, F.posexplode("gaps").alias("lag", "gap")).filter("gap IS NOT NULL")
+    usual = gaps.groupBy(*keys, "lag", "gap").agg(F.count("*").alias("n")).groupBy(*keys, "lag").agg(F.min_by("gap", F.struct(-F.col("n"), F.col("gap"))).alias("usual"))
+    chosen = usual.groupBy(*keys).agg((F.min(F.when(F.col("usual") > apart, F.col("lag"))) + 1).alias("lag"))
+    placed = placed.drop("gaps")
+    later = placed.join(chosen, list(keys)).withColumn("r", F.col("r") - F.coalesce("lag", F.lit(1)))
+    earlier = placed.select(*keys, "r", F.col(day).alias("day_"), *(F.col(v).alias(f"{v}_") for v in values))
+    pairs = later.join(earlier, [*keys, "r"]).filter(F.col("lag").isNull() | (F.col(day) - F.col("day_") > apart))
+    return pairs.groupBy(*keys, "lag").agg(*(F.median(F.abs(F.col(v) - F.col(f"{v}_"))).alias(f"{v}_variogram") for v in values))
 
 
 def observations_around(series: DataFrame, events: DataFrame, keys: Sequence[str], values: Sequence[str], n: int = 10, day: str = "day", at: str = "mid") -> DataFrame:
