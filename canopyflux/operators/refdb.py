@@ -42,9 +42,15 @@ def count_starting(pairs: Column, prefix: str = "CORTE") -> Column:
     return F.size(F.filter(pairs, lambda p: F.startswith(p["activity"], F.lit(prefix))))
 
 
-def cut_sessions(df: DataFrame, key: str, date: str, gap: int = 730) -> DataFrame:
-    """(key, session, first, last, n): runs of distinct dates no more than ``gap`` days after the one before."""
-    dates = df.select(key, F.col(date).cast("date").alias("d")).filter("d IS NOT NULL").distinct()
+def cut_sessions(df: DataFrame, key: str, date: str, gap: int = 730, repeats: bool = True) -> DataFrame:
+    """(key, session, first, last, n): runs of distinct dates no more than ``gap`` days after the one before.
+
+    Without ``repeats``, a key with one date only that occurs three times or more has no session.
+    """
+    dates = df.select(key, F.col(date).cast("date").alias("d")).filter("d IS NOT NULL").groupBy(key, "d").agg(F.count("*").alias("times"))
+    if not repeats:
+        w = Window.partitionBy(key)
+        dates = dates.withColumn("dates", F.count("*").over(w)).filter((F.col("dates") > 1) | (F.col("times") <= 2))
     w = Window.partitionBy(key).orderBy("d")
     new = F.coalesce(F.datediff("d", F.lag("d").over(w)) > gap, F.lit(False)).cast("int")
     return dates.withColumn("new", new).withColumn("session", F.sum("new").over(w)).groupBy(key, "session").agg(F.min("d").alias("first"), F.max("d").alias("last"), F.count("*").alias("n"))
@@ -79,15 +85,48 @@ def first_date_between(dates: Column, low: Column, high: Column) -> Column:
     return F.array_min(F.filter(dates, lambda d: d.between(low, high)))
 
 
-def interval_columns(df: DataFrame, before: str, after: str, days: int = 5) -> DataFrame:
+#: An estimate of this date means "before the first" or "after the last" date that was looked at.
+OPEN_END = "1000-01-01"
+
+
+def interval_columns(df: DataFrame, days: int = 5, drop: str = "drop_date", first: str = "ECCD1", last: str = "ECCD2", none: str = "NC", start: str = "start_date", end: str = "end_date") -> DataFrame:
     """Adds data0 and data1: the span in which a change happened.
 
-    With both dates, from the first to the second; with one, that one and ``days`` around it; equal dates are widened likewise.
+    The two estimates as they are; an open one is the start or the end of the series; without one ``days`` around the drop,
+    unless the parcel is marked as unchanged.
     """
-    a, b = F.col(before), F.col(after)
-    single = F.coalesce(a, b)
-    alone = a.isNull() | b.isNull() | (a == b)
-    return df.withColumns({"data0": F.when(alone, F.date_sub(single, days)).otherwise(F.least(a, b)), "data1": F.when(alone, F.date_add(single, days)).otherwise(F.greatest(a, b))})
+
+    def bound(estimate: str, beyond: str, around: Column) -> Column:
+        e = F.col(estimate)
+        return F.when(e == F.lit(OPEN_END).cast("date"), F.col(beyond)).when(e.isNotNull(), e).when(F.col(none).isNull(), around)
+
+    return df.withColumns({"data0": bound(first, start, F.date_sub(drop, days)), "data1": bound(last, end, F.date_add(drop, days))})
+
+
+def date_difference(df: DataFrame, first: str, second: str, name: str = "date_diff") -> DataFrame:
+    """Rows that have both dates, with the days from the first to the second."""
+    return df.filter(F.col(first).isNotNull() & F.col(second).isNotNull()).withColumn(name, F.datediff(second, first))
+
+
+def fill_estimated_date(drop: Column, start: Column, end: Column, estimated: Column) -> Column:
+    """The estimated date; where there is a drop but no estimate, and the span is one day, that day."""
+    return F.when(drop.isNotNull() & (start == end) & estimated.isNull(), start).otherwise(estimated)
+
+
+def drop_distances(drop: Column, start: Column, end: Column, estimated: Column) -> tuple[Column, Column]:
+    """Days from the drop to the first date (null behind it, or with an estimate), and from the last date to the drop (null before it)."""
+    return F.when(estimated.isNull() & (drop <= start), F.datediff(start, drop)), F.when(drop >= end, F.datediff(drop, end))
+
+
+def missed_by_clouds(n_dates: Column, n_empty: Column, n_filled: Column) -> Column:
+    """Whether too many dates are empty: of an even number half, of an odd number two fifths."""
+    return F.when(n_dates % 2 == 0, n_empty >= n_filled).otherwise(n_empty >= 0.4 * n_dates)
+
+
+def first_of_each_date(df: DataFrame, keys: Sequence[str], date: str, order: Sequence[str]) -> DataFrame:
+    """One observation of each key and date: the first by ``order``."""
+    first = F.row_number().over(Window.partitionBy(*keys, date).orderBy(*order))
+    return df.withColumn("first_", first).filter("first_ = 1").drop("first_")
 
 
 def mix_sources(first: DataFrame, second: DataFrame, id_col: str, area_col: str = "area_m2", low: float = 2500, high: float = 1_000_000) -> DataFrame:

@@ -6,7 +6,7 @@ cell. Cell sizes are parameters; a polygon's side should be of the order of a fe
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -60,6 +60,44 @@ def ring_wkt(ring: Column) -> Column:
     return F.concat(F.lit("POLYGON (("), F.array_join(points, ", "), F.lit("))"))
 
 
+def parse_ring(wkt: Column) -> Column:
+    """The outer ring of a polygon in WKT, without its repeated last point."""
+    body = F.regexp_extract(wkt, r"\(\(([^)]*)\)", 1)
+    points = F.transform(F.split(body, r"\s*,\s*"), lambda p: F.split(F.trim(p), r"\s+"))
+    ring = F.transform(points, lambda p: F.struct(F.get(p, F.lit(0)).cast("double").alias("x"), F.get(p, F.lit(1)).cast("double").alias("y")))
+    closed = (F.size(ring) > 1) & (F.get(ring, F.lit(0)) == F.get(ring, F.size(ring) - 1))
+    return F.when(body != "", F.when(closed, F.slice(ring, 1, F.greatest(F.size(ring) - 1, F.lit(1)))).otherwise(ring))
+
+
+def reproject_ring(ring: Column, project: Callable[[Column, Column], tuple[Column, Column]]) -> Column:
+    """The ring with each point through a projection, such as ``tm_forward``."""
+
+    def point(p: Column) -> Column:
+        x, y = project(p["x"], p["y"])
+        return F.struct(x.alias("x"), y.alias("y"))
+
+    return F.transform(ring, point)
+
+
+def clip_ring(ring: Column, min_x: float, min_y: float, max_x: float, max_y: float) -> Column:
+    """The part of a ring in a box: the half plane of each side in turn. Empty if nothing is left."""
+    none = F.array().cast("array<struct<x:double,y:double>>")
+
+    def half_plane(axis: str, bound: float, sign: int) -> Callable[[Column], Column]:
+        def kept(e: Column) -> Column:
+            a, b = (sign * (e[f"{axis}{i}"] - bound) for i in (1, 2))
+            t = F.coalesce(F.try_divide(a, a - b), F.lit(0.0))
+            cut = F.struct((e["x1"] + t * (e["x2"] - e["x1"])).alias("x"), (e["y1"] + t * (e["y2"] - e["y1"])).alias("y"))
+            end = F.struct(e["x2"].alias("x"), e["y2"].alias("y"))
+            return F.concat(F.when((a >= 0) != (b >= 0), F.array(cut)).otherwise(none), F.when(b >= 0, F.array(end)).otherwise(none))
+
+        return kept
+
+    for axis, bound, sign in (("x", min_x, 1), ("x", max_x, -1), ("y", min_y, 1), ("y", max_y, -1)):
+        ring = F.flatten(F.transform(_closed(ring), half_plane(axis, bound, sign)))
+    return ring
+
+
 def _cell(v: Column, size: float) -> Column:
     return F.floor(v / size).cast("long")
 

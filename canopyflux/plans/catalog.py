@@ -644,12 +644,56 @@ def numbered_parcels(spark, sf_dir):
     return refdb.numbered(fx.table(spark, sf_dir, "orders"), "o_custkey", ["o_orderdate", "o_orderkey"]).select("o_orderkey", "parcel")
 
 
-@query("""WITH d AS (SELECT o_orderkey, o_orderdate::DATE AS a, CASE WHEN o_orderkey % 3 > 0 THEN o_orderdate::DATE + (o_orderkey % 41 - 20)::INT END AS b FROM orders)
-    SELECT o_orderkey, CASE WHEN b IS NULL OR a = b THEN a - 5 ELSE least(a, b) END AS data0, CASE WHEN b IS NULL OR a = b THEN a + 5 ELSE greatest(a, b) END AS data1 FROM d""")
+def _parcels(spark, sf_dir):
+    k, d = F.col("o_orderkey"), F.to_date("o_orderdate")
+    open_end = F.lit(refdb.OPEN_END).cast("date")
+    return fx.table(spark, sf_dir, "orders").select(
+        "o_orderkey", F.when(k % 4 > 0, d).alias("drop_date"), F.when(k % 3 == 0, open_end).when(k % 3 == 1, F.date_sub(d, 30)).alias("ECCD1"), F.when(k % 5 == 0, open_end).when(k % 5 < 3, F.date_add(d, 40)).alias("ECCD2"),
+        F.when(k % 7 == 0, 1).alias("NC"), F.date_sub(d, (k % 90).cast("int")).alias("start_date"), F.date_add(d, (k % 80 - 20).cast("int")).alias("end_date"),
+    )
+
+
+_PARCELS = """par AS (SELECT o_orderkey, k % 7 = 0 AS nc, CASE WHEN k % 4 > 0 THEN d END AS drop_date, CASE WHEN k % 3 = 0 THEN DATE '1000-01-01' WHEN k % 3 = 1 THEN d - 30 END AS e1, CASE WHEN k % 5 = 0 THEN DATE '1000-01-01' WHEN k % 5 < 3 THEN d + 40 END AS e2,
+    d - (k % 90)::INT AS s, d + (k % 80 - 20)::INT AS e FROM (SELECT o_orderkey, o_orderkey AS k, o_orderdate::DATE AS d FROM orders))"""
+
+
+@query(f"""WITH {_PARCELS} SELECT o_orderkey, CASE WHEN e1 = DATE '1000-01-01' THEN s WHEN e1 IS NOT NULL THEN e1 WHEN NOT nc THEN drop_date - 5 END AS data0,
+    CASE WHEN e2 = DATE '1000-01-01' THEN e WHEN e2 IS NOT NULL THEN e2 WHEN NOT nc THEN drop_date + 5 END AS data1 FROM par""")
 def interval_columns(spark, sf_dir):
-    k = F.col("o_orderkey")
-    o = fx.table(spark, sf_dir, "orders").select("o_orderkey", F.to_date("o_orderdate").alias("a"))
-    return refdb.interval_columns(o.withColumn("b", F.when(k % 3 > 0, F.date_add("a", (k % 41 - 20).cast("int")))), "a", "b").select("o_orderkey", "data0", "data1")
+    return refdb.interval_columns(_parcels(spark, sf_dir)).select("o_orderkey", "data0", "data1")
+
+
+@query(f"""WITH {_PARCELS} SELECT o_orderkey, CASE WHEN e1 IS NULL AND drop_date <= s THEN s - drop_date END AS before, CASE WHEN drop_date >= e THEN drop_date - e END AS after,
+    CASE WHEN drop_date IS NOT NULL AND s = e AND e1 IS NULL THEN s ELSE e1 END AS estimated, CASE WHEN o_orderkey % 9 % 2 = 0 THEN o_orderkey % 5 >= o_orderkey % 9 - o_orderkey % 5 ELSE o_orderkey % 5 >= 0.4 * (o_orderkey % 9) END AS cloudy FROM par""")
+def drop_distances(spark, sf_dir):
+    drop, start, end, e1, k = (F.col(c) for c in ("drop_date", "start_date", "end_date", "ECCD1", "o_orderkey"))
+    before, after = refdb.drop_distances(drop, start, end, e1)
+    cloudy = refdb.missed_by_clouds(k % 9, k % 5, k % 9 - k % 5)
+    return _parcels(spark, sf_dir).select("o_orderkey", before.alias("before"), after.alias("after"), refdb.fill_estimated_date(drop, start, end, e1).alias("estimated"), cloudy.alias("cloudy"))
+
+
+@query(f"WITH {_PARCELS} SELECT o_orderkey, e - drop_date AS date_diff FROM par WHERE drop_date IS NOT NULL")
+def date_difference(spark, sf_dir):
+    return refdb.date_difference(_parcels(spark, sf_dir), "drop_date", "end_date").select("o_orderkey", "date_diff")
+
+
+@query("SELECT o_custkey, o_orderdate::DATE AS d, min(o_orderkey) AS o_orderkey FROM orders GROUP BY ALL")
+def first_of_each_date(spark, sf_dir):
+    o = fx.table(spark, sf_dir, "orders").select("o_custkey", F.to_date("o_orderdate").alias("d"), "o_orderkey")
+    return refdb.first_of_each_date(o, ["o_custkey"], "d", ["o_orderkey"])
+
+
+@query("SELECT min(o_orderdate::DATE) AS first, max(o_orderdate::DATE) AS last FROM orders WHERE o_orderdate::DATE BETWEEN DATE '1997-02-03' AND DATE '1998-04-05'")
+def first_last_image(spark, sf_dir):
+    listed = fx.table(spark, sf_dir, "orders").select(F.to_date("o_orderdate").alias("acq_date"))
+    return images.first_and_last(listed, "1997-02-03", "1998-04-05")
+
+
+@query(f"""WITH {fx.POLYGONS}, b AS (SELECT p, px, py, greatest(px + 1, 20) AS x0 FROM poly) SELECT p, 4::INT AS points, (px + 1)::DOUBLE AS x, (py + 2)::DOUBLE AS y FROM b""")
+def polygon_text(spark, sf_dir):
+    """Rings to WKT and back."""
+    ring = spatial.parse_ring(spatial.ring_wkt(F.col("ring")))
+    return fx.polygons(spark, sf_dir).select("p", ring.alias("r")).select("p", F.size("r").alias("points"), F.col("r")[0]["x"].alias("x"), F.col("r")[0]["y"].alias("y"))
 
 
 @query(f"WITH {_LOG}, l AS (SELECT k, list(DISTINCT d) AS ds FROM log GROUP BY ALL) SELECT k, list_min(list_filter(ds, lambda x: x BETWEEN DATE '1997-01-01' AND DATE '1998-06-30')) AS first FROM l")

@@ -60,6 +60,12 @@ def scenes(collection: DataFrame, start: str, end: str, tile: str | None = None,
     return (out.filter(F.col("cloud_percent") <= clouds) if clouds is not None else out).orderBy("acq_date", "id")
 
 
+def first_and_last(listed: DataFrame, start: str, end: str) -> DataFrame:
+    """One row: the first and the last acquisition date from start to end; nulls for none."""
+    day = F.when(F.col("acq_date").between(F.lit(start).cast("date"), F.lit(end).cast("date")), F.col("acq_date"))
+    return listed.agg(F.min(day).alias("first"), F.max(day).alias("last"))
+
+
 def first_match(scenes_df: DataFrame, other: DataFrame, key: str, order: str) -> DataFrame:
     """Scenes with the first row, by ``order``, of another collection that has the same index."""
     first = other.groupBy(key).agg(*(F.min_by(c, F.struct(order, c)).alias(c) for c in other.columns if c != key))

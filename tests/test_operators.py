@@ -168,3 +168,23 @@ def test_as_of_is_strictly_before(spark):
     ev = spark.createDataFrame([(1, 5), (1, 3), (2, 9)], "k long, at long")
     dates = spark.createDataFrame([(1, 3), (1, 4), (1, 5)], "k long, date long")
     assert sorted(map(tuple, series.closest_earlier(ev, dates, ["k"], "at", "date").collect()), key=str) == [(1, 3, None), (1, 5, 4), (2, 9, None)]
+
+
+def test_clipping_and_projecting_rings(spark):
+    from canopyflux.functions.geodesy import tm_forward, tm_inverse
+
+    ring = F.array(*(F.struct(F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y")) for x, y in ((0, 0), (10, 0), (10, 10), (0, 10))))
+    one = spark.range(1)
+    get = lambda c: one.select(c).first()[0]
+    assert get(spatial.ring_area(spatial.clip_ring(ring, 5, 5, 50, 50))) == 25
+    assert get(spatial.ring_area(spatial.clip_ring(ring, -5, -5, 50, 50))) == 100
+    assert get(F.size(spatial.clip_ring(ring, 20, 20, 30, 30))) == 0
+    lonlat = F.array(*(F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in ((-8.5, 40.0), (-8.4, 40.0), (-8.4, 40.1))))
+    back = spatial.reproject_ring(spatial.reproject_ring(lonlat, tm_forward), tm_inverse)
+    assert all(abs(p.x - x) < 1e-9 and abs(p.y - y) < 1e-9 for p, (x, y) in zip(get(back), ((-8.5, 40.0), (-8.4, 40.0), (-8.4, 40.1)), strict=True))
+    assert get(spatial.parse_ring(F.lit("POINT (1 2)"))) is None
+
+
+def test_a_date_that_only_repeats_is_no_session(spark):
+    df = spark.createDataFrame([("a", D(2000, 1, 1))] * 3 + [("b", D(2000, 1, 1))] * 2, "k string, d date")
+    assert [r.k for r in refdb.cut_sessions(df, "k", "d", repeats=False).collect()] == ["b"]
