@@ -89,7 +89,7 @@ def median_by_region_and_date(df: DataFrame, keys: Sequence[str], value: Column)
 
 
 def closest_earlier(events: DataFrame, dates: DataFrame, keys: Sequence[str], at: str, date: str) -> DataFrame:
-    """Adds ``closest``: the key's last date strictly before the event. One equi join and one maximum; no pairs are sorted."""
+    """Adds ``closest``: the key's last date strictly before the event. Both tables go through one window; no pairs are made."""
     tagged = events.select(*keys, F.col(at).alias("when_"), F.lit(1).alias("event")).unionByName(dates.select(*keys, F.col(date).alias("when_"), F.lit(0).alias("event")).distinct())
     w = _ordered(keys, F.col("when_"), F.col("event").desc()).rowsBetween(Window.unboundedPreceding, -1)
     found = tagged.withColumn("closest", F.max(F.when(F.col("event") == 0, F.col("when_"))).over(w)).filter("event = 1")

@@ -347,10 +347,10 @@ def _modelled(spark, sf_dir):
     return fx.segments(spark, sf_dir).withColumns({"intercept_values": F.col("price") / 100.0, "coeficientes": values})
 
 
-@query(f"""WITH {fx.SEGMENTS}, t AS (SELECT c, tStart, price, unnest(range(tStart // 86400000 + 719163, tEnd // 86400000 + 719164, 20)) AS t, 2 * pi() / 365.25 AS w FROM seg WHERE c % 10 = 1)
+@query(f"""WITH {fx.SEGMENTS}, t AS (SELECT c, tStart, price, unnest(range(tStart // 86400000 + 719163, tEnd // 86400000 + 719164, 20)) AS t, 2 * pi() / 365.25 AS w FROM seg)
     SELECT c, count(*) AS n, round(sum({_CURVE}), 2) AS total FROM t GROUP BY ALL""")
 def predicted_curve(spark, sf_dir):
-    curve = segments.predicted_curve(_modelled(spark, sf_dir).filter("c % 10 = 1"), ["c"], 20)
+    curve = segments.predicted_curve(_modelled(spark, sf_dir), ["c"], 20)
     return curve.groupBy("c").agg(F.count("*").alias("n"), F.round(F.sum("predicted"), 2).alias("total"))
 
 
@@ -469,33 +469,27 @@ def half_split(spark, sf_dir):
 
 # --- graph -------------------------------------------------------------------------------------------------------------
 
-_VERTICES = f"""{fx.SEGMENTS}, ver AS (SELECT row_number() OVER (ORDER BY c, tStart) AS id, x_coord, y_coord, tBreak / 86400000.0 AS t, CASE WHEN lead(tStart) OVER (PARTITION BY c ORDER BY tStart) IS NOT NULL THEN 1 ELSE 0 END AS b FROM seg WHERE c < 400)"""
-_EDGES = f"""{_VERTICES}, edges AS (SELECT l.id AS src, r.id AS dst FROM ver l JOIN ver r ON l.id < r.id AND (l.x_coord - r.x_coord) ^ 2 + (l.y_coord - r.y_coord) ^ 2 <= 144
-    AND ((l.b <> r.b) OR (l.b = 1 AND r.b = 1 AND abs(l.t - r.t) < 30)))"""
+_VERTICES = f"""{fx.SEGMENTS}, ver AS (SELECT c * 1000000 + tStart // 86400000 AS id, x_coord, y_coord, tBreak / 86400000.0 AS t, CASE WHEN lead(tStart) OVER (PARTITION BY c ORDER BY tStart) IS NOT NULL THEN 1 ELSE 0 END AS b FROM seg),
+    near AS (SELECT l.id AS a, r.id AS b, l.b AS lb, r.b AS rb, abs(l.t - r.t) AS dt FROM ver l, (VALUES (0, 0), (10, 0), (-10, 0), (0, 10), (0, -10)) o(dx, dy), ver r
+      WHERE r.x_coord = l.x_coord + dx AND r.y_coord = l.y_coord + dy AND l.id <> r.id)"""
 
 
 def _vertices(spark, sf_dir):
-    """Events of the customers 0 to 399; numbered by place and time, so that SQL can name them."""
-    s = fx.segments(spark, sf_dir).filter("c < 400")
-    from pyspark.sql import Window
+    """Events of all customers; ids name the place and the day, so that SQL can name them, too."""
+    s = segments.mark_breaks(fx.segments(spark, sf_dir), ["c"])
+    return s.select((F.col("c") * 1_000_000 + F.floor(F.col("tStart") / C.DAY_MS)).alias("id"), "x_coord", "y_coord", C.ms_to_days("tBreak").alias("tBreak_days"), "is_break")
 
-    ids = s.groupBy("c").agg(F.count("*").alias("n")).withColumn("base", F.coalesce(F.sum("n").over(Window.orderBy("c").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    own = segments.mark_breaks(s, ["c"]).withColumn("nth", F.row_number().over(Window.partitionBy("c").orderBy("tStart")))
-    return own.join(ids, "c").select((F.col("base") + F.col("nth")).alias("id"), "x_coord", "y_coord", C.ms_to_days("tBreak").alias("tBreak_days"), "is_break")
 
-
-@query(f"WITH {_EDGES} SELECT src, dst FROM edges")
+@query(f"WITH {_VERTICES} SELECT a AS src, b AS dst FROM near WHERE a < b AND ((lb <> rb) OR (lb = 1 AND rb = 1 AND dt < 30))")
 def event_edges(spark, sf_dir):
     return graph.event_edges(_vertices(spark, sf_dir))
 
 
-_BREAKS = f"""{_VERTICES}, near AS (SELECT l.id AS a, r.id AS b FROM ver l JOIN ver r ON l.id <> r.id AND (l.x_coord - r.x_coord) ^ 2 + (l.y_coord - r.y_coord) ^ 2 <= 144 AND l.b = 1 AND r.b = 1 AND abs(l.t - r.t) < 8)"""
-
-
-@query(f"""WITH RECURSIVE {_BREAKS}, reach(a, b) AS (SELECT DISTINCT a, a FROM near UNION SELECT r.a, n.b FROM reach r JOIN near n ON n.a = r.b), roots AS (SELECT a AS node, min(b) AS root FROM reach GROUP BY ALL)
-    SELECT root, count(*) AS events FROM roots GROUP BY ALL""")
+@query(f"""WITH RECURSIVE {_VERTICES}, link AS (SELECT a, b FROM near WHERE lb = 1 AND rb = 1 AND dt < 4), reach(a, b) AS (SELECT DISTINCT a, a FROM link UNION SELECT r.a, n.b FROM reach r JOIN link n ON n.a = r.b),
+    roots AS (SELECT a AS node, min(b) AS root FROM reach GROUP BY ALL) SELECT root, count(*) AS events FROM roots GROUP BY ALL""")
 def component_stats(spark, sf_dir):
-    edges = graph.event_edges(_vertices(spark, sf_dir).filter("is_break = 1"), days=8)
+    """Breaks less than four days apart, by component."""
+    edges = graph.event_edges(_vertices(spark, sf_dir).filter("is_break = 1"), days=4)
     named = components(edges.select(F.col("src").alias("a"), F.col("dst").alias("b")))
     members = named.unionByName(named.select(F.col("root").alias("node"), "root").distinct())
     return members.groupBy("root").agg(F.count("*").alias("events"))
@@ -584,7 +578,7 @@ def accuracy_metrics(spark, sf_dir):
 @query()
 def reference_join(spark, sf_dir):
     """Segments in reference polygons, by analyst."""
-    s = _filtered(spark, sf_dir).filter("c < 400").withColumns({"x_coord": F.col("x_coord").cast("double"), "y_coord": F.col("y_coord").cast("double")})
+    s = _filtered(spark, sf_dir).withColumns({"x_coord": F.col("x_coord").cast("double"), "y_coord": F.col("y_coord").cast("double")})
     p = fx.polygons(spark, sf_dir).withColumns({"data_1": F.when(F.col("p") % 3 != 0, 19970305), "data_3": F.when(F.col("p") % 4 == 0, 19990711)})
     return validation.join_reference(s, p, cell=50).select("x_coord", "y_coord", "tStart", "p", "bordadura", "nome", "data1_z", "Valid_breaks", "delta_min")
 

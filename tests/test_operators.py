@@ -104,6 +104,8 @@ def test_communities_are_a_partition_of_good_modularity(spark):
     edges = [(i, j) for g in groups for i in g for j in g if i < j] + [(0, 12), (12, 24)]
     got = {x.id: x.community_id for x in graph.communities(spark.createDataFrame(edges, "src long, dst long")).collect()}
     assert [len({got[i] for i in g}) for g in groups] == [1, 1, 1] and len(set(got.values())) == 3
+    got = {x.id: x.community_id for x in graph.communities(spark.createDataFrame(edges, "src long, dst long"), most=10).collect()}
+    assert set(got) == set(range(36)) and all(got[i] <= i for i in got)
 
 
 def test_hull_holds_its_points():
