@@ -3,12 +3,11 @@
 from __future__ import annotations
 
 import os
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from canopyflux.operators.components import cut, shared_dir  # noqa: F401
 
@@ -33,17 +32,12 @@ def core(df: DataFrame, id_col: str, *cols: str) -> DataFrame:
     return df.select(F.col(id_col).alias(id_col), *[F.col(c).alias(c) for c in cols])
 
 
-def map_batches(
-    df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: T.StructType | str
-) -> DataFrame:
-    """``fn`` over Arrow batches; one batch is in memory at a time."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if (out := fn(b)) is not None:
-                yield out
-
-    return df.mapInArrow(run, schema)
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """Batches in smaller pieces, so that what is made from them stays small; freed memory goes back between them."""
+    for b in batches:
+        for lo in range(0, b.num_rows, rows):
+            yield b.slice(lo, rows)
+        pa.default_memory_pool().release_unused()
 
 
 def texts(batch: pa.RecordBatch, col: str) -> Iterator[str]:
@@ -79,3 +73,7 @@ class Memory(dict):
             self.update((x, self.old[x]) for x in known)
             new = new - known
         return new
+
+    def forget(self) -> None:
+        self.clear()
+        self.old = {}

@@ -145,7 +145,7 @@ def _gather(start: np.ndarray, sizes: np.ndarray, pool: np.ndarray) -> np.ndarra
 
 @lru_cache(2)
 def word_ids(path: str) -> WordIds:
-    """One for each worker process, which remembers words from task to task."""
+    """One for each worker process, as loading takes longer than small tasks do."""
     return WordIds(path)
 
 
@@ -178,6 +178,8 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capa
                 cols = list(zip(*rest, strict=True))
                 arrays = [pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64()), strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column(id_col).take(pa.array(at)), *arrays], names=schema.names)
+        encode.parts.forget()  # the worker lives on, for other work
+        pa.default_memory_pool().release_unused()
 
     return rows.mapInArrow(run, schema)
 

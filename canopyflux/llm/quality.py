@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ASCII_SPACE, core, texts, unused
+from .common import ASCII_SPACE, core, slices, texts
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
@@ -192,7 +192,7 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules
     )
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             found = []
             for x in texts(b, text_col):
                 t = Text(x)
@@ -210,10 +210,10 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules
 def filter_quality(docs: DataFrame, text_col: str = "text", rules: Sequence[Rule] = BASE_RULES + RULES) -> DataFrame:
     """The rows that no rule rejects, with all their columns, as they were."""
     cascade = plan(docs, rules, text_col)
-    verdict = unused(docs.columns, "kept")
+    place = docs.columns.index(text_col)
 
-    @F.pandas_udf(T.BooleanType())
-    def passes(batch):
-        return batch.map(lambda x: first_rejection(cascade, Text(x or "")) is None).astype(bool)
+    def run(batches):
+        for b in slices(batches):
+            yield b.filter(pa.array([first_rejection(cascade, Text(x.as_py() or "")) is None for x in b.column(place)], pa.bool_()))
 
-    return docs.withColumn(verdict, passes(F.col(text_col))).filter(F.col(verdict)).drop(verdict)
+    return docs.mapInArrow(run, docs.schema)

@@ -32,7 +32,7 @@ from pyspark.sql import types as T
 
 from canopyflux.operators.components import components, cut
 
-from .common import core, texts, unused
+from .common import core, slices, texts, unused
 
 BITS = 3
 SHINGLE = 3
@@ -79,7 +79,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = core(docs, id_col, text_col)
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             fps = np.array([fingerprint(x) for x in texts(b, text_col)], np.uint64)
             yield pa.RecordBatch.from_arrays([b.column(id_col).cast(pa.int64()), pa.array(fps.view(np.int64))], names=["doc", "fp"])
 
