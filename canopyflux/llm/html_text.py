@@ -39,7 +39,7 @@ COVERED = 0.5
 #: A path with at least this share of a page's tokens is the page's text.
 BULK = 0.3
 #: Bytes of pages that are handled together.
-SHARD_BYTES = 4_000_000
+SHARD_BYTES = 1_000_000
 #: Most hosts of several shards that are broadcast; beyond it they are joined by a shuffle.
 BROADCAST_HOSTS = 50_000
 
