@@ -1,12 +1,14 @@
-"""Main text of web pages, by host suffix arrays over page token streams.
+"""Main text of web pages, by repeats over whole hosts and page structure.
 
-Pages of a host are handled together, in shards of bounded bytes where the host is large. Each page is cut into blocks
-(runs of text between block-level tags) with their element paths, and its token stream is the words of all its blocks,
-each block headed by its path. The streams of a shard, one after the other, are indexed by a suffix array; substrings of
-at least :data:`WINDOW` tokens that occur on :data:`PAGES` or more distinct pages cover the tokens they hold. The array
-sorts suffixes by their first ``WINDOW`` tokens, which is enough: a longer repeat is a union of repeated windows.
+Each page is cut into blocks (runs of text between block-level tags) with their element paths, and its token stream is
+the words of all its blocks, each block headed by its path. Substrings of at least :data:`WINDOW` tokens that occur on
+:data:`PAGES` or more distinct pages of a host cover the tokens they hold; a longer repeat is a union of repeated windows.
 
-A block is boilerplate if it is covered and if what stands on its path is mostly covered, over the pages of the shard.
+Whatever a host's size, its repeats are counted over all of its pages: tasks count the distinct pages of each window by
+its 64-bit hash (host, tokens), the partial counts are added up, and a second pass adds up how much of each path of a host
+is covered. The last pass decides with both. :func:`main_texts` does the same in memory, by a suffix array.
+
+A block is boilerplate if it is covered and if what stands on its path is mostly covered, over the pages of the host.
 A path that carries the bulk of a page's text is never boilerplate, nor are headings in the article: copies of an article
 stay text. What remains is held against the page's structure: blocks in menus, footers, sidebars, notices, adverts,
 forms, comments and the like go, and where a page marks an article, so does all that stands outside of it.
@@ -18,9 +20,11 @@ are pages of their own; an empty table gives an empty result. Other columns don'
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
 from collections import defaultdict
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -29,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import core, cut
+from .common import core, cut, slices
 from .url_parts import host_of
 
 WINDOW = 8
@@ -38,10 +42,14 @@ PAGES = 3
 COVERED = 0.5
 #: A path with at least this share of a page's tokens is the page's text.
 BULK = 0.3
-#: Bytes of pages that are handled together.
+#: Bytes of pages that a task handles together where repeats go by shuffles.
 SHARD_BYTES = 1_000_000
-#: Most hosts of several shards that are broadcast; beyond it they are joined by a shuffle.
-BROADCAST_HOSTS = 50_000
+#: Bytes of pages whose windows are counted together.
+BUCKET_BYTES = 16_000_000
+#: Most repeated windows, and most paths, that are broadcast; beyond it each shard is given its own by shuffles.
+BROADCAST_WINDOWS, BROADCAST_PATHS = 1_000_000, 50_000
+#: Windows that a task counts before it passes them on.
+HELD_WINDOWS = 2_000_000
 
 # Names of HTML elements, roles and attribute words.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -183,13 +191,13 @@ def window_groups(tokens: np.ndarray, size: int = WINDOW) -> np.ndarray:
     return place
 
 
-def covered(tokens: np.ndarray, page: np.ndarray, size: int = WINDOW, pages: int = PAGES) -> np.ndarray:
-    """Which tokens lie in a substring of ``size`` tokens or more that occurs on so many distinct pages or more.
+def repeats(tokens: np.ndarray, page: np.ndarray, size: int = WINDOW) -> np.ndarray:
+    """On how many distinct pages the window of ``size`` tokens that starts at each token occurs; 0 where none fits in the page.
 
-    tokens: numbers; a negative one ends a page and is in no substring. page: each token's page.
+    tokens: numbers; a negative one ends a page and is in no window. page: each token's page.
     """
     n = len(tokens) - size + 1
-    out = np.zeros(len(tokens), bool)
+    out = np.zeros(len(tokens), np.int64)
     if n <= 0:
         return out
     ends = tokens < 0
@@ -198,80 +206,285 @@ def covered(tokens: np.ndarray, page: np.ndarray, size: int = WINDOW, pages: int
     whole = page[:n] == page[size - 1 :]
     at = np.flatnonzero(whole & ~ends[:n] & ~ends[size - 1 :])
     order = at[np.lexsort((page[at], place[at]))]  # the suffix array: windows in order, equal ones by page
+    if not len(order):
+        return out
     p, q = place[order], page[order]
-    first = np.r_[True, p[1:] != p[:-1]] if len(p) else np.zeros(0, bool)
+    first = np.r_[True, p[1:] != p[:-1]]
     group = np.cumsum(first) - 1
-    fresh = first | np.r_[True, q[1:] != q[:-1]] if len(p) else first
-    hit = order[np.bincount(group, fresh)[group] >= pages] if len(p) else order
-    edge = np.zeros(len(tokens) + 1, np.int64)
-    np.add.at(edge, hit, 1)
-    np.add.at(edge, hit + size, -1)
-    return np.cumsum(edge[:-1]) > 0
+    fresh = first | np.r_[True, q[1:] != q[:-1]]
+    out[order] = np.bincount(group, fresh)[group]
+    return out
 
 
-def main_texts(pages: list[str]) -> list[str]:
-    """The main text of each page of one host (or of a shard of it)."""
-    found = [blocks(x) for x in pages]
-    numbers: dict[str, int] = {}
-    stream: list[int] = []
-    lengths: list[int] = []  # of each block with its path token; each page ends with one more token
-    owners: list[int] = []
-    for k, own in enumerate(found):
-        before = len(stream)
-        for b in own:
-            words = b.text.split(" ")
-            stream.append(numbers.setdefault("\0" + b.path, len(numbers)))
-            stream += [numbers.setdefault(w, len(numbers)) for w in words]
-            lengths.append(len(words) + 1)
-        stream.append(-1)
-        lengths.append(1)
-        owners.append(len(stream) - before)
-    tokens = np.array(stream, np.int64)
-    page = np.repeat(np.arange(len(found)), owners)
-    starts = np.cumsum([0, *lengths[:-1]]) if lengths else np.zeros(0, np.int64)
-    hit = np.add.reduceat(covered(tokens, page).astype(np.int64), starts) if len(tokens) else np.zeros(0, np.int64)
-    total: dict[str, int] = defaultdict(int)
-    held: dict[str, int] = defaultdict(int)
-    i = 0
-    for own in found:
-        for b in own:
-            total[b.path] += lengths[i]
-            held[b.path] += int(hit[i])
+def spread(hit: np.ndarray, size: int = WINDOW) -> np.ndarray:
+    """Which tokens lie in a window that starts where ``hit`` is true."""
+    edge = np.zeros(len(hit) + size + 1, np.int64)
+    at = np.flatnonzero(hit)
+    np.add.at(edge, at, 1)
+    np.add.at(edge, at + size, -1)
+    return np.cumsum(edge)[: len(hit)] > 0
+
+
+def covered(tokens: np.ndarray, page: np.ndarray, size: int = WINDOW, pages: int = PAGES) -> np.ndarray:
+    """Which tokens lie in a substring of ``size`` tokens or more that occurs on so many distinct pages or more."""
+    return spread(repeats(tokens, page, size) >= pages, size)
+
+
+_HASHES: dict[str, int] = {}
+
+
+def _hash(x: str) -> int:
+    """63 bits of a word, a path (headed by a zero character) or a host, the same in every process."""
+    found = _HASHES.get(x)
+    if found is None:
+        if len(_HASHES) >= 400_000:
+            _HASHES.clear()
+        found = _HASHES[x] = int.from_bytes(hashlib.blake2b(x.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little") >> 1
+    return found
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+class Pages:
+    """Parsed pages and their token streams, one after the other."""
+
+    def __init__(self, raw: list[str | None], hosts: list[str]) -> None:
+        self.found, self.hosts = [blocks(x or "") for x in raw], hosts
+        stream: list[int] = []
+        lengths: list[int] = []  # of each block with its path token; each page ends with one more token
+        owners: list[int] = []
+        for own in self.found:
+            before = len(stream)
+            for b in own:
+                words = b.text.split(" ")
+                stream.append(_hash("\0" + b.path))
+                stream += map(_hash, words)
+                lengths.append(len(words) + 1)
+            stream.append(-1)
+            lengths.append(1)
+            owners.append(len(stream) - before)
+        self.tokens, self.lengths = np.array(stream, np.int64), lengths
+        self.page = np.repeat(np.arange(len(owners)), owners)
+        self.starts = np.cumsum([0, *lengths[:-1]]) if lengths else np.zeros(0, np.int64)
+
+    def windows(self) -> tuple[np.ndarray, np.ndarray]:
+        """Where a window starts and the hash of its host and tokens."""
+        n = len(self.tokens) - WINDOW + 1
+        if n <= 0:
+            return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        at = np.flatnonzero((self.page[:n] == self.page[WINDOW - 1 :]) & (self.tokens[WINDOW - 1 :] >= 0))
+        host = np.array([_hash("\1" + x) for x in self.hosts], np.uint64)
+        out = _mixed(host)[self.page[at]]
+        for k in range(WINDOW):
+            out = _mixed(out * np.uint64(0x9E3779B97F4A7C15) + self.tokens[at + k].astype(np.uint64))
+        return at, out
+
+    def counted(self) -> tuple[np.ndarray, np.ndarray]:
+        """The distinct hashes of windows, in order, and the pages that hold each."""
+        at, h = self.windows()
+        page = self.page[at]
+        order = np.lexsort((page, h))
+        h, page = h[order], page[order]
+        first = np.r_[True, h[1:] != h[:-1]] if len(h) else np.zeros(0, bool)
+        fresh = first | np.r_[True, page[1:] != page[:-1]] if len(h) else first
+        return _added(h[fresh], np.ones(int(fresh.sum()), np.int64))
+
+    def looked_up(self, hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """As :func:`repeats` from counts by hash, which are in order; 0 for hashes that aren't there."""
+        out = np.zeros(len(self.tokens), np.int64)
+        at, h = self.windows()
+        if len(hashes):
+            i = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
+            out[at] = np.where(hashes[i] == h, counts[i], 0)
+        return out
+
+    def held(self, seen: np.ndarray) -> np.ndarray:
+        """Covered tokens of each block (and of each page's end)."""
+        return np.add.reduceat(spread(seen >= PAGES).astype(np.int64), self.starts) if len(self.tokens) else np.zeros(0, np.int64)
+
+    def totals(self, seen: np.ndarray) -> dict[tuple[str, str], tuple[int, int]]:
+        """For each host and path its tokens and the covered ones."""
+        hit, i = self.held(seen).tolist(), 0
+        out: dict[tuple[str, str], list[int]] = defaultdict(lambda: [0, 0])
+        for host, own in zip(self.hosts, self.found, strict=True):
+            for b in own:
+                sums = out[host, b.path]
+                sums[0] += self.lengths[i]
+                sums[1] += hit[i]
+                i += 1
             i += 1
-        i += 1
-    out, i = [], 0
-    for own in found:
-        article = any(b.article for b in own)
-        mass: dict[str, int] = defaultdict(int)
-        for k, b in enumerate(own):
-            if not b.apart:
-                mass[b.path] += lengths[i + k]
-        bulk = BULK * sum(mass.values())
-        kept = []
-        for b in own:
-            stays = not b.apart and (b.article or not article)
-            if stays and hit[i] >= 0.8 * lengths[i] and held[b.path] >= COVERED * total[b.path] and mass[b.path] < bulk and not (b.article and b.tag in HEADINGS):
-                stays = False
-            if stays:
-                kept.append(b.text)
+        return {k: (a, b) for k, (a, b) in out.items()}
+
+    def texts(self, seen: np.ndarray, repeated: set[tuple[str, str]]) -> list[str]:
+        """The main text of each page. repeated: hosts and paths that are mostly covered."""
+        hit, lengths = self.held(seen).tolist(), self.lengths
+        out, i = [], 0
+        for host, own in zip(self.hosts, self.found, strict=True):
+            article = any(b.article for b in own)
+            mass: dict[str, int] = defaultdict(int)
+            for k, b in enumerate(own):
+                if not b.apart:
+                    mass[b.path] += lengths[i + k]
+            bulk = BULK * sum(mass.values())
+            kept = []
+            for b in own:
+                stays = not b.apart and (b.article or not article)
+                if stays and hit[i] >= 0.8 * lengths[i] and (host, b.path) in repeated and mass[b.path] < bulk and not (b.article and b.tag in HEADINGS):
+                    stays = False
+                if stays:
+                    kept.append(b.text)
+                i += 1
             i += 1
-        i += 1
-        out.append("\n".join(kept))
-    return out
+            out.append("\n".join(kept))
+        return out
 
 
-def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """One row for each row: id, url, text, n_chars."""
-    rows = core(pages, id_col, url_col, html_col).withColumn("host_", host_of(F.col(url_col)))
-    sizes = rows.groupBy("host_").agg(F.sum(F.coalesce(F.octet_length(html_col), F.lit(0)).cast("long")).alias("bytes")).filter(F.col("bytes") > shard_bytes)
-    large = cut(sizes.select("host_", F.ceil(F.col("bytes") / shard_bytes).cast("int").alias("shards_")))
-    if large.count() <= BROADCAST_HOSTS:
-        large = F.broadcast(large)
-    dealt = rows.join(large, "host_", "left").withColumn("shard_", F.pmod(F.xxhash64(id_col, url_col, F.octet_length(html_col)), F.coalesce("shards_", F.lit(1)))).drop("shards_")
-    schema = T.StructType([rows.schema[id_col], rows.schema[url_col], T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
+def _added(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct hashes in order and the sums of their counts."""
+    if not len(hashes):
+        return hashes, counts
+    order = np.argsort(hashes, kind="stable")
+    hashes, counts = hashes[order], counts[order]
+    first = np.flatnonzero(np.r_[True, hashes[1:] != hashes[:-1]])
+    return hashes[first], np.add.reduceat(counts, first)
 
-    def run(table: pa.Table) -> pa.Table:
-        found = main_texts([x or "" for x in table.column(html_col).to_pylist()])
-        return pa.table([table.column(id_col), table.column(url_col), pa.array(found, pa.string()), pa.array([len(x) for x in found], pa.int64())], names=schema.names)
 
-    return dealt.groupBy("host_", "shard_").applyInArrow(run, schema)
+def main_texts(pages: list[str]) -> list[str]:
+    """The main text of each page of one host."""
+    own = Pages(pages, [""] * len(pages))
+    seen = repeats(own.tokens, own.page)
+    return own.texts(seen, {k for k, (total, held) in own.totals(seen).items() if held >= COVERED * total})
+
+
+_COUNTED = "bucket long, shard_ long, hashes binary, counts binary"
+_SUMS = "shard_ long, host_ string, path string, total long, held long"
+
+
+def _dealt(hashes: np.ndarray, counts: np.ndarray, buckets: int, shard: int = -1) -> pa.RecordBatch:
+    """Counts by hash, in order, as a row for each bucket that has some. Counts are held to 255: repeats need no more."""
+    place = (hashes % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(place, kind="stable")
+    place, hashes, counts = place[order], hashes[order].astype("<u8"), np.minimum(counts[order], 255).astype(np.uint8)
+    first = np.flatnonzero(np.r_[True, place[1:] != place[:-1]]) if len(place) else np.zeros(0, np.int64)
+    bounds = [*first.tolist(), len(place)]
+    cols = [[], [], [], []]
+    for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+        for col, x in zip(cols, (int(place[a]), shard, hashes[a:b].tobytes(), counts[a:b].tobytes()), strict=True):
+            col.append(x)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["bucket", "shard_", "hashes", "counts"])
+
+
+def _joined(hashes: list[bytes | None], counts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+    return np.frombuffer(b"".join(x for x in hashes if x), "<u8"), np.frombuffer(b"".join(x for x in counts if x), np.uint8).astype(np.int64)
+
+
+def _sums(totals: dict[tuple[str, str], tuple[int, int]], shard: int = -1) -> pa.RecordBatch:
+    keys = list(totals)
+    cols = [pa.array([shard] * len(keys), pa.int64()), pa.array([h for h, _ in keys], pa.string()), pa.array([p for _, p in keys], pa.string())]
+    return pa.RecordBatch.from_arrays([*cols, *(pa.array([totals[k][i] for k in keys], pa.int64()) for i in (0, 1))], names=["shard_", "host_", "path", "total", "held"])
+
+
+def extract_text(
+    pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", shard_bytes: int = SHARD_BYTES,
+    most_windows: int = BROADCAST_WINDOWS, most_paths: int = BROADCAST_PATHS, bucket_bytes: int = BUCKET_BYTES,
+) -> DataFrame:
+    """One row for each row: id, url, text, n_chars. The sizes bound what a task holds; they change no result."""
+    rows = core(pages, id_col, url_col, html_col).withColumn("host_", F.coalesce(host_of(F.col(url_col)), F.lit("")))
+    size = rows.agg(F.sum(F.octet_length(html_col).cast("long"))).first()[0] or 0
+    buckets, shards = size // bucket_bytes + 1, size // shard_bytes + 1
+    schema = T.StructType([rows.schema[id_col], rows.schema[url_col], T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
+
+    def parsed(part) -> Pages:
+        return Pages(part.column(html_col).to_pylist(), part.column("host_").to_pylist())
+
+    def answer(part, found: list[str]) -> pa.Table:
+        own = pa.Table.from_batches([part]) if isinstance(part, pa.RecordBatch) else part
+        return pa.table([own.column(id_col), own.column(url_col), pa.array(found, pa.string()), pa.array([len(x) for x in found], pa.int64())], names=schema.names)
+
+    def count(batches) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        n = 0
+        for part in slices(batches, 100):
+            held.append(parsed(part).counted())
+            n += len(held[-1][0])
+            if n > HELD_WINDOWS:
+                yield _dealt(*_added(*map(np.concatenate, zip(*held, strict=True))), buckets)
+                held, n = [], 0
+        if held:
+            yield _dealt(*_added(*map(np.concatenate, zip(*held, strict=True))), buckets)
+
+    def add(table: pa.Table) -> pa.Table:
+        h, n = _added(*_joined(table.column("hashes").to_pylist(), table.column("counts").to_pylist()))
+        h, n = h[n >= PAGES], np.minimum(n[n >= PAGES], 255).astype(np.uint8)
+        return pa.table([pa.array([x], t) for x, t in ((table.column("bucket")[0].as_py(), pa.int64()), (-1, pa.int64()), (h.tobytes(), pa.binary()), (n.tobytes(), pa.binary()))], names=["bucket", "shard_", "hashes", "counts"])
+
+    common = cut(rows.mapInArrow(count, _COUNTED).groupBy("bucket").applyInArrow(add, _COUNTED))
+
+    def collected(counted: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        found = counted.select("hashes", "counts").collect()
+        return _added(*_joined([r["hashes"] for r in found], [r["counts"] for r in found]))
+
+    def repeated(sums: DataFrame) -> DataFrame:
+        return sums.groupBy("host_", "path").agg(F.sum("total").alias("total"), F.sum("held").alias("held")).filter(F.col("held") >= COVERED * F.col("total")).select("host_", "path")
+
+    if (common.agg(F.sum(F.octet_length("counts"))).first()[0] or 0) <= most_windows:
+        known = rows.sparkSession.sparkContext.broadcast(collected(common))
+
+        def total(batches) -> Iterator[pa.RecordBatch]:
+            for part in slices(batches, 100):
+                own = parsed(part)
+                yield _sums(own.totals(own.looked_up(*known.value)))
+
+        paths = cut(repeated(rows.mapInArrow(total, _SUMS)))
+        if paths.count() <= most_paths:
+            told = rows.sparkSession.sparkContext.broadcast({(r["host_"], r["path"]) for r in paths.collect()})
+
+            def decide(batches) -> Iterator[pa.RecordBatch]:
+                for part in slices(batches, 100):
+                    own = parsed(part)
+                    yield from answer(part, own.texts(own.looked_up(*known.value), told.value)).to_batches()
+
+            return rows.mapInArrow(decide, schema)
+
+    # Too much to broadcast: each shard of pages is given the repeated windows and paths that it holds, and no others.
+    sharded = rows.withColumn("shard_", F.pmod(F.xxhash64(id_col, url_col, F.octet_length(html_col)), F.lit(shards)))
+
+    def list_windows(table: pa.Table) -> pa.Table:
+        return pa.Table.from_batches([_dealt(*parsed(table).counted(), buckets, table.column("shard_")[0].as_py())])
+
+    def pick(own: pa.Table, all_: pa.Table) -> pa.Table:
+        h, n = _joined(all_.column("hashes").to_pylist(), all_.column("counts").to_pylist())
+        out = [[], [], [], []]
+        for shard, raw in zip(own.column("shard_").to_pylist(), own.column("hashes").to_pylist(), strict=True):
+            wanted = np.frombuffer(raw, "<u8")
+            i = np.minimum(np.searchsorted(h, wanted), len(h) - 1)
+            i = i[h[i] == wanted] if len(h) else i[:0]
+            if len(i):
+                for col, x in zip(out, (-1, shard, h[i].tobytes(), n[i].astype(np.uint8).tobytes()), strict=True):
+                    col.append(x)
+        return pa.table([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["bucket", "shard_", "hashes", "counts"])
+
+    mine = cut(sharded.groupBy("shard_").applyInArrow(list_windows, _COUNTED).groupBy("bucket").cogroup(common.groupBy("bucket")).applyInArrow(pick, _COUNTED))
+
+    def shard_totals(part: pa.Table, facts: pa.Table) -> pa.Table:
+        if not part.num_rows:
+            return pa.Table.from_batches([_sums({})])
+        own = parsed(part)
+        seen = own.looked_up(*_added(*_joined(facts.column("hashes").to_pylist(), facts.column("counts").to_pylist())))
+        return pa.Table.from_batches([_sums(own.totals(seen), part.column("shard_")[0].as_py())])
+
+    sums = cut(sharded.groupBy("shard_").cogroup(mine.groupBy("shard_")).applyInArrow(shard_totals, _SUMS))
+    told = sums.select("shard_", "host_", "path").join(repeated(sums), ["host_", "path"])
+    facts = mine.select("shard_", "hashes", "counts", F.lit(None).cast("string").alias("host_"), F.lit(None).cast("string").alias("path"))
+    facts = facts.unionByName(told.withColumn("hashes", F.lit(None).cast("binary")).withColumn("counts", F.lit(None).cast("binary")))
+
+    def shard_texts(part: pa.Table, facts: pa.Table) -> pa.Table:
+        own = parsed(part)
+        seen = own.looked_up(*_added(*_joined(facts.column("hashes").to_pylist(), facts.column("counts").to_pylist())))
+        return answer(part, own.texts(seen, {(h, p) for h, p in zip(facts.column("host_").to_pylist(), facts.column("path").to_pylist(), strict=True) if p is not None}))
+
+    return sharded.groupBy("shard_").cogroup(facts.groupBy("shard_")).applyInArrow(shard_texts, schema)

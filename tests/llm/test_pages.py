@@ -89,6 +89,23 @@ def test_html_rows(spark):
     assert html_text.extract_text(pages(spark, [])).count() == 0
 
 
+def test_repeats_are_sought_over_the_whole_host(spark):
+    r = random.Random(4)
+    words = [f"w{i}" for i in range(900)]
+    notice = "this notice without telling tags stands on few of the pages of a hot host"
+    rows = []
+    for i in range(60):
+        own = " ".join(r.choice(words) for _ in range(120))
+        rows.append((i, f"http://hot.org/{i}", f"<body><div class='x2'><p>{own}</p></div>" + (f"<div class='x3'>{notice}</div>" if i % 15 == 0 else "")))
+    rows += [(100 + i, f"http://other{i}.org/", f"<div class='x3'>{notice}</div><p>short {i}</p>") for i in range(3)]
+    df = pages(spark, rows).repartition(5)
+    want = dict(zip(range(60), html_text.main_texts([h for _, _, h in rows[:60]]), strict=True))
+    assert not any(notice in x for x in want.values())
+    want |= {100 + i: f"{notice}\nshort {i}" for i in range(3)}  # once on each of three hosts is no repeat
+    for sizes in ({}, {"shard_bytes": 2000}, {"shard_bytes": 2000, "most_windows": 0, "bucket_bytes": 9000}, {"shard_bytes": 2000, "most_paths": 0}):
+        assert {x.page_id: x.text for x in html_text.extract_text(df, **sizes).collect()} == want, sizes
+
+
 def test_query_equals_a_plain_parse(spark):
     import html
     import re
