@@ -5,8 +5,8 @@
 2. The histogram of piece lengths (at most ``capacity`` rows, whatever the corpus) goes to the driver. Patterns of few
    lengths that fill a sequence are enumerated, and repeat counts are fitted to the histogram by non-negative least
    squares, rounded down and held to what there is.
-3. What the patterns leave (again a histogram) is packed best-fit decreasing, by groups of equal sequences, so that it
-   takes as long for 10 pieces of a length as for 10 million.
+3. What the patterns leave (again a histogram) is packed best-fit decreasing into the room of the fitted sequences and new
+   ones, by groups of equal sequences, so that it takes as long for 10 pieces of a length as for 10 million.
 4. Both give patterns with repeat counts. A piece has a place among those of its length (numbered by partition, without a
    sort of all rows), and that place names its sequence and its offset.
 
@@ -205,10 +205,16 @@ def nnls(a: np.ndarray, b: np.ndarray, sweeps: int = 60) -> np.ndarray:
     return x
 
 
+def spare(capacity: int) -> int:
+    """Ids that a pattern may leave free; emptier sequences are left to best fit, which has all lengths to choose from."""
+    return capacity // 128
+
+
 def patterns(counts: np.ndarray, capacity: int, most: int = 1500) -> list[tuple[int, ...]]:
-    """Multisets of up to four lengths that there are pieces of, which fill a sequence or nearly so, fullest first.
+    """Multisets of lengths that there are pieces of, which fill a sequence but for :func:`spare` ids, fullest first.
 
-    For each length: the best second one, and for pairs the best third and fourth ones, by the largest length that fits.
+    For each length: the best second one, and for pairs the best third and fourth ones, by the largest length that fits;
+    and each length as often as it fits, with the largest ones that fit in what that leaves.
     """
     there = np.flatnonzero(counts)
     if not len(there):
@@ -218,6 +224,13 @@ def patterns(counts: np.ndarray, capacity: int, most: int = 1500) -> list[tuple[
     best = np.maximum.accumulate(best)
     out = {(x, capacity - x) for x in there.tolist() if 2 * x >= capacity > x and counts[capacity - x]}
     out |= {tuple(sorted((x, int(best[capacity - x])), reverse=True)) for x in there.tolist() if best[capacity - x]}
+    for x in there.tolist():
+        for times in range(capacity // x, max(0, capacity // x - 4), -1):
+            held, room = [x] * times, capacity - times * x
+            while best[room]:
+                held.append(int(best[room]))
+                room -= held[-1]
+            out.add(tuple(sorted(held, reverse=True)))
     i, j = np.triu_indices(len(there))
     some = slice(None, None, 1 + len(i) // 300_000)
     first, second = there[j[some]], there[i[some]]
@@ -227,7 +240,7 @@ def patterns(counts: np.ndarray, capacity: int, most: int = 1500) -> list[tuple[
     fourth = best[room - third]
     rows = np.stack([first, second, third, fourth], 1)[(third + fourth == room) & (third > 0)]
     out |= {tuple(sorted((x for x in row if x), reverse=True)) for row in rows.tolist()}
-    full = sorted(out, key=lambda p: (-sum(p), len(p), p))
+    full = sorted((p for p in out if sum(p) >= capacity - spare(capacity)), key=lambda p: (-sum(p), len(p), p))
     pairs = [p for p in full if len(p) == 2]
     others = [p for p in full if len(p) > 2]
     keep = max(most - len(pairs), most // 2)
@@ -260,8 +273,11 @@ def fitted(counts: np.ndarray, capacity: int) -> tuple[Plan, np.ndarray]:
     return plan, left
 
 
-def best_fit(counts: np.ndarray, capacity: int) -> Plan:
-    """Best-fit decreasing over a histogram. Sequences that hold the same lengths are one group with a count."""
+def best_fit(counts: np.ndarray, capacity: int, begun: Plan = ()) -> Plan:
+    """Best-fit decreasing over a histogram, into the room of sequences that are begun and into new ones.
+
+    Sequences that hold the same lengths are one group with a count.
+    """
     groups: dict[int, list[list]] = {}  # room: [lengths, count]
     rooms = np.zeros(capacity + 1, bool)
 
@@ -269,6 +285,8 @@ def best_fit(counts: np.ndarray, capacity: int) -> Plan:
         groups.setdefault(room, []).append([held, n])
         rooms[room] = True
 
+    for held, n in begun:
+        put(capacity - sum(held), held, n)
     for length in np.flatnonzero(counts)[::-1].tolist():
         n = int(counts[length])
         while n:
@@ -296,9 +314,9 @@ def best_fit(counts: np.ndarray, capacity: int) -> Plan:
 
 
 def packed(counts: np.ndarray, capacity: int = CAPACITY) -> Plan:
-    """The plan for a histogram (index: length): fitted patterns, then best fit for what they leave."""
+    """The plan for a histogram (index: length): fitted patterns, then best fit for what they leave, into their room, too."""
     plan, left = fitted(counts, capacity)
-    return plan + best_fit(left, capacity)
+    return best_fit(left, capacity, plan)
 
 
 def slots(plan: Plan) -> list[tuple[int, int, int, list[int]]]:

@@ -291,6 +291,25 @@ def test_patterns_fit_the_histogram():
     assert np.allclose(x, [1.5, 0], atol=1e-3)
 
 
+@pytest.mark.parametrize(
+    ("lengths", "capacity"),
+    [({100: 1000}, 2048), ({1: 20}, 64), (dict.fromkeys(range(90, 111), 1000), 2048), (dict.fromkeys(range(20, 60), 1000) | {50: 20_000}, 2048), (dict.fromkeys(range(1, 800), 100), 2048)],
+)
+def test_short_pieces_fill_sequences(lengths, capacity):
+    counts = np.zeros(capacity + 1, np.int64)
+    counts[list(lengths)] = list(lengths.values())
+    plan = packing.packed(counts, capacity)
+    held = collections.Counter()
+    for sequence, n in plan:
+        assert sum(sequence) <= capacity
+        for x in sequence:
+            held[x] += n
+    assert held == collections.Counter(lengths)
+    least = -(-sum(x * n for x, n in lengths.items()) // capacity)
+    whole = -(-sum(lengths.values()) // (capacity // min(lengths)))
+    assert sum(n for _, n in plan) <= max(whole, 1.02 * least + 2)
+
+
 def check_packing(rows, out, capacity=packing.CAPACITY):
     from tokenizers import Tokenizer
 
