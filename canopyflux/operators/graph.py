@@ -50,9 +50,8 @@ def louvain(n: int, edges: np.ndarray, weights: np.ndarray, seed: int = 123) ->
             return labels
         own, mass = np.arange(n), degree.copy()
         moved_any = moved = True
-        rounds = 0
-        while moved and rounds < 50:
-            moved, rounds = False, rounds + 1
+        while moved:
+            moved = False
             for v in rng.permutation(n).tolist():
                 links: dict[int, float] = {}
                 for u, w in neighbours[v].items():
@@ -75,39 +74,16 @@ def louvain(n: int, edges: np.ndarray, weights: np.ndarray, seed: int = 123) ->
         edges = own[edges]
 
 
-def propagated(edges: DataFrame, rounds: int = 12) -> DataFrame:
-    """(id, community_id) by label propagation: each vertex takes the most frequent label around it, the least of equals.
-
-    Labels are written each round. A vertex counts its own label once, which keeps labels from swapping.
-    """
-    sides = cut(edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))))
-    labels = cut(sides.select(F.col("src").alias("id")).distinct().withColumn("label", F.col("id")))
-    for _ in range(rounds):
-        around = sides.join(labels, F.col("dst") == F.col("id")).select(F.col("src").alias("id"), "label").unionByName(labels)
-        votes = around.groupBy("id", "label").agg(F.count("*").alias("n"))
-        new = cut(votes.groupBy("id").agg(F.min_by("label", F.struct(-F.col("n"), F.col("label"))).alias("label")))
-        moved = new.join(labels.withColumnRenamed("label", "old"), "id").filter("label <> old").isEmpty()
-        labels = new
-        if moved:
-            break
-    return labels.groupBy("label").agg(F.min("id").alias("community_id")).join(labels, "label").select("id", "community_id")
-
-
-#: Edges of a component that one task handles; larger components are cut by label propagation on the cluster.
-MOST_EDGES = 500_000
-
-
-def communities(edges: DataFrame, seed: int = 123, most: int = MOST_EDGES) -> DataFrame:
+def communities(edges: DataFrame, seed: int = 123, most: int | None = None) -> DataFrame:
     """(id, community_id): modularity communities; each is named by its smallest vertex.
 
-    Components are found on the cluster. Those of up to ``most`` edges are a task's group each; in larger ones communities
-    are those of label propagation, which no task holds as a whole.
+    Components are found on the cluster, and each is a task's group, whatever its size: a component must fit into a task.
+    ``most`` has no effect; it once chose another method for large components.
     """
     edges = cut(edges)
     named = components(edges.select(F.col("src").alias("a"), F.col("dst").alias("b")))
     owners = named.unionByName(named.select(F.col("root").alias("node"), "root").distinct())
     dealt = edges.join(owners, F.col("src") == F.col("node")).select("root", "src", "dst")
-    large = cut(dealt.groupBy("root").agg(F.count("*").alias("n")).filter(F.col("n") > most).select("root"))
 
     def run(table: pa.Table) -> pa.Table:
         ends = np.column_stack([table.column("src").to_numpy(), table.column("dst").to_numpy()])
@@ -117,10 +93,7 @@ def communities(edges: DataFrame, seed: int = 123, most: int = MOST_EDGES) -> Da
         np.minimum.at(first, labels, np.arange(len(ids)))
         return pa.table({"id": ids, "community_id": ids[first[labels]]})
 
-    if large.isEmpty():
-        return dealt.groupBy("root").applyInArrow(run, "id long, community_id long")
-    small = dealt.join(large, "root", "left_anti").groupBy("root").applyInArrow(run, "id long, community_id long")
-    return small.unionByName(propagated(dealt.join(large, "root", "left_semi")))
+    return dealt.groupBy("root").applyInArrow(run, "id long, community_id long")
 
 
 def community_stats(vertices: DataFrame, members: DataFrame, least: int = LEAST_EVENTS) -> DataFrame:

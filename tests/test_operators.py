@@ -108,6 +108,15 @@ def test_communities_are_a_partition_of_good_modularity(spark):
     assert set(got) == set(range(36)) and all(got[i] <= i for i in got)
 
 
+def test_communities_use_one_method_at_every_size(spark):
+    r = np.random.default_rng(3)
+    block = r.integers(0, 4, 60)
+    edges = [(i, j) for i in range(60) for j in range(i) if r.random() < (0.4 if block[i] == block[j] else 0.06)]
+    df = spark.createDataFrame(edges, "src long, dst long").coalesce(1)
+    got = {x.id: x.community_id for x in graph.communities(df).collect()}
+    assert {x.id: x.community_id for x in graph.communities(df, most=10).collect()} == got and len(set(got.values())) > 2
+
+
 def test_hull_holds_its_points():
     r = np.random.default_rng(1)
     pts = r.uniform(0, 100, (200, 2))
