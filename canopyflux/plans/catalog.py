@@ -495,6 +495,14 @@ def component_stats(spark, sf_dir):
     return members.groupBy("root").agg(F.count("*").alias("events"))
 
 
+@query()
+def event_components(spark, sf_dir):
+    """All events, terminal ones and breaks up to the operator's days apart, by component; too much for recursive SQL."""
+    named = components(graph.event_edges(_vertices(spark, sf_dir)).select(F.col("src").alias("a"), F.col("dst").alias("b")))
+    members = named.unionByName(named.select(F.col("root").alias("node"), "root").distinct())
+    return members.groupBy("root").agg(F.count("*").alias("events"))
+
+
 @query()
 def louvain_communities(spark, sf_dir):
     v = _vertices(spark, sf_dir)

@@ -99,6 +99,26 @@ def test_components_equal_brute_force(spark):
     assert got == {v: find(v) for v in parent if find(v) != v}
 
 
+def test_event_components_equal_brute_force(spark):
+    from canopyflux.plans.catalog import QUERIES
+    from tests.helpers import SF
+
+    parent = {}
+
+    def find(v):
+        while parent.setdefault(v, v) != v:
+            v = parent[v]
+        return v
+
+    for r in QUERIES["event_edges"](spark, SF).collect():
+        a, b = find(r.src), find(r.dst)
+        parent[max(a, b)] = min(a, b)
+    want = {}
+    for v in list(parent):
+        want[find(v)] = want.get(find(v), 0) + 1
+    assert want and {r.root: r.events for r in QUERIES["event_components"](spark, SF).collect()} == want
+
+
 def test_communities_are_a_partition_of_good_modularity(spark):
     groups = [range(0, 12), range(12, 24), range(24, 36)]
     edges = [(i, j) for g in groups for i in g for j in g if i < j] + [(0, 12), (12, 24)]
