@@ -620,6 +620,14 @@ def sort_row_pairs(spark, sf_dir):
     return refdb.sort_row_pairs(o, ["d0", "d1"], ["a0", "a1"])
 
 
+@query("SELECT o_orderkey, least(a, coalesce(b, a)) AS d0, CASE WHEN b < a THEN 'second' ELSE 'first' END AS a0, CASE WHEN b IS NOT NULL THEN greatest(a, b) END AS d1, CASE WHEN b < a THEN 'first' WHEN b IS NOT NULL THEN 'second' END AS a1 FROM (SELECT o_orderkey, o_orderdate::DATE AS a, CASE WHEN o_orderkey % 3 > 0 THEN o_orderdate::DATE + (o_orderkey % 41 - 20)::INT END AS b FROM orders)")
+def sort_row_pairs_with_ties(spark, sf_dir):
+    k = F.col("o_orderkey")
+    o = fx.table(spark, sf_dir, "orders").select("o_orderkey", F.to_date("o_orderdate").alias("d0"), F.lit("first").alias("a0"))
+    o = o.withColumn("d1", F.when(k % 3 > 0, F.date_add("d0", (k % 41 - 20).cast("int")))).withColumn("a1", F.when(F.col("d1").isNotNull(), "second"))
+    return refdb.sort_row_pairs(o, ["d0", "d1"], ["a0", "a1"])
+
+
 _YEARS = list(range(1995, 2002))
 
 

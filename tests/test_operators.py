@@ -137,6 +137,15 @@ def test_communities_use_one_method_at_every_size(spark):
     assert {x.id: x.community_id for x in graph.communities(df, most=10).collect()} == got and len(set(got.values())) > 2
 
 
+def test_sorted_row_pairs_hold_the_ties(spark):
+    from canopyflux.plans.catalog import ORACLE_SQL, QUERIES
+    from tests.helpers import SF, spark_rows, sql_rows
+
+    df = QUERIES["sort_row_pairs_with_ties"](spark, SF)
+    assert df.filter("d0 = d1").count() > 0 and df.count() == spark.read.parquet(f"{SF}/orders.parquet").count()
+    assert spark_rows(df) == sql_rows(ORACLE_SQL["sort_row_pairs_with_ties"])
+
+
 def test_hull_holds_its_points():
     r = np.random.default_rng(1)
     pts = r.uniform(0, 100, (200, 2))
