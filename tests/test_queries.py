@@ -1,5 +1,10 @@
 """Every registered time-series query, against its SQL where it has one."""
 
+import shutil
+import subprocess
+import sys
+from pathlib import Path
+
 import pytest
 
 from canopyflux.plans import catalog
@@ -25,6 +30,19 @@ def test_entry_point(spark):
     assert set(e.oracle_sql()) <= set(e.queries())
 
 
+def test_entry_point_without_the_corpus_package(tmp_path):
+    """Both folders of the corpus operators may be deleted; corpus_pipeline.py, if left behind, is then left out, too."""
+    top = Path(__file__).parents[1]
+    for name in ("__spark_entry__.py", "corpus_pipeline.py"):
+        if (top / name).exists():
+            shutil.copy(top / name, tmp_path)
+    shutil.copytree(top / "canopyflux", tmp_path / "canopyflux", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    (tmp_path / "canopyflux/llm/__pycache__").mkdir(parents=True)  # compiled files may stay
+    code = "import __spark_entry__ as e; print(*sorted(e.queries())); print(*sorted(e.oracle_sql()))"
+    found = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, check=True).stdout.split("\n")
+    assert found[0].split() == sorted(catalog.QUERIES) and found[1].split() == sorted(catalog.ORACLE_SQL)
+
+
 def test_projection_is_undone(spark):
     assert all(r.same for r in catalog.QUERIES["tm_round_trip"](spark, SF).collect())
 
