@@ -101,20 +101,32 @@ def exact_copies(
 def drop_exact_copies(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = SALTS, digest: Callable[[Column], Column] = sha256
 ) -> DataFrame:
-    """The rows of ``docs`` that stay, one for each content, with all their columns."""
+    """The rows of ``docs`` that stay, one for each content, with all their columns.
+
+    What stays is decided by digests and ids alone. Whole rows are dealt out once, by digest and id, and pass a hash table of
+    the decisions; they are neither sorted nor merged, and a hot digest's rows lie apart, as their ids differ. Only rows that
+    repeat an id and a digest (null ids among them) are held against each other, and only if there are any.
+    """
     plain, shared = _decisions(docs, id_col, text_col, salts, digest)
     names = docs.columns
-    d, c, k, n = (unused(names, x) for x in ("digest", "content", "keep", "copies"))
+    d, c, i, k = (unused(names, x) for x in ("digest", "content", "doc", "keep"))
     content = squeezed(F.col(text_col))
+    again = cut(_contents(docs, id_col, text_col, digest).groupBy("digest", "doc").count().filter("count > 1").select("digest", "doc"))
+    repeated = not again.isEmpty()
 
     def stay(rows: DataFrame, decided: DataFrame, *by: str) -> DataFrame:
-        joined = rows.join(decided, list(by)).filter(F.col(id_col).cast("long").eqNullSafe(F.col(k)))
-        once = joined.filter(F.col(n) == 1)
-        again = joined.filter(F.col(n) > 1).dropDuplicates([*by])
-        return once.unionByName(again).select(*names)
-
-    renamed = lambda df: df.withColumnsRenamed({"digest": d, "content": c, "keep": k, "copies": n})
-    out = stay(docs.withColumn(d, digest(content)), renamed(plain), d)
+        decided = decided.withColumnsRenamed({"digest": d, "content": c, "keep": k})
+        same = [F.col(f"l.{x}") == F.col(f"r.{x}") for x in by] + [F.col(f"l.{i}").eqNullSafe(F.col(f"r.{k}"))]
+        kept = rows.alias("l").join(decided.select(*by, k).hint("shuffle_hash").alias("r"), same, "left_semi")
+        if repeated:
+            twice = again.withColumnsRenamed({"digest": d, "doc": i}).alias("r")
+            pair = (F.col(f"l.{d}") == F.col(f"r.{d}")) & F.col(f"l.{i}").eqNullSafe(F.col(f"r.{i}"))
+            some = kept.alias("l").join(twice, pair, "left_semi").dropDuplicates([*by, i])
+            kept = kept.alias("l").join(twice, pair, "left_anti").unionByName(some)
+        return kept.select(*names)
+
+    rows = docs.withColumn(i, F.col(id_col).cast("long"))
+    out = stay(rows.withColumn(d, digest(content)), plain, d)
     if shared is not None:
-        out = out.unionByName(stay(docs.withColumn(c, content).withColumn(d, digest(F.col(c))), renamed(shared), d, c))
+        out = out.unionByName(stay(rows.withColumn(c, content).withColumn(d, digest(F.col(c))), shared, d, c))
     return out

@@ -203,11 +203,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK, sampled: int = SAMPLED) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns: of each class, one row with the smallest id.
 
-    Rows without an id can't be named by a class; they all stay.
+    Whole rows are dealt out once, by id, past a hash table of the ids that stay. Rows that repeat an id count as one
+    document; only they are held against each other, and only if there are any. Rows without an id can't be named by a
+    class; they all stay.
     """
-    fp_of = unused(docs.columns, "least")
+    fp_of, kind = unused(docs.columns, "least"), docs.schema[id_col].dataType
     found = cut(fingerprints(docs.filter(F.col(id_col).isNotNull()), id_col, text_col))
     nodes, classes = _classes(found, block, sampled)
-    winners = nodes.join(classes, "fp").filter(F.col("least") == F.col("component")).select(F.col("least").cast(docs.schema[id_col].dataType).alias(fp_of))
-    kept = docs.join(winners, F.col(id_col) == F.col(fp_of), "left_semi").dropDuplicates([id_col])
+    winners = nodes.join(classes, "fp").filter(F.col("least") == F.col("component")).select(F.col("least").cast(kind).alias(fp_of)).distinct()
+    again = cut(found.groupBy("doc").count().filter("count > 1").select(F.col("doc").cast(kind).alias(fp_of)))
+
+    def among(rows: DataFrame, ids: DataFrame, how: str) -> DataFrame:
+        return rows.join(ids.hint("shuffle_hash"), F.col(id_col) == F.col(fp_of), how)
+
+    kept = among(docs, winners, "left_semi")
+    if not again.isEmpty():
+        kept = among(kept, again, "left_anti").unionByName(among(kept, again, "left_semi").dropDuplicates([id_col]))
     return kept.unionByName(docs.filter(F.col(id_col).isNull()))
