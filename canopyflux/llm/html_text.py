@@ -5,16 +5,17 @@ the words of all its blocks, each block headed by its path. Substrings of at lea
 :data:`PAGES` or more distinct pages of a host cover the tokens they hold; a longer repeat is a union of repeated windows.
 
 Whatever a host's size, its repeats are counted over all of its pages: tasks count the distinct pages of each window by
-its 64-bit hash (host, tokens), the partial counts are added up, and a second pass adds up how much of each path of a host
-is covered. The last pass decides with both. :func:`main_texts` does the same in memory, by a suffix array.
+its hash (host, tokens), and the partial counts are added up. A second pass looks the windows of each page up and decides.
+:func:`main_texts` does the same in memory, by a suffix array.
 
-A block is boilerplate if it is covered and if what stands on its path is mostly covered, over the pages of the host.
-A path that carries the bulk of a page's text is never boilerplate, nor are headings in the article: copies of an article
-stay text. What remains is held against the page's structure: blocks in menus, footers, sidebars, notices, adverts,
-forms, comments and the like go, and where a page marks an article, so does all that stands outside of it.
+A block is boilerplate if it is covered and stands on more pages than the page's own text does; so the copies of an
+article stay text, with all that is in them. Blocks on a path that carries the bulk of a page's text, and headings in the
+article, are never boilerplate: a passage that articles share is text. What remains is held against the page's structure:
+menus, footers, sidebars, notices, adverts, forms, comments and the like go, be they blocks or part of a line, and where a
+page marks an article, so does all that stands outside of it.
 
 Defined results: a null or empty page has empty text; broken markup is read as far as it goes (an open comment ends the
-page, a lone ``<`` is text); a null url or one without a host belongs to the host ""; rows that repeat a page or its id
+page, a ``<`` that starts no tag, or a tag that the next ``<`` cuts off, is text); a null url or one without a host belongs to the host ""; rows that repeat a page or its id
 are pages of their own; an empty table gives an empty result. Other columns don't matter.
 """
 
@@ -26,6 +27,7 @@ import re
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -38,18 +40,20 @@ from .url_parts import host_of
 
 WINDOW = 8
 PAGES = 3
-#: Share of a path's tokens that must be covered before its covered blocks count as boilerplate.
-COVERED = 0.5
-#: A path with at least this share of a page's tokens is the page's text.
+#: Share of a block's tokens that must be covered before it can be boilerplate.
+COVERED = 0.8
+#: A path with at least this share of a page's tokens is the page's text, and so is what stands on as few pages as this share of it.
 BULK = 0.3
 #: Bytes of pages that a task handles together where repeats go by shuffles.
 SHARD_BYTES = 1_000_000
 #: Bytes of pages whose windows are counted together.
 BUCKET_BYTES = 16_000_000
-#: Most repeated windows, and most paths, that are broadcast; beyond it each shard is given its own by shuffles.
-BROADCAST_WINDOWS, BROADCAST_PATHS = 1_000_000, 50_000
+#: Most repeated windows that are broadcast; beyond it each shard is given its own by shuffles.
+BROADCAST_WINDOWS = 1_000_000
 #: Windows that a task counts before it passes them on.
 HELD_WINDOWS = 2_000_000
+#: Bits of a window's hash.
+HASH_BITS = 56
 
 # Names of HTML elements, roles and attribute words.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -64,14 +68,21 @@ APART_ROLES = frozenset("navigation banner contentinfo complementary search form
 APART_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe "
     "signup login sidebar rail widget nav navbar navigation menu breadcrumb breadcrumbs pagination pager footer masthead topbar toolbar share sharing social related recommended comment comments "
-    "disqus replies reply respond search copyright legal disclaimer".split()
+    "disqus commentlist reviews replies reply respond search copyright legal disclaimer".split()
 )
+#: A class with one of these words tells what an element goes without or stands beside, or that it holds all the rest.
+NOT_APART = frozenset("has no not with without layout".split())
 ARTICLE_WORDS = frozenset("articlebody article-body article-content post-content post-body entry-content story-body main-content content-body".split())
 
-_MARKUP = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:_-]*)((?:"[^"]*"|'[^']*'|[^>"'])*+|[^>]*)>""", re.S)
+# A tag whose quoted values hold no "<"; a scan that fails ends at the next "<", so that all scans together are linear.
+_MARKUP = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^<>]*+>?|<(/?)([a-zA-Z][a-zA-Z0-9:_-]*+)((?:[^<>"']++|"[^"<]*+"|'[^'<]*+')*+)(>?)""", re.S)
+_PLAIN, _ENDS = re.compile(r"""[^<>"']*"""), re.compile("[<>]")
 _ATTRIBUTE = re.compile(r"""([a-zA-Z][a-zA-Z0-9:_-]*)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 
 
+_CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
+
+
 def _attributes(raw: str) -> dict[str, str]:
     if not raw or raw.isspace() or raw == "/":
         return {}
@@ -88,11 +99,9 @@ def _apart(tag: str, at: dict[str, str], inside: bool) -> bool:
         return True
     if tag in ("html", "body", "main"):
         return False
-    for name in f"{at.get('class', '')} {at.get('id', '')}".lower().split():
-        parts = re.split(r"[-_]+", name)
-        if parts[0] in ("has", "no", "with"):
-            continue
-        if parts[0] in APART_WORDS or parts[-1] in APART_WORDS or (parts[-1] == "header" and not inside):
+    for name in f"{at.get('class', '')} {at.get('id', '')}".split():
+        parts = re.split(r"[-_]+", _CAMEL.sub("-", name).lower())
+        if NOT_APART.isdisjoint(parts) and (not APART_WORDS.isdisjoint(parts) or (parts[-1] == "header" and not inside)):
             return True
     return False
 
@@ -106,75 +115,118 @@ class Block:
     article: bool
 
 
+class _Tags:
+    """Where tags end whose quoted values hold a ``<`` or aren't closed; what is known to lead to no end is remembered."""
+
+    def __init__(self, page: str) -> None:
+        self.page, self.dead = page, set()
+
+    def end(self, at: int) -> int:
+        """The place of the ``>`` that ends a tag from ``at`` on, outside of quotes; else of the next one before any ``<``; else -1."""
+        page, been, i = self.page, [], at
+        while i not in self.dead:
+            been.append(i)
+            i = _PLAIN.match(page, i).end()
+            if i >= len(page) or page[i] == "<":
+                break
+            if page[i] == ">":
+                return i
+            close = page.find(page[i], i + 1)
+            if close < 0:
+                break
+            i = close + 1
+        self.dead.update(been)
+        m = _ENDS.search(page, at)
+        return m.start() if m and m[0] == ">" else -1
+
+
 def blocks(page: str) -> list[Block]:
     """The page's runs of text in page order; white space within each is one space."""
     out: list[Block] = []
-    stack: list[tuple[str, bool, bool, str]] = []  # tag, apart, article, path
+    stack: list[tuple[str, bool, bool, bool, str]] = []  # tag, apart, in a line and apart, article, path
+    opened: dict[str, int] = defaultdict(int)
     parts: list[str] = []
-    apart = article = 0
+    tags = _Tags(page)
+    apart = unseen = article = 0
     path = ""
 
     def flush() -> None:
         raw = "".join(parts)
         parts.clear()
         if text := " ".join((html.unescape(raw) if "&" in raw else raw).split()):
-            out.append(Block(text, path, stack[-1][0] if stack else "", apart > 0, article > 0))
+            out.append(Block(text, path, stack[-1][0] if stack else "", apart > unseen, article > 0))
 
     at, end = 0, len(page)
     while at < end:
         m = _MARKUP.search(page, at)
         if not m:
-            parts.append(page[at:])
+            if not unseen:
+                parts.append(page[at:])
             break
-        if m.start() > at:
+        if m.start() > at and not unseen:
             parts.append(page[at : m.start()])
         at = m.end()
         if not m[2]:
             continue
+        values = m[3]
+        if not m[4]:
+            close = tags.end(m.end(2))
+            if close < 0:  # no tag
+                if not unseen:
+                    parts.append(m[0])
+                continue
+            values, at = page[m.end(2) : close], close + 1
         tag = m[2].lower()
         if tag == "br" or tag not in BLOCK:
-            parts.append(" " if tag == "br" else "")
+            if tag == "br" and not unseen:
+                parts.append(" ")
             if tag in VOID:
                 continue
         else:
             flush()
         if m[1]:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    for _, a, b, _ in stack[i:]:
-                        apart -= a
-                        article -= b
-                    del stack[i:]
-                    path = stack[-1][3] if stack else ""
+            while opened[tag]:
+                name, a, u, b, _ = stack.pop()
+                opened[name] -= 1
+                apart, unseen, article = apart - a, unseen - u, article - b
+                if name == tag:
                     break
+            path = stack[-1][4] if stack else ""
             continue
-        if tag in VOID or m[3].endswith("/") and tag not in BLOCK:
+        if tag in VOID or values.endswith("/") and tag not in BLOCK:
             continue
         if tag in RAW:
-            close = re.compile(rf"</{tag}\b[^>]*>?", re.I).search(page, at)
+            close = _closes(tag).search(page, at)
             at = close.end() if close else end
             continue
-        if tag not in BLOCK and not m[3]:
-            if len(stack) < 400:
-                stack.append((tag, False, False, path))
+        if tag not in BLOCK and not values:
+            stack.append((tag, False, False, False, path))
+            opened[tag] += 1
             continue
-        found = _attributes(m[3])
+        found = _attributes(values)
         is_apart = _apart(tag, found, article > 0)
         is_article = not is_apart and not apart and (
             tag in ("article", "main") or found.get("role") == "main" or bool(ARTICLE_WORDS.intersection(f"{found.get('class', '')} {found.get('id', '')} {found.get('itemprop', '')}".lower().split()))
         )
         if tag in ("p", "li") and stack and stack[-1][0] == tag:  # these close themselves
             stack.pop()
-            path = stack[-1][3] if stack else ""
-        apart += is_apart
-        article += is_article
+            opened[tag] -= 1
+            path = stack[-1][4] if stack else ""
+        in_line = is_apart and tag not in BLOCK
+        apart, unseen, article = apart + is_apart, unseen + in_line, article + is_article
         if tag in BLOCK:  # a path is an element and the one around it, with their classes
             path = f"{path.rpartition('>')[2]}>{tag}" + "".join(f".{c}" for c in sorted(found.get("class", "").split()))
-        stack.append((tag, is_apart, is_article, path))
+        stack.append((tag, is_apart, in_line, is_article, path))
+        opened[tag] += 1
     flush()
     return out
 
 
+@lru_cache(None)
+def _closes(tag: str) -> re.Pattern:
+    return re.compile(rf"</{tag}\b[^>]*>?", re.I)
+
+
 def window_groups(tokens: np.ndarray, size: int = WINDOW) -> np.ndarray:
     """The place of each suffix among all, sorted by their first ``size`` tokens; suffixes that agree there share a place.
 
@@ -243,6 +295,9 @@ def _hash(x: str) -> int:
     return found
 
 
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+
+
 def _mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
@@ -278,20 +333,19 @@ class Pages:
             return np.zeros(0, np.int64), np.zeros(0, np.uint64)
         at = np.flatnonzero((self.page[:n] == self.page[WINDOW - 1 :]) & (self.tokens[WINDOW - 1 :] >= 0))
         host = np.array([_hash("\1" + x) for x in self.hosts], np.uint64)
-        out = _mixed(host)[self.page[at]]
+        out = host[self.page[at]]
         for k in range(WINDOW):
-            out = _mixed(out * np.uint64(0x9E3779B97F4A7C15) + self.tokens[at + k].astype(np.uint64))
-        return at, out
+            out = out * _BASE + self.tokens[at + k].astype(np.uint64)
+        return at, _mixed(out) >> np.uint64(64 - HASH_BITS)
 
     def counted(self) -> tuple[np.ndarray, np.ndarray]:
         """The distinct hashes of windows, in order, and the pages that hold each."""
         at, h = self.windows()
         page = self.page[at]
-        order = np.lexsort((page, h))
+        order = np.argsort(h, kind="stable")  # pages stay in order among equal windows
         h, page = h[order], page[order]
-        first = np.r_[True, h[1:] != h[:-1]] if len(h) else np.zeros(0, bool)
-        fresh = first | np.r_[True, page[1:] != page[:-1]] if len(h) else first
-        return _added(h[fresh], np.ones(int(fresh.sum()), np.int64))
+        fresh = np.r_[True, (h[1:] != h[:-1]) | (page[1:] != page[:-1])] if len(h) else np.zeros(0, bool)
+        return _summed(h[fresh], np.ones(int(fresh.sum()), np.int64))
 
     def looked_up(self, hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
         """As :func:`repeats` from counts by hash, which are in order; 0 for hashes that aren't there."""
@@ -302,95 +356,105 @@ class Pages:
             out[at] = np.where(hashes[i] == h, counts[i], 0)
         return out
 
-    def held(self, seen: np.ndarray) -> np.ndarray:
-        """Covered tokens of each block (and of each page's end)."""
-        return np.add.reduceat(spread(seen >= PAGES).astype(np.int64), self.starts) if len(self.tokens) else np.zeros(0, np.int64)
-
-    def totals(self, seen: np.ndarray) -> dict[tuple[str, str], tuple[int, int]]:
-        """For each host and path its tokens and the covered ones."""
-        hit, i = self.held(seen).tolist(), 0
-        out: dict[tuple[str, str], list[int]] = defaultdict(lambda: [0, 0])
-        for host, own in zip(self.hosts, self.found, strict=True):
-            for b in own:
-                sums = out[host, b.path]
-                sums[0] += self.lengths[i]
-                sums[1] += hit[i]
-                i += 1
-            i += 1
-        return {k: (a, b) for k, (a, b) in out.items()}
-
-    def texts(self, seen: np.ndarray, repeated: set[tuple[str, str]]) -> list[str]:
-        """The main text of each page. repeated: hosts and paths that are mostly covered."""
-        hit, lengths = self.held(seen).tolist(), self.lengths
+    def texts(self, seen: np.ndarray) -> list[str]:
+        """The main text of each page. seen: on how many pages the window that starts at each token occurs."""
+        pages = np.where(seen >= PAGES, seen, 1)  # on how many pages each token stands, with the windows around it
+        wide = pages.copy()
+        for k in range(1, WINDOW):
+            wide[k:] = np.maximum(wide[k:], pages[:-k])
+        lengths, hit = self.lengths, np.add.reduceat((wide >= PAGES).astype(np.int64), self.starts).tolist() if len(wide) else []
         out, i = [], 0
-        for host, own in zip(self.hosts, self.found, strict=True):
+        for own in self.found:
             article = any(b.article for b in own)
-            mass: dict[str, int] = defaultdict(int)
-            for k, b in enumerate(own):
-                if not b.apart:
-                    mass[b.path] += lengths[i + k]
-            bulk = BULK * sum(mass.values())
-            kept = []
-            for b in own:
-                stays = not b.apart and (b.article or not article)
-                if stays and hit[i] >= 0.8 * lengths[i] and (host, b.path) in repeated and mass[b.path] < bulk and not (b.article and b.tag in HEADINGS):
-                    stays = False
-                if stays:
-                    kept.append(b.text)
-                i += 1
-            i += 1
-            out.append("\n".join(kept))
+            stay = [not b.apart and (b.article or not article) for b in own]
+            if any(x and hit[i + k] >= COVERED * lengths[i + k] for k, x in enumerate(stay)):
+                self._drop_boilerplate(own, stay, wide, hit, i)
+            out.append("\n".join(b.text for b, x in zip(own, stay, strict=True) if x))
+            i += len(own) + 1
         return out
 
+    def _drop_boilerplate(self, own: list[Block], stay: list[bool], wide: np.ndarray, hit: list[int], i: int) -> None:
+        """Takes from ``stay`` the blocks of a page, of which the first is block ``i``, that are boilerplate."""
+        mass: dict[str, int] = defaultdict(int)
+        tokens = []
+        for k, b in enumerate(own):
+            if stay[k]:
+                mass[b.path] += self.lengths[i + k]
+                tokens.append(wide[self.starts[i + k] : self.starts[i + k] + self.lengths[i + k]])
+        counts = np.sort(np.concatenate(tokens))
+        text = counts[int(BULK * (len(counts) - 1))]  # the page's own text stands on so many pages
+        for k, b in enumerate(own):
+            n = self.lengths[i + k]
+            if not stay[k] or hit[i + k] < COVERED * n or mass[b.path] >= BULK * len(counts) or (b.article and b.tag in HEADINGS):
+                continue
+            at = self.starts[i + k]
+            stay[k] = bool(np.median(wide[at : at + n]) <= text)
 
-def _added(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct hashes in order and the sums of their counts."""
+
+def _summed(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct hashes and the sums of their counts, of hashes in order."""
     if not len(hashes):
         return hashes, counts
-    order = np.argsort(hashes, kind="stable")
-    hashes, counts = hashes[order], counts[order]
     first = np.flatnonzero(np.r_[True, hashes[1:] != hashes[:-1]])
     return hashes[first], np.add.reduceat(counts, first)
 
 
+def _added(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """As :func:`_summed`, of hashes in any order."""
+    order = np.argsort(hashes, kind="stable")
+    return _summed(hashes[order], counts[order])
+
+
 def main_texts(pages: list[str]) -> list[str]:
     """The main text of each page of one host."""
     own = Pages(pages, [""] * len(pages))
-    seen = repeats(own.tokens, own.page)
-    return own.texts(seen, {k for k, (total, held) in own.totals(seen).items() if held >= COVERED * total})
+    return own.texts(repeats(own.tokens, own.page))
 
 
 _COUNTED = "bucket long, shard_ long, hashes binary, counts binary"
-_SUMS = "shard_ long, host_ string, path string, total long, held long"
+
+
+def _planes(x: np.ndarray, kind: str) -> bytes:
+    """All first bytes, all second bytes and so on; those that are nothing but zeros shrink to nothing in a compressed shuffle."""
+    return np.ascontiguousarray(x.astype(kind).view(np.uint8).reshape(-1, np.dtype(kind).itemsize).T).tobytes()
+
+
+def _numbers(raw: bytes, kind: str) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+
+
+def _packed(hashes: np.ndarray, counts: np.ndarray) -> tuple[bytes, bytes]:
+    """Hashes in order, by their differences, and counts."""
+    return _planes(np.diff(hashes, prepend=np.uint64(0)), "<u8"), _planes(counts, "<u4")
+
+
+def _unpacked(hashes: bytes, counts: bytes) -> tuple[np.ndarray, np.ndarray]:
+    return np.cumsum(_numbers(hashes, "<u8"), dtype=np.uint64), _numbers(counts, "<u4").astype(np.int64)
 
 
 def _dealt(hashes: np.ndarray, counts: np.ndarray, buckets: int, shard: int = -1) -> pa.RecordBatch:
-    """Counts by hash, in order, as a row for each bucket that has some. Counts are held to 255: repeats need no more."""
+    """Counts by hash, in order, as a row for each bucket that has some."""
     place = (hashes % np.uint64(buckets)).astype(np.int64)
     order = np.argsort(place, kind="stable")
-    place, hashes, counts = place[order], hashes[order].astype("<u8"), np.minimum(counts[order], 255).astype(np.uint8)
+    place, hashes, counts = place[order], hashes[order], counts[order]
     first = np.flatnonzero(np.r_[True, place[1:] != place[:-1]]) if len(place) else np.zeros(0, np.int64)
     bounds = [*first.tolist(), len(place)]
     cols = [[], [], [], []]
     for a, b in zip(bounds[:-1], bounds[1:], strict=True):
-        for col, x in zip(cols, (int(place[a]), shard, hashes[a:b].tobytes(), counts[a:b].tobytes()), strict=True):
+        for col, x in zip(cols, (int(place[a]), shard, *_packed(hashes[a:b], counts[a:b])), strict=True):
             col.append(x)
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["bucket", "shard_", "hashes", "counts"])
 
 
-def _joined(hashes: list[bytes | None], counts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
-    return np.frombuffer(b"".join(x for x in hashes if x), "<u8"), np.frombuffer(b"".join(x for x in counts if x), np.uint8).astype(np.int64)
-
-
-def _sums(totals: dict[tuple[str, str], tuple[int, int]], shard: int = -1) -> pa.RecordBatch:
-    keys = list(totals)
-    cols = [pa.array([shard] * len(keys), pa.int64()), pa.array([h for h, _ in keys], pa.string()), pa.array([p for _, p in keys], pa.string())]
-    return pa.RecordBatch.from_arrays([*cols, *(pa.array([totals[k][i] for k in keys], pa.int64()) for i in (0, 1))], names=["shard_", "host_", "path", "total", "held"])
+def _joined(hashes: list[bytes], counts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The sums of all counts by hash, in order."""
+    found = [_unpacked(h, n) for h, n in zip(hashes, counts, strict=True)]
+    return _added(*map(np.concatenate, zip(*found, strict=True))) if found else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
 
 
 def extract_text(
     pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", shard_bytes: int = SHARD_BYTES,
-    most_windows: int = BROADCAST_WINDOWS, most_paths: int = BROADCAST_PATHS, bucket_bytes: int = BUCKET_BYTES,
+    most_windows: int = BROADCAST_WINDOWS, bucket_bytes: int = BUCKET_BYTES,
 ) -> DataFrame:
     """One row for each row: id, url, text, n_chars. The sizes bound what a task holds; they change no result."""
     rows = core(pages, id_col, url_col, html_col).withColumn("host_", F.coalesce(host_of(F.col(url_col)), F.lit("")))
@@ -418,39 +482,24 @@ def extract_text(
             yield _dealt(*_added(*map(np.concatenate, zip(*held, strict=True))), buckets)
 
     def add(table: pa.Table) -> pa.Table:
-        h, n = _added(*_joined(table.column("hashes").to_pylist(), table.column("counts").to_pylist()))
-        h, n = h[n >= PAGES], np.minimum(n[n >= PAGES], 255).astype(np.uint8)
-        return pa.table([pa.array([x], t) for x, t in ((table.column("bucket")[0].as_py(), pa.int64()), (-1, pa.int64()), (h.tobytes(), pa.binary()), (n.tobytes(), pa.binary()))], names=["bucket", "shard_", "hashes", "counts"])
-
-    common = cut(rows.mapInArrow(count, _COUNTED).groupBy("bucket").applyInArrow(add, _COUNTED))
-
-    def collected(counted: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-        found = counted.select("hashes", "counts").collect()
-        return _added(*_joined([r["hashes"] for r in found], [r["counts"] for r in found]))
+        h, n = _joined(table.column("hashes").to_pylist(), table.column("counts").to_pylist())
+        cells = (table.column("bucket")[0].as_py(), int((n >= PAGES).sum()), *_packed(h[n >= PAGES], n[n >= PAGES]))
+        return pa.table([pa.array([x], t) for x, t in zip(cells, (pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["bucket", "windows", "hashes", "counts"])
 
-    def repeated(sums: DataFrame) -> DataFrame:
-        return sums.groupBy("host_", "path").agg(F.sum("total").alias("total"), F.sum("held").alias("held")).filter(F.col("held") >= COVERED * F.col("total")).select("host_", "path")
+    common = cut(rows.mapInArrow(count, _COUNTED).groupBy("bucket").applyInArrow(add, "bucket long, windows long, hashes binary, counts binary"))
 
-    if (common.agg(F.sum(F.octet_length("counts"))).first()[0] or 0) <= most_windows:
-        known = rows.sparkSession.sparkContext.broadcast(collected(common))
+    if (common.agg(F.sum("windows")).first()[0] or 0) <= most_windows:
+        found = common.select("hashes", "counts").collect()
+        known = rows.sparkSession.sparkContext.broadcast(_joined([r["hashes"] for r in found], [r["counts"] for r in found]))
 
-        def total(batches) -> Iterator[pa.RecordBatch]:
+        def decide(batches) -> Iterator[pa.RecordBatch]:
             for part in slices(batches, 100):
                 own = parsed(part)
-                yield _sums(own.totals(own.looked_up(*known.value)))
+                yield from answer(part, own.texts(own.looked_up(*known.value))).to_batches()
 
-        paths = cut(repeated(rows.mapInArrow(total, _SUMS)))
-        if paths.count() <= most_paths:
-            told = rows.sparkSession.sparkContext.broadcast({(r["host_"], r["path"]) for r in paths.collect()})
+        return rows.mapInArrow(decide, schema)
 
-            def decide(batches) -> Iterator[pa.RecordBatch]:
-                for part in slices(batches, 100):
-                    own = parsed(part)
-                    yield from answer(part, own.texts(own.looked_up(*known.value), told.value)).to_batches()
-
-            return rows.mapInArrow(decide, schema)
-
-    # Too much to broadcast: each shard of pages is given the repeated windows and paths that it holds, and no others.
+    # Too much to broadcast: each shard of pages is given the repeated windows that it holds, and no others.
     sharded = rows.withColumn("shard_", F.pmod(F.xxhash64(id_col, url_col, F.octet_length(html_col)), F.lit(shards)))
 
     def list_windows(table: pa.Table) -> pa.Table:
@@ -459,32 +508,19 @@ def extract_text(
     def pick(own: pa.Table, all_: pa.Table) -> pa.Table:
         h, n = _joined(all_.column("hashes").to_pylist(), all_.column("counts").to_pylist())
         out = [[], [], [], []]
-        for shard, raw in zip(own.column("shard_").to_pylist(), own.column("hashes").to_pylist(), strict=True):
-            wanted = np.frombuffer(raw, "<u8")
+        for shard, *raw in zip(*(own.column(x).to_pylist() for x in ("shard_", "hashes", "counts")), strict=True):
+            wanted, _ = _unpacked(*raw)
             i = np.minimum(np.searchsorted(h, wanted), len(h) - 1)
             i = i[h[i] == wanted] if len(h) else i[:0]
             if len(i):
-                for col, x in zip(out, (-1, shard, h[i].tobytes(), n[i].astype(np.uint8).tobytes()), strict=True):
+                for col, x in zip(out, (-1, shard, *_packed(h[i], n[i])), strict=True):
                     col.append(x)
         return pa.table([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["bucket", "shard_", "hashes", "counts"])
 
-    mine = cut(sharded.groupBy("shard_").applyInArrow(list_windows, _COUNTED).groupBy("bucket").cogroup(common.groupBy("bucket")).applyInArrow(pick, _COUNTED))
-
-    def shard_totals(part: pa.Table, facts: pa.Table) -> pa.Table:
-        if not part.num_rows:
-            return pa.Table.from_batches([_sums({})])
-        own = parsed(part)
-        seen = own.looked_up(*_added(*_joined(facts.column("hashes").to_pylist(), facts.column("counts").to_pylist())))
-        return pa.Table.from_batches([_sums(own.totals(seen), part.column("shard_")[0].as_py())])
-
-    sums = cut(sharded.groupBy("shard_").cogroup(mine.groupBy("shard_")).applyInArrow(shard_totals, _SUMS))
-    told = sums.select("shard_", "host_", "path").join(repeated(sums), ["host_", "path"])
-    facts = mine.select("shard_", "hashes", "counts", F.lit(None).cast("string").alias("host_"), F.lit(None).cast("string").alias("path"))
-    facts = facts.unionByName(told.withColumn("hashes", F.lit(None).cast("binary")).withColumn("counts", F.lit(None).cast("binary")))
+    mine = sharded.groupBy("shard_").applyInArrow(list_windows, _COUNTED).groupBy("bucket").cogroup(common.groupBy("bucket")).applyInArrow(pick, _COUNTED)
 
     def shard_texts(part: pa.Table, facts: pa.Table) -> pa.Table:
         own = parsed(part)
-        seen = own.looked_up(*_added(*_joined(facts.column("hashes").to_pylist(), facts.column("counts").to_pylist())))
-        return answer(part, own.texts(seen, {(h, p) for h, p in zip(facts.column("host_").to_pylist(), facts.column("path").to_pylist(), strict=True) if p is not None}))
+        return answer(part, own.texts(own.looked_up(*_joined(facts.column("hashes").to_pylist(), facts.column("counts").to_pylist()))))
 
-    return sharded.groupBy("shard_").cogroup(facts.groupBy("shard_")).applyInArrow(shard_texts, schema)
+    return sharded.groupBy("shard_").cogroup(mine.groupBy("shard_")).applyInArrow(shard_texts, schema)

@@ -49,6 +49,50 @@ def test_copies_of_an_article_stay_text():
     assert html_text.main_texts([page] * 8) == [f"Title of it\n{text}"] * 8
 
 
+def test_coverage_decides(monkeypatch):
+    """Without the repeats, the same pages keep what stands on all of them."""
+    r = random.Random(8)
+    own = [" ".join(f"w{r.randint(0, 900)}" for _ in range(60)) for _ in range(5)]
+    note = "a line without telling tags that every page of this host has in the same place"
+    raw = [f"<main><h1>Head {i}</h1><p>{t}</p><div>{note}</div></main><div>{note}</div>" for i, t in enumerate(own)]
+    assert html_text.main_texts(raw) == [f"Head {i}\n{t}" for i, t in enumerate(own)]
+    monkeypatch.setattr(html_text, "repeats", lambda tokens, page: np.zeros(len(tokens), np.int64))
+    assert html_text.main_texts(raw) == [f"Head {i}\n{t}\n{note}" for i, t in enumerate(own)]
+
+
+def test_shared_passages_and_all_parts_of_copies_stay_text():
+    r = random.Random(9)
+    shared = " ".join(f"s{i}" for i in range(20))
+    pages = [f"<article><p>{' '.join(f'w{r.randint(0, 900)}' for _ in range(60))}</p><p>{shared}</p></article>" for _ in range(6)]
+    assert all(x.endswith("\n" + shared) for x in html_text.main_texts(pages))
+    body = " ".join(f"b{i}" for i in range(100))
+    own = " ".join(f"l{i}" for i in range(20))
+    copy = f"<ul><li>menu of the site with some more words in it than eight</li></ul><article><h2>Title</h2><p>{body}</p><ul><li>{own}</li></ul><blockquote>{own} too</blockquote></article>"
+    assert html_text.main_texts([copy] * 4 + pages)[:4] == [f"Title\n{body}\n{own}\n{own} too"] * 4
+
+
+def test_parts_of_a_line_go():
+    cases = {
+        '<p>Text <span class="advert">Buy now</span> more</p>': "Text more", "<p>a <span hidden>secret <b>x</b></span>b</p>": "a b", '<p>a</p><div class="user-reviews-comments-list">c</div>': "a",
+        '<div class="userComments">c</div><p class="content-with-sidebar">a</p>': "a", '<p>a <a title="x > y" href="<z>">link</a></p>': "a link", "<p>a <i style='display: none'>q<div>r</div></i>b</p>": "a\nb",
+    }
+    for raw, want in cases.items():
+        assert html_text.main_texts([raw]) == [want], raw
+
+
+@pytest.mark.parametrize("part", ["<a ", "<a \"'", "<a '\"<b' ", '<a x="', "<! ", "<div>", "</b>", "<b>", "<p></div>", "<b></i>", "<a <b> '", "&", "<script", "<x y='<' \""])
+def test_hostile_markup_takes_linear_time(part):
+    import time
+
+    def took(n):
+        began = time.process_time()
+        html_text.main_texts([part * n + "</section></i>" * (n // 4)])
+        return time.process_time() - began
+
+    n = 300_000 // len(part)
+    assert took(n) < 8 * took(n // 4) + 0.5
+
+
 def test_covered_equals_brute_force():
     r = np.random.default_rng(0)
     for _ in range(30):
@@ -102,7 +146,7 @@ def test_repeats_are_sought_over_the_whole_host(spark):
     want = dict(zip(range(60), html_text.main_texts([h for _, _, h in rows[:60]]), strict=True))
     assert not any(notice in x for x in want.values())
     want |= {100 + i: f"{notice}\nshort {i}" for i in range(3)}  # once on each of three hosts is no repeat
-    for sizes in ({}, {"shard_bytes": 2000}, {"shard_bytes": 2000, "most_windows": 0, "bucket_bytes": 9000}, {"shard_bytes": 2000, "most_paths": 0}):
+    for sizes in ({}, {"shard_bytes": 2000}, {"shard_bytes": 2000, "most_windows": 0, "bucket_bytes": 9000}, {"shard_bytes": 300, "most_windows": 0}):
         assert {x.page_id: x.text for x in html_text.extract_text(df, **sizes).collect()} == want, sizes
 
 
