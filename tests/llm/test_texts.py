@@ -105,14 +105,30 @@ def test_order_of_rules_changes_no_verdict(spark):
     for _ in range(3):
         random.Random(1).shuffle(rules)
         assert [quality.first_rejection(rules, quality.Text(x)) is None for x in sample] == want
-    assert {r.name for r in quality.ordered(rules, sample)} == {r.name for r in rules}
+    assert {r.name for r in quality.ordered(rules, [quality.trial(rules, x) for x in sample])} == {r.name for r in rules}
 
 
 def test_cheap_and_strict_rules_come_first():
     slow = quality.Rule("slow", lambda t: sum(range(20_000)) and 1, high=0)
     never = quality.Rule("never", lambda t: 0, high=0)
-    fast = quality.Rule("fast", lambda t: 1, high=0)
-    assert [r.name for r in quality.ordered([never, slow, fast], ["a"] * 50)] == ["fast", "slow", "never"]
+    fast = quality.Rule("fast", lambda t: 1 if "a" in t.text else 0, high=0)
+    rules = [never, slow, fast]
+    names = lambda sample: [r.name for r in quality.ordered(rules, [quality.trial(rules, x) for x in sample])]
+    assert names(["a"] * 50) == ["fast", "never", "slow"]  # no row that "slow" rejects reaches it, so it goes by its cost
+    assert names(["a"] * 50 + ["b"] * 20) == ["fast", "slow", "never"]
+
+
+def test_rates_are_those_of_rows_that_reach_a_rule():
+    a, b, c = (quality.Rule(x, len, high=0) for x in "abc")
+    sample = [((True, True, False), (1.0, 1.1, 5.0))] * 90 + [((False, False, True), (1.0, 1.1, 5.0))] * 10
+    assert [r.name for r in quality.ordered([a, b, c], sample)] == ["a", "c", "b"]
+
+
+def test_order_is_stable(spark):
+    df = spark.read.parquet(f"{SF}/documents.parquet")
+    found = {tuple(r.name for r in quality.plan(df, rules, reach=reach)) for _ in range(10) for rules, reach in ((quality.BASE_RULES + quality.RULES, ()), (quality.RULES, quality.BASE_RULES))}
+    assert len(found) == 2
+    assert quality.plan(docs(spark, []), quality.RULES) == list(quality.RULES)
 
 
 def test_quality_rows(spark):
