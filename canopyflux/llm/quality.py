@@ -179,10 +179,10 @@ def ordered(rules: Sequence[Rule], sample: Sequence[tuple[Sequence[bool], Sequen
     rest, live, out = list(range(len(rules))), np.ones(len(sample), bool), []
     while rest:
         seconds = {i: max(float(costs[:, i].mean()), 1e-9) for i in rest}
-        # a hundredth of a row more, so that among rules that reject nothing the cheap one comes first
-        gain = {i: (rejects[live, i].sum() + 0.01) / (seconds[i] * (live.sum() + 1)) for i in rest}
-        best = max(gain.values())
-        first = next(i for i in rest if gain[i] >= LIKE * best)
+        hits = {i: int(rejects[live, i].sum()) for i in rest}
+        some = [i for i in rest if hits[i]] or rest  # where none rejects anything, the cheap ones come first
+        gain = {i: max(hits[i], 1) / seconds[i] for i in some}
+        first = next(i for i in some if gain[i] >= LIKE * max(gain.values()))
         rest.remove(first)
         out.append(rules[first])
         live &= ~rejects[:, first]
