@@ -4,12 +4,18 @@ An archive is a ZIP file with two stored (not deflated) members: ``archive/data.
 member of its own, and ``indexes/index.cdxj``, one line for each record with its place in that member. The reader
 parses the end record, the ZIP64 end record where there is one, the central directory and the local headers, so that it
 knows where a stored member lies in the file; it then reads the index and each record by its range. It needs only an
-object that can seek and read, so an archive may be a file on a mounted store or bytes.
+object that can seek and read.
 
-:func:`write_archives` puts a table's rows into archives of bounded size, one row each, in a table that Spark writes to
-any store. Records with equal payloads are written once: that with the largest id is the response, and the others
-revisit it. Equal payloads are found by length, SHA-256 and SHA-1 with partial counts first, so a payload that a third of
-all rows share leaves each task as one row.
+:func:`write_archives` writes a table's rows to archive files of bounded size in a folder that all executors share, and
+returns their paths. :func:`list_records` reads the directories and indexes and returns a row (path, offset, length) for
+each record; :func:`read_records` reads these byte ranges and nothing else of the files, ranges that adjoin at once. A
+task that is run again writes a file of its own; only files whose tasks have ended are in the table, and others are never
+read.
+
+Records with equal payloads are written once: that with the largest id is the response, and the others revisit it. Equal
+payloads are found by length, SHA-256 and SHA-1, with partial counts, so a payload that a third of all rows share leaves
+each task as one row. Rows are told what they revisit by their ids: digests that many rows share are looked up in a small
+broadcast table, all others by a join of digests and ids alone, and payloads are dealt out once, by id.
 
 Defined results: a null payload counts as empty; payloads shorter than ``least`` bytes are all responses; rows that
 repeat an id and a payload repeat the record; a null or empty url becomes an empty target; an empty table gives no
@@ -24,16 +30,18 @@ import hashlib
 import io
 import json
 import struct
+import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from typing import BinaryIO
 
 import pyarrow as pa
+import pyarrow.fs as fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import core, cut
+from .common import core, cut, shared_dir
 
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 #: Bytes of uncompressed records after which an archive is closed.
@@ -236,18 +244,58 @@ def read_archive(file: BinaryIO) -> Iterator[Record]:
 
 # --- Spark -------------------------------------------------------------------------------------------------------------
 
+#: Copies from which on a payload's digest is broadcast; there is at most one such digest for so many rows.
+HOT_COPIES = 10_000
+#: Most digests that are broadcast (some 100 bytes each); of more, the ones with the most copies.
+HOT_DIGESTS = 50_000
+#: Bytes of adjoining ranges that are read at once.
+READ_BYTES = 4_000_000
+
+
+def store(uri: str) -> tuple[fs.FileSystem, str]:
+    """The file system that a path is on, and the path there. Spark's names of schemes are taken, too."""
+    scheme, sep, rest = uri.partition(":")
+    if not sep or "/" in scheme:
+        return fs.LocalFileSystem(), uri
+    if scheme == "file":
+        return fs.LocalFileSystem(), "/" + rest.lstrip("/")
+    return fs.FileSystem.from_uri({"s3a": "s3", "s3n": "s3"}.get(scheme, scheme) + ":" + rest)
+
 
-def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least: int = 0, size: int = ARCHIVE_BYTES) -> DataFrame:
-    """(archive): one ZIP archive a row, holding a record for each row of ``pages``."""
+def _revisits(rows: DataFrame, least: int, hot_copies: int) -> DataFrame:
+    """(doc, n, sha, refers): for rows that aren't the response of their payload, that response's id. rows: doc, n, sha."""
+    copies = cut(
+        rows.filter(F.col("n") >= least).groupBy("n", "sha").agg(F.max("doc").alias("first"), F.count("*").alias("copies")).filter("copies > 1")
+    )
+    hot = copies.filter(F.col("copies") >= hot_copies).orderBy(F.desc("copies"), "sha").limit(HOT_DIGESTS)
+    hot = cut(hot.select(F.col("n").alias("hot_n"), F.col("sha").alias("hot_sha"), F.col("first").alias("hot_first")))
+    named = rows.join(F.broadcast(hot), (F.col("n") == F.col("hot_n")) & (F.col("sha") == F.col("hot_sha")), "left")
+    direct = named.filter("hot_n IS NOT NULL").select("doc", "n", "sha", F.col("hot_first").alias("first"))
+    others = named.filter("hot_n IS NULL").select("doc", "n", "sha").join(copies.select("n", "sha", "first"), ["n", "sha"])
+    found = direct.unionByName(others.select("doc", "n", "sha", "first")).filter(~F.col("doc").eqNullSafe(F.col("first")) & F.col("first").isNotNull())
+    return found.groupBy("doc", "n", "sha").agg(F.max("first").alias("refers"))
+
+
+def write_archives(
+    pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least: int = 0, size: int = ARCHIVE_BYTES, hot_copies: int = HOT_COPIES
+) -> DataFrame:
+    """(path, records): one row for each ZIP archive written below ``folder``, which hold a record for each row of ``pages``."""
     rows = core(pages, id_col, url_col, payload_col).select(
         F.col(id_col).cast("long").alias("doc"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(payload_col).cast("binary"), F.lit(b"")).alias("payload")
     )
-    bytes_ = F.octet_length("payload")
-    by = {"n": bytes_, "sha": F.concat(F.unhex(F.sha2("payload", 256)), F.unhex(F.sha1("payload")))}
-    copies = rows.filter(bytes_ >= least).select("doc", *(c.alias(k) for k, c in by.items())).groupBy("n", "sha").agg(F.max("doc").alias("first"), F.count("*").alias("copies"))
-    repeated = copies.filter("copies > 1").select(F.col("n").alias("of_n"), F.col("sha").alias("of_sha"), "first")
-    joined = rows.withColumns(by).join(repeated, (F.col("n") == F.col("of_n")) & (F.col("sha") == F.col("of_sha")), "left")
-    records = joined.select("doc", "url", "payload", F.when(~F.col("doc").eqNullSafe(F.col("first")), F.col("first")).alias("refers_to"))
+    rows = rows.withColumns({"n": F.octet_length("payload"), "sha": F.concat(F.unhex(F.sha2("payload", 256)), F.unhex(F.sha1("payload")))})
+    told = _revisits(rows.select("doc", "n", "sha"), least, hot_copies).hint("shuffle_hash").alias("r")
+    same = F.col("l.doc").eqNullSafe(F.col("r.doc")) & (F.col("l.n") == F.col("r.n")) & (F.col("l.sha") == F.col("r.sha"))
+    records = rows.alias("l").join(told, same, "left").select("l.doc", "l.url", "l.payload", "r.refers")
+    folder = folder.rstrip("/")
+
+    def write(held: list[tuple[str, bytes]]) -> pa.RecordBatch:
+        path = f"{folder}/{uuid.uuid4().hex}.zip"
+        at, place = store(path)
+        at.create_dir(place.rpartition("/")[0], recursive=True)
+        with at.open_output_stream(place) as f:
+            f.write(archive(held))
+        return pa.RecordBatch.from_arrays([pa.array([path]), pa.array([len(held)], pa.int64())], names=["path", "records"])
 
     def run(batches):
         held, used = [], 0
@@ -259,40 +307,85 @@ def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
                 held.append((record_id(doc), raw))
                 used += len(raw)
                 if used >= size:
-                    yield pa.RecordBatch.from_arrays([pa.array([archive(held)], pa.binary())], names=["archive"])
+                    yield write(held)
                     held, used = [], 0
         if held:
-            yield pa.RecordBatch.from_arrays([pa.array([archive(held)], pa.binary())], names=["archive"])
-
-    return records.mapInArrow(run, "archive binary")
+            yield write(held)
 
+    return cut(records.mapInArrow(run, "path string, records long"))
 
-def _number(name: str | None) -> int | None:
-    digits = (name or "").removeprefix("<urn:page:").removesuffix(">")
-    return int(digits) if digits else None
 
+def list_records(archives: DataFrame) -> DataFrame:
+    """(path, id, offset, length): where in its file each record lies, from the archives' directories and indexes."""
 
-def read_archives(archives: DataFrame, with_payload: bool = True) -> DataFrame:
-    """One row for each record of a table with a column ``archive``."""
+    def run(batches):
+        for b in batches:
+            for path in b.column("path").to_pylist():
+                at, place = store(path)
+                with at.open_input_file(place) as f:
+                    z = ZipReader(f)
+                    start = z.place(DATA)
+                    found = [json.loads(x) for x in z.read(INDEX).decode().split("\n") if x]
+                cols = [[path] * len(found), [x["id"] for x in found], [start + x["offset"] for x in found], [x["length"] for x in found]]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.string(), pa.int64(), pa.int64()), strict=True)], names=["path", "id", "offset", "length"])
+
+    return archives.select("path").mapInArrow(run, "path string, id string, offset long, length long")
+
+
+def ranges(places: list[tuple[str, int, int]], most: int = READ_BYTES) -> Iterator[tuple[str, int, int, list[tuple[int, int]]]]:
+    """(path, offset, length) put together where one ends as the next begins: path, offset, length, and the parts in it."""
+    held: list[tuple[int, int]] = []
+    path, begin, end = "", 0, 0
+    for p, at, n in places:
+        if held and (p != path or at != end or end + n - begin > most):
+            yield path, begin, end - begin, held
+            held = []
+        if not held:
+            path, begin, end = p, at, at
+        held.append((at - begin, n))
+        end += n
+    if held:
+        yield path, begin, end - begin, held
+
+
+def read_records(places: DataFrame, with_payload: bool = True, most: int = READ_BYTES) -> DataFrame:
+    """One row for each row (path, offset, length) of ``places``: the record that lies there."""
 
     def run(batches):
         kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64()] + [pa.binary()] * with_payload
         for b in batches:
-            for raw in b.column(b.schema.get_field_index("archive")):
-                found = []
-                for r in read_archive(io.BytesIO(raw.as_py())):
-                    f = r.fields
-                    digest = f["warc-payload-digest"].removeprefix("sha1:")
-                    row = (_number(f["warc-record-id"]), f["warc-target-uri"], r.payload_bytes, digest, f["warc-type"], _number(f.get("warc-refers-to")))
-                    found.append(row + (r.payload,) * with_payload)
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True), kinds, strict=True)], names=names)
+            wanted = list(zip(*(b.column(x).to_pylist() for x in ("path", "offset", "length")), strict=True))
+            last, f = None, None
+            try:
+                for path, at, n, parts in ranges(wanted, most):
+                    if path != last:
+                        if f is not None:
+                            f.close()
+                        system, place = store(path)
+                        last, f = path, system.open_input_file(place)
+                    f.seek(at)
+                    raw, found = f.read(n), []
+                    for a, length in parts:
+                        r = parse_record(gzip.decompress(raw[a : a + length]))
+                        row = (_number(r.fields["warc-record-id"]), r.fields["warc-target-uri"], r.payload_bytes, r.fields["warc-payload-digest"].removeprefix("sha1:"))
+                        found.append(row + (r.fields["warc-type"], _number(r.fields.get("warc-refers-to"))) + (r.payload,) * with_payload)
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True), kinds, strict=True)], names=names)
+            finally:
+                if f is not None:
+                    f.close()
 
     schema = "doc long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long" + ", payload binary" * with_payload
     names = [x.split()[0] for x in schema.split(", ")]
-    return archives.select("archive").mapInArrow(run, schema)
+    return places.select("path", "offset", "length").mapInArrow(run, schema)
+
+
+def _number(name: str | None) -> int | None:
+    digits = (name or "").removeprefix("<urn:page:").removesuffix(">")
+    return int(digits) if digits else None
 
 
 def archive_round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least: int = 0) -> DataFrame:
     """Writes a record for each row into archives in the shared folder, reads the archives back, and returns their records."""
-    written = cut(write_archives(pages, id_col, url_col, payload_col, least))
-    return read_archives(written, with_payload=False).drop("url").withColumnRenamed("doc", id_col)
+    folder = f"{shared_dir(pages.sparkSession).rstrip('/')}/warc-{uuid.uuid4().hex}"
+    written = write_archives(pages, folder, id_col, url_col, payload_col, least)
+    return read_records(list_records(written), with_payload=False).drop("url").withColumnRenamed("doc", id_col)

@@ -277,9 +277,10 @@ def test_broken_archives():
             list(warc.read_archive(io.BytesIO(bad)))
 
 
-def test_revisits_equal_brute_force(spark):
+def test_revisits_equal_brute_force(spark, monkeypatch):
     rows = [(1, "u1", "same"), (2, "u2", "same"), (3, "u3", "other"), (4, "u4", None), (5, "u5", ""), (6, None, "é" * 60000), (7, "bad\r\nurl", "same"), (None, "u8", "same"), (9, "u9", "x"), (9, "u9", "x")]
-    for least in (0, 3):
+    for least, hot in ((0, warc.HOT_COPIES), (3, warc.HOT_COPIES), (0, 2)):
+        monkeypatch.setattr(warc.write_archives, "__defaults__", (*warc.write_archives.__defaults__[:-1], hot))
         got = sorted((tuple(r) for r in warc.archive_round_trip(pages(spark, rows).repartition(3), least=least).collect()), key=str)
         want = []
         for i, _, h in rows:
@@ -291,12 +292,40 @@ def test_revisits_equal_brute_force(spark):
     assert warc.archive_round_trip(pages(spark, [])).count() == 0
 
 
-def test_payloads_come_back(spark):
+def test_payloads_come_back(spark, tmp_path):
     rows = [(i, f"http://h/{i}", random.Random(i).choice("abc") * i * 1000) for i in range(1, 30)]
-    written = warc.write_archives(pages(spark, rows).repartition(2), size=20_000)
-    assert written.count() > 4
-    got = {r.doc: (r.url, r.payload.decode()) for r in warc.read_archives(written).collect()}
+    written = warc.write_archives(pages(spark, rows).repartition(2), f"file://{tmp_path}/archives", size=20_000)
+    assert written.count() > 4 and written.count() == len(list((tmp_path / "archives").iterdir()))
+    places = warc.list_records(written)
+    got = {r.doc: (r.url, r.payload.decode()) for r in warc.read_records(places).collect()}
     assert got == {i: (u, h) for i, u, h in rows}
+    some = places.filter("id IN ('<urn:page:3>', '<urn:page:20>')")
+    assert sorted(r.doc for r in warc.read_records(some).collect()) == [3, 20]
+    for path in (tmp_path / "archives").iterdir():
+        with zipfile.ZipFile(path) as z:
+            assert z.testzip() is None
+
+
+def test_ranges_hold_what_is_asked_for_and_no_more():
+    places = [("a", 0, 10), ("a", 10, 5), ("a", 20, 5), ("b", 25, 5), ("b", 30, 90), ("b", 120, 20)]
+    assert list(warc.ranges(places, 100)) == [("a", 0, 15, [(0, 10), (10, 5)]), ("a", 20, 5, [(0, 5)]), ("b", 25, 95, [(0, 5), (5, 90)]), ("b", 120, 20, [(0, 20)])]
+    assert list(warc.ranges([])) == []
+
+
+def test_tasks_read_only_their_ranges(spark, tmp_path):
+    """All other bytes of the files are overwritten before the records are read."""
+    rows = [(i, f"http://h/{i}", str(i) * 5000) for i in range(40)]
+    places = warc.list_records(warc.write_archives(pages(spark, rows).coalesce(1), f"file://{tmp_path}/one")).collect()
+    kept = [p for p in places if int(p.id[10:-1]) % 7 == 0]
+    (path,) = {p.path for p in places}
+    file = path.removeprefix("file://")
+    raw = open(file, "rb").read()
+    blank = bytearray(len(raw))
+    for p in kept:
+        blank[p.offset : p.offset + p.length] = raw[p.offset : p.offset + p.length]
+    open(file, "wb").write(blank)
+    got = warc.read_records(spark.createDataFrame([(p.path, p.offset, p.length) for p in kept], "path string, offset long, length long"))
+    assert {r.doc: r.payload.decode() for r in got.collect()} == {i: str(i) * 5000 for i in range(0, 40, 7)}
 
 
 def test_warc_query_equals_sql(spark):
