@@ -1,25 +1,31 @@
 """Licence scans: normalised text held against licence templates by the Dice coefficient over word bigrams.
 
 A text is normalised to its words (runs of ASCII letters and digits, in lower case, spellings such as "licence" made one).
-What is held against the templates are a text's lines, its runs of lines that are rich in template words (a licence
-over several lines or paragraphs), and the text as a whole. The coefficient of two sets of bigrams, counted with
-repeats, is at most 2 * min / (min + max) of their sizes: templates whose size is out of these bounds are pruned before
-anything is compared, as are units with too few words of the templates' vocabulary to reach the threshold.
+What is held against a template are runs of words anywhere in the text, within a line or over many of them. The
+coefficient of two multisets of bigrams is at most 2 * min / (min + max) of their sizes, so only runs within these bounds
+count, and a template is pruned unless somewhere in the text enough of its bigrams stand close enough together to reach the
+threshold. As a bigram that isn't the template's only lowers the score at an end of a run, a unit is, for each template and
+each place of one of its bigrams, the best run from there that ends with one of them (the longest of equal ones).
 
 Of units that overlap, the one with the higher score stays, then the longer, then the earlier one.
 
-Defined results: a null text counts as empty and has no licence; a unit of one word has that word as its only "bigram";
-ties between templates go to the name that sorts first; rows are judged one by one, so repeated rows get equal results
-and an empty table gives an empty result. Other columns don't matter.
+A line such as "All rights reserved." counts as a notice. Long licences are known by the notices that their stewards give
+for use in works, not by their full texts; more templates can be passed.
+
+Defined results: a null text counts as empty and has no licence; ties between templates go to the name that sorts first;
+templates of less than two words match nothing; rows are judged one by one, so repeated rows get equal results and an
+empty table gives an empty result. Other columns don't matter.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Mapping
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -28,8 +34,6 @@ from .common import core, texts
 
 #: Least Dice coefficient of a match.
 THRESHOLD = 0.8
-#: Lines of so many words or fewer, such as one that names the holder of the rights, don't end a run of lines.
-BETWEEN = 12
 
 # Licence notices and statements as their stewards publish them. Several texts can stand for one licence.
 TEMPLATES: tuple[tuple[str, str], ...] = (
@@ -74,6 +78,12 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
         "WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
     ),
     ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
+    (
+        "GPL-2.0",
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either "
+        "version 2 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the "
+        "implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
+    ),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
     (
         "GPL-3.0",
@@ -81,6 +91,18 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
         "version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the "
         "implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
     ),
+    (
+        "LGPL-2.1",
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; "
+        "either version 2.1 of the License, or (at your option) any later version. This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even "
+        "the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details.",
+    ),
+    (
+        "AGPL-3.0",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, "
+        "either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even "
+        "the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Affero General Public License for more details.",
+    ),
     ("LGPL-3.0", "This work is licensed under the GNU Lesser General Public License, version 3."),
     ("AGPL-3.0", "This work is licensed under the GNU Affero General Public License, version 3."),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
@@ -99,16 +121,21 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
     ("CC-BY-ND-4.0", "Licensed under CC BY-ND 4.0."),
     ("CC-BY-NC-SA-4.0", "Licensed under CC BY-NC-SA 4.0."),
     ("CC-BY-NC-ND-4.0", "Licensed under CC BY-NC-ND 4.0."),
+    ("All-Rights-Reserved", "All rights reserved."),
     ("All-Rights-Reserved", "All rights reserved. No part of this publication may be reproduced without prior written permission of the publisher."),
 )
 
 _WORD = re.compile(r"[a-z0-9]+")
-_LINE = re.compile(r"[^\n]+")
-_SAME = {"licence": "license", "licenced": "licensed", "licences": "licenses", "noncommercial": "noncommercial", "copyrights": "copyright"}
+_SAME = {"licence": "license", "licenced": "licensed", "licences": "licenses", "copyrights": "copyright"}
+
+
+def lower(text: str) -> str:
+    """The text with A to Z in lower case; every code point keeps its place."""
+    return text.lower() if text.isascii() else text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
 
 
 def words_of(text: str) -> list[str]:
-    return [_SAME.get(w, w) for w in _WORD.findall(text.lower())]
+    return [_SAME.get(w, w) for w in _WORD.findall(lower(text))]
 
 
 def bigrams(words: list[str]) -> Counter[tuple[str, ...]]:
@@ -131,79 +158,77 @@ class Match:
 
 
 class Scanner:
-    """The templates as bigrams, by size."""
+    """The templates as bigrams of numbered words."""
 
     def __init__(self, templates: tuple[tuple[str, str], ...] = TEMPLATES, threshold: float = THRESHOLD) -> None:
         self.threshold = threshold
-        made = [(name, bigrams(words_of(text))) for name, text in templates]
-        self.templates = sorted((sum(b.values()), name, b) for name, b in made)
-        self.vocabulary = frozenset(w for _, text in templates for w in words_of(text))
-        self.grams = frozenset(g for _, b in made for g in b)
-        ratio = threshold / (2 - threshold)  # least ratio of the sizes of two units that reach the threshold
-        self.ratio = ratio
-        self.smallest = self.templates[0][0] * ratio if made else 0.0
-        self.largest = self.templates[-1][0] / ratio if made else 0.0
-
-    def best(self, words: list[str]) -> tuple[str, float] | None:
-        """The best template for a unit, among those in the size bounds."""
-        size = max(1, len(words) - 1)
-        if not words or not self.smallest <= size <= self.largest:
-            return None
-        found, top = None, 0.0
-        own = None
-        for n, name, grams in self.templates:
-            if n < size * self.ratio or n > size / self.ratio:
-                continue
-            own = own or bigrams(words)
-            score = dice(own, grams)
-            if score >= self.threshold and (score > top or score == top and found is not None and name < found):
-                found, top = name, score
-        return (found, top) if found is not None else None
-
-    def _rich(self, words: list[str]) -> bool:
-        """Whether a line can be a match, or part of one: at least half of a match's bigrams must be some template's."""
-        n = len(words) - 1
-        least = self.ratio / 2 * n
-        if n < 1 or sum(map(self.vocabulary.__contains__, words)) < least:
-            return False
-        return sum(map(self.grams.__contains__, zip(words, words[1:], strict=False))) >= least
+        self.ratio = threshold / (2 - threshold)  # least ratio of the sizes of two units that reach the threshold
+        made = sorted((name, words) for name, text in templates if len(words := words_of(text)) > 1)
+        vocabulary = sorted({w for _, words in made for w in words})
+        self.number = {w: i + 1 for i, w in enumerate(vocabulary)}
+        self.number |= {w: self.number[same] for w, same in _SAME.items() if same in self.number}
+        grams = sorted({g for _, words in made for g in zip(words, words[1:], strict=False)})
+        self.gram = np.zeros((len(vocabulary) + 1) ** 2, np.int32)  # of two words the bigram's number; 0: in no template
+        self.width = len(vocabulary) + 1
+        place = {g: i + 1 for i, g in enumerate(grams)}
+        for (a, b), i in place.items():
+            self.gram[self.number[a] * self.width + self.number[b]] = i
+        self.names = [name for name, _ in made]
+        self.counts = [Counter(place[g] for g in zip(words, words[1:], strict=False)) for _, words in made]
+        self.sizes = [len(words) - 1 for _, words in made]
+        self.holds = np.zeros((len(made), len(grams) + 1), bool)
+        for t, found in enumerate(self.counts):
+            self.holds[t, list(found)] = True
 
     def scan(self, text: str) -> list[Match]:
         """Matches by start; none overlap."""
-        lines: list[tuple[int, int, list[str], bool]] = []
-        for m in _LINE.finditer(text):
-            words = words_of(m[0])
-            lines.append((*m.span(), words, self._rich(words)))
-        found = [Match(*hit, a, b) for a, b, words, rich in lines if rich and (hit := self.best(words))]
-        run: list[tuple[int, int, list[str], bool]] = []
-        for line in [*lines, (0, 0, [""] * (BETWEEN + 1), False)]:
-            if line[3] or run and len(line[2]) <= BETWEEN:
-                run.append(line)
-            else:
-                while run and not run[-1][3]:
-                    run.pop()
-                if len(run) > 1:
-                    found += self._run(run)
-                run = []
-        if len(lines) > 1 and (hit := self.best([w for line in lines for w in line[2]])):
-            found.append(Match(*hit, lines[0][0], lines[-1][1]))
-        kept: list[Match] = []
-        for m in sorted(found, key=lambda m: (-m.score, m.start - m.end, m.start, m.licence)):
-            if all(m.end <= k.start or k.end <= m.start for k in kept):
-                kept.append(m)
-        return sorted(kept, key=lambda m: m.start)
-
-    def _run(self, run: list) -> list[Match]:
-        """Matches of consecutive lines of a run: from each line on, as many as the largest template can have."""
+        low = lower(text)
+        get = self.number.get
+        words = np.array([get(w, 0) for w in _WORD.findall(low)], np.int64)
+        if len(words) < 2:
+            return []
+        grams = self.gram[words[:-1] * self.width + words[1:]]
+        at = np.flatnonzero(grams)
+        if not len(at):
+            return []
+        own, found = grams[at], []
+        for t, size in enumerate(self.sizes):
+            if len(at) >= self.ratio * size:
+                mine = self.holds[t, own]
+                found += self._units(t, at[mine], own[mine])
+        if not found:
+            return []
+        kept: list[tuple[int, int, str, float]] = []
+        starts: list[int] = []
+        for score, begin, end, name in sorted(found, key=lambda f: (-f[0], f[1] - f[2], f[1], f[3])):
+            i = bisect_left(starts, begin)
+            if (i == 0 or kept[i - 1][1] < begin) and (i == len(kept) or end < kept[i][0]):
+                kept.insert(i, (begin, end, name, score))
+                starts.insert(i, begin)
+        spans = [m.span() for m in _WORD.finditer(low)]
+        # a full stop right after a notice belongs to it
+        return [Match(name, score, spans[a][0], (end := spans[b][1]) + (text[end : end + 1] == ".")) for a, b, name, score in kept]
+
+    def _units(self, t: int, at: np.ndarray, own: np.ndarray) -> list[tuple[float, int, int, str]]:
+        """(score, first word, last word, licence) of a template's units that reach the threshold. at: places of its bigrams, own: their numbers."""
+        size, most, counts = self.sizes[t], self.sizes[t] / self.ratio + 1e-9, self.counts[t]
+        need = int(np.ceil(self.ratio * size - 1e-9))  # bigrams in common, of any run that reaches the threshold
+        if len(at) < need:
+            return []
         out = []
-        for i in range(len(run)):
-            words: list[str] = list(run[i][2])
-            for j in range(i + 1, len(run)):
-                words += run[j][2]
-                if len(words) - 1 > self.largest:
+        places, kinds = at.tolist(), own.tolist()
+        for i in np.flatnonzero(at[need - 1 :] - at[: len(at) - need + 1] < most).tolist():
+            left, common, best = dict(counts), 0, (0.0, 0)
+            for j in range(i, len(places)):
+                n = places[j] - places[i] + 1
+                if n > most:
                     break
-                if hit := self.best(words):
-                    out.append(Match(*hit, run[i][0], run[j][1]))
+                if left[kinds[j]]:
+                    left[kinds[j]] -= 1
+                    common += 1
+                best = max(best, (2 * common / (n + size), j))
+            if best[0] >= self.threshold:
+                out.append((best[0], places[i], places[best[1]] + 1, self.names[t]))
         return out
 
 

@@ -34,37 +34,81 @@ def table_texts(spark):
 
 
 def slow_dice(a, b):
-    grams = lambda t: [tuple(w[i : i + 2]) for w in [licences.words_of(t)] for i in range(len(w) - 1)]
-    x, y = grams(a), grams(b)
+    x, y = (list(zip(w, w[1:], strict=False)) for w in (a, b))
     common = sum((collections.Counter(x) & collections.Counter(y)).values())
     return 2 * common / (len(x) + len(y)) if x or y else 0.0
 
 
+def slow_scan(text, templates):
+    """Every run of words against every template."""
+    words, spans = licences.words_of(text), [m.span() for m in re.finditer("[A-Za-z0-9]+", text)]
+    units = []
+    for name, t in templates:
+        own = licences.words_of(t)
+        grams = set(zip(own, own[1:], strict=False))
+        holds = [g in grams for g in zip(words, words[1:], strict=False)]
+        for i, starts in enumerate(holds):
+            scores = [(slow_dice(words[i : j + 2], own), j) for j in range(i, min(len(holds), i + 2 * len(own))) if starts and holds[j]]
+            if scores and max(scores)[0] >= licences.THRESHOLD:
+                score, j = max(scores)
+                units.append((-score, i - j - 1, i, name, j + 1))
+    kept = []
+    for minus, _, a, name, b in sorted(units):
+        if all(b < x or y < a for x, y, *_ in kept):
+            kept.append((a, b, name, -minus))
+    return [licences.Match(n, s, spans[a][0], spans[b][1] + text.startswith(".", spans[b][1])) for a, b, n, s in sorted(kept)]
+
+
 def test_each_template_finds_itself():
     scanner = licences.Scanner()
     for name, text in licences.TEMPLATES:
-        for t in (text, f"Some words before it that mean nothing.\n\n{text}\n\nAnd more after it, at length."):
+        for t in (text, f"Some words before it that mean nothing.\n\n{text}\n\nAnd more after it, at length.", f"And {text} in the middle"):
             assert name in {m.licence for m in scanner.scan(t)}
 
 
-def test_lines_equal_brute_force(spark):
+def test_whole_texts_equal_brute_force(spark):
     scanner = licences.Scanner()
     r = random.Random(2)
-    lines = [x for _, t in table_texts(spark) for x in (t or "").split("\n")][:400]
-    for _, t in licences.TEMPLATES:  # worn copies
-        words = t.split()
-        for _ in range(4):
-            lines.append(" ".join(w for w in words if r.random() > 0.1))
-    for line in lines:
-        scores = [(slow_dice(line, t), n) for n, t in licences.TEMPLATES]
-        top = max(s for s, _ in scores)
-        want = min(n for s, n in scores if s == top) if top >= licences.THRESHOLD else None
-        got = scanner.scan(line)
-        assert (got[0].licence if got else None) == want, line
+    short = [(n, t) for n, t in licences.TEMPLATES if len(t) < 400]
+    pieces = [x for _, t in table_texts(spark) for x in (t or "").split("\n")][:300]
+    seen = 0
+    for k in range(60):
+        text = ""
+        for _ in range(r.randint(1, 5)):
+            worn = [w for w in r.choice(short)[1].split() if r.random() > 0.08]
+            if r.random() < 0.3 and worn:
+                worn.insert(r.randrange(len(worn)), "MIT license under")
+            text += r.choice([" ", "\n", ". ", "\n\n"]) + r.choice([" ".join(worn), " ".join(worn), r.choice(pieces)[:200], "É İ licence"])
+        want = slow_scan(text, licences.TEMPLATES if k < 8 else short)
+        got = (scanner if k < 8 else licences.Scanner(tuple(short))).scan(text)
+        assert [(m.licence, m.start, m.end) for m in got] == [(m.licence, m.start, m.end) for m in want], text
+        assert np.allclose([m.score for m in got], [m.score for m in want])
+        seen += len(got)
+    assert seen > 60
+
+
+def test_notices_inside_lines_and_near_licences():
+    scan = licences.Scanner().scan
+    text = "Intro. This project is licensed under the MIT License. And a long tail that goes on. Copyright 2020 Acme. Released under the MIT License. All rights reserved. More."
+    assert [(m.licence, text[m.start : m.end]) for m in scan(text)] == [("MIT", "This project is licensed under the MIT License."), ("MIT", "Released under the MIT License."), ("All-Rights-Reserved", "All rights reserved.")]
+    for name, t in licences.TEMPLATES:
+        if len(t) > 300:
+            assert {m.licence for m in scan(t)} >= {name}
+
+
+def test_many_notices_take_little_time():
+    import time
+
+    text = "Released under the MIT License.\n" * 4000
+    began = time.process_time()
+    assert len(licences.Scanner().scan(text)) == 4000 and time.process_time() - began < 2
+    for hostile in ("MIT license under the " * 20_000, "of the software and to permit " * 20_000, "x" * 400_000):
+        licences.Scanner().scan(hostile)
+    assert time.process_time() - began < 20
 
 
 def test_a_licence_over_several_lines():
-    _, mit = licences.TEMPLATES[3]
+    mit = next(t for n, t in licences.TEMPLATES if n == "MIT" and len(t) > 300)
     text = "Title line of the work\nCopyright (c) 2020 Somebody\n\n" + mit.replace(". ", ".\n\n") + "\n\nunrelated words follow here and go on\n" * 30
     assert "MIT" in {m.licence for m in licences.Scanner().scan(text)}
 
