@@ -11,6 +11,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -53,11 +54,26 @@ def segments_of(day: np.ndarray, bands: dict[str, np.ndarray], params: CcdParams
     return out
 
 
-def _by_location(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Spreads locations over the cluster. Their series are small but costly, so partitions must not be merged by size."""
+#: Locations, about, in a partition of series: their detection takes a task a minute or so.
+LOCATIONS_PER_PARTITION = 500
+
+
+def _by_location(df: DataFrame, rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows of cleaned observations with one row more for each location of ``df``, whose day is null.
+
+    So a location without any valid observation is a group, too. Locations are spread over the cluster by their number:
+    their series are small but costly, so partitions must not be merged by size.
+    """
     spark = rows.sparkSession
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
-    return rows.repartition(n, *keys)
+    places = df.select(*keys).distinct()
+    number = df.agg(F.approx_count_distinct(F.struct(*keys))).first()[0]
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism, number // LOCATIONS_PER_PARTITION)
+    return rows.unionByName(places, allowMissingColumns=True).repartition(n, *keys)
+
+
+def _series(table: pa.Table) -> pa.Table:
+    """The observations of a location in the order of their days."""
+    return table.filter(pc.is_valid(table.column("day"))).sort_by([("day", "ascending"), *((b, "ascending") for b in BAND_COLUMNS)])
 
 
 _OUT = (
@@ -68,7 +84,7 @@ _OUT = (
 
 
 def detect_changes(df: DataFrame, keys: Sequence[str], date_col: str = "date", params: CcdParams | None = None, nodata: float = NODATA, fitter: kernel.Fitter = kernel.fit_lasso) -> DataFrame:
-    """One row for each segment of each location; a location without a model is one row of nulls.
+    """One row for each segment of each location; a location without a model, or without a valid observation, is one row of nulls.
 
     A series whose detection fails is such a row too, with the reason in ``error``.
     """
@@ -77,47 +93,53 @@ def detect_changes(df: DataFrame, keys: Sequence[str], date_col: str = "date", p
     schema = T.StructType([*(rows.schema[k] for k in keys), *_OUT, T.StructField("error", T.StringType())])
 
     def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("day", "ascending"), *((b, "ascending") for b in BAND_COLUMNS)])
+        key = {k: table.column(k)[0].as_py() for k in keys}
+        table, error = _series(table), None
         cols = {c: table.column(c).to_numpy() for c in ("day", "ndvi", *BAND_COLUMNS)}
-        error = None
         try:
             found = segments_of(cols.pop("day"), cols, params, fitter)
         except (ValueError, ArithmeticError, np.linalg.LinAlgError) as e:  # one series must not end the job
             found, error = [], f"{type(e).__name__}: {e}"
-        key = {k: table.column(k)[0].as_py() for k in keys}
         rows_out = [key | {"error": error} | x for x in found or [{}]]
         return pa.Table.from_pylist([{f: r.get(f) for f in schema.names} for r in rows_out], schema=arrow)
 
     from pyspark.sql.pandas.types import to_arrow_schema
 
     arrow = to_arrow_schema(schema)
-    return _by_location(rows, keys).groupBy(*keys).applyInArrow(run, schema)
+    return _by_location(df, rows, keys).groupBy(*keys).applyInArrow(run, schema)
+
 
+def detection_struct(df: DataFrame, keys: Sequence[str], date_col: str = "date", params: CcdParams | None = None, nodata: float = NODATA, fitter: kernel.Fitter = kernel.fit_lasso) -> DataFrame:
+    """One row for each location with its nested result: algorithm, processing mask and change models.
 
-def detection_struct(df: DataFrame, keys: Sequence[str], date_col: str = "date", params: CcdParams | None = None, nodata: float = NODATA) -> DataFrame:
-    """One row for each location with its nested result: algorithm, processing mask and change models."""
+    A location without a valid observation has an empty mask and no models. One whose detection fails has nulls instead,
+    with the reason in ``error``.
+    """
     from pyspark.sql.pandas.types import to_arrow_schema
 
     from canopyflux.schemas import DETECTION
 
     params = params or CcdParams()
     rows = clean_observations(df, keys, date_col, nodata)
-    schema = T.StructType([*(rows.schema[k] for k in keys), *DETECTION.fields])
+    schema = T.StructType([*(rows.schema[k] for k in keys), *DETECTION.fields, T.StructField("error", T.StringType())])
     arrow = to_arrow_schema(schema)
 
     def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("day", "ascending"), *((b, "ascending") for b in BAND_COLUMNS)])
+        key = {k: table.column(k)[0].as_py() for k in keys} | {"algorithm": "ccd"}
+        table = _series(table)
         c = {x: table.column(x).to_numpy() for x in ("day", "ndvi", "green", "swir2")}
-        found, mask = kernel.detect(c["day"], c["ndvi"], c["green"], c["swir2"], params)
+        try:
+            found, mask = kernel.detect(c["day"], c["ndvi"], c["green"], c["swir2"], params, fitter)
+        except (ValueError, ArithmeticError, np.linalg.LinAlgError) as e:  # one series must not end the job
+            return pa.Table.from_pylist([key | {"error": f"{type(e).__name__}: {e}"}], schema=arrow)
         models = [
             {"start_day": s.start_day, "end_day": s.end_day, "break_day": s.break_day, "observation_count": s.observation_count, "change_probability": float(s.change_probability)}
             | {b: {"rmse": float(s.rmse[i]), "coefficients": s.coefficients[i].tolist(), "intercept": float(s.intercept[i]), "magnitude": float(s.magnitude[i])} for i, b in enumerate(kernel.BANDS)}
             for s in found
         ]
-        key = {k: table.column(k)[0].as_py() for k in keys}
-        return pa.Table.from_pylist([key | {"algorithm": "ccd", "processing_mask": mask.tolist(), "change_models": models}], schema=arrow)
+        return pa.Table.from_pylist([key | {"processing_mask": mask.tolist(), "change_models": models}], schema=arrow)
 
-    return _by_location(rows, keys).groupBy(*keys).applyInArrow(run, schema)
+    return _by_location(df, rows, keys).groupBy(*keys).applyInArrow(run, schema)
 
 
 def cloud_outlier_mask(df: DataFrame, keys: Sequence[str], date_col: str = "date", params: CcdParams | None = None, nodata: float = NODATA) -> DataFrame:
@@ -127,7 +149,7 @@ def cloud_outlier_mask(df: DataFrame, keys: Sequence[str], date_col: str = "date
     schema = T.StructType([*(rows.schema[k] for k in keys), T.StructField("day", T.LongType()), T.StructField("outlier", T.BooleanType())])
 
     def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("day", "ascending"), *((b, "ascending") for b in BAND_COLUMNS)])
+        table = _series(table)
         day = table.column("day").to_numpy()
         values = np.array([table.column(b).to_numpy() for b in kernel.BANDS])
         if len(day) <= params.meow_size:
@@ -136,4 +158,4 @@ def cloud_outlier_mask(df: DataFrame, keys: Sequence[str], date_col: str = "date
             out = kernel.cloud_outliers(day, values, kernel.adjusted_variogram(day, values), params)
         return pa.table([*(table.column(k) for k in keys), table.column("day"), pa.array(out)], names=schema.names)
 
-    return _by_location(rows, keys).groupBy(*keys).applyInArrow(run, schema)
+    return _by_location(df, rows, keys).groupBy(*keys).applyInArrow(run, schema)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from canopyflux.functions.columns import ms_to_date, ms_to_yyyymmdd, position_in_year, raster_index
-from canopyflux.operators.spatial import points_in_polygons
+from canopyflux.operators.spatial import box, grid_cells, inside, meets_box, points_in_polygons
 
 
 def focal(cells: DataFrame, value: str, radius: int, how: str, keys: Sequence[str] = (), row: str = "row", col: str = "col") -> DataFrame:
@@ -44,15 +44,26 @@ def apply_mask(cells: DataFrame, bands: Sequence[str], masked: Column) -> DataFr
     return cells.withColumns({b: F.when(~masked, F.col(b)) for b in bands})
 
 
-def mosaic(parts: DataFrame, order: Sequence[str], keys: Sequence[str] = ("row", "col")) -> DataFrame:
-    """One row for each cell: that of the first part by ``order`` that has it."""
+def mosaic(parts: DataFrame, order: Sequence[str], keys: Sequence[str] = ("row", "col"), region: DataFrame | None = None) -> DataFrame:
+    """One row for each cell: that of the first part by ``order`` that has it. With ``region`` (a table of cells), only its cells."""
+    some = parts if region is None else parts.join(region.select(*keys).distinct(), list(keys), "left_semi")
     first = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-    return parts.withColumn("first_", first).filter("first_ = 1").drop("first_")
-
-
-def rasterise(polygons: DataFrame, grid: DataFrame, x: str = "x", y: str = "y", ring: str = "ring", cell: float = 1000.0) -> DataFrame:
-    """Cells whose centre lies in any polygon."""
-    return points_in_polygons(grid, polygons.select(ring), x, y, ring, cell, "left_semi")
+    return some.withColumn("first_", first).filter("first_ = 1").drop("first_")
+
+
+def rasterise(polygons: DataFrame, grid: DataFrame, x: str = "x", y: str = "y", ring: str = "ring", cell: float = 1000.0, touched: float | None = None) -> DataFrame:
+    """Cells whose centre lies in any polygon; with ``touched``, the side of a cell, all cells that any polygon meets."""
+    if touched is None:
+        return points_in_polygons(grid, polygons.select(ring), x, y, ring, cell, "left_semi")
+    half = touched / 2
+    squares = grid.withColumns({"tx0_": F.col(x) - half, "ty0_": F.col(y) - half, "tx1_": F.col(x) + half, "ty1_": F.col(y) + half})
+    low, high = ("tx0_", "ty0_"), ("tx1_", "ty1_")
+    at = squares.withColumn("pcell_", F.explode(grid_cells(*(F.col(c) for c in (*low, *high)), cell)))
+    corners = box(F.col(ring))
+    dealt = polygons.select(ring).withColumn("cell_", F.explode(grid_cells(corners["min_x"], corners["min_y"], corners["max_x"], corners["max_y"], cell)))
+    meets = inside(F.col(x), F.col(y), F.col(ring)) | meets_box(F.col(ring), *(F.col(c) for c in (*low, *high)))
+    hit = at.join(dealt, (F.col("pcell_") == F.col("cell_")) & meets, "left_semi")
+    return hit.drop("pcell_", *low, *high).dropDuplicates([x, y])
 
 
 def select_pixels(pixels: DataFrame, region: DataFrame, keys: Sequence[str] = ("x", "y")) -> DataFrame:

@@ -4,8 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
+
+from canopyflux.operators.kernel import smallest_mode
 
 
 def _ordered(keys: Sequence[str], *by: str | Column) -> Window:
@@ -39,22 +45,33 @@ def variogram(df: DataFrame, keys: Sequence[str], values: Sequence[str], day: st
     return steps.groupBy(*keys).agg(*(F.median(v).alias(f"{v}_variogram") for v in values))
 
 
-def adjusted_variogram(df: DataFrame, keys: Sequence[str], values: Sequence[str], day: str = "day", longest: int = 24, apart: int = 30) -> DataFrame:
+def adjusted_variogram(df: DataFrame, keys: Sequence[str], values: Sequence[str], day: str = "day", apart: int = 30) -> DataFrame:
     """Median absolute differences at the first lag whose most frequent gap (the smaller of equals) is over ``apart`` days.
 
-    Only gaps over ``apart`` days count at that lag. A key with no such lag up to ``longest`` has its plain variogram.
-    Gaps of all lags are only counted, which combines before the shuffle; values are paired at the lag that is found.
+    Only gaps over ``apart`` days count at that lag. A key with no such lag, however long, has its plain variogram and no
+    lag; one with a single observation has no row. One shuffle brings a key's series together; lags are tried in turn.
     """
-    w = _ordered(keys, day)
-    placed = df.select(*keys, day, *values, F.row_number().over(w).alias("r"), F.array(*(F.col(day) - F.lag(day, k).over(w) for k in range(1, longest + 1))).alias("gaps"))
-    gaps = placed.select(*keys, F.posexplode("gaps").alias("lag", "gap")).filter("gap IS NOT NULL")
-    usual = gaps.groupBy(*keys, "lag", "gap").agg(F.count("*").alias("n")).groupBy(*keys, "lag").agg(F.min_by("gap", F.struct(-F.col("n"), F.col("gap"))).alias("usual"))
-    chosen = usual.groupBy(*keys).agg((F.min(F.when(F.col("usual") > apart, F.col("lag"))) + 1).alias("lag"))
-    placed = placed.drop("gaps")
-    later = placed.join(chosen, list(keys)).withColumn("r", F.col("r") - F.coalesce("lag", F.lit(1)))
-    earlier = placed.select(*keys, "r", F.col(day).alias("day_"), *(F.col(v).alias(f"{v}_") for v in values))
-    pairs = later.join(earlier, [*keys, "r"]).filter(F.col("lag").isNull() | (F.col(day) - F.col("day_") > apart))
-    return pairs.groupBy(*keys, "lag").agg(*(F.median(F.abs(F.col(v) - F.col(f"{v}_"))).alias(f"{v}_variogram") for v in values))
+    rows = df.select(*keys, F.col(day).cast("long").alias("day"), *(F.col(v).cast("double").alias(v) for v in values)).filter("day IS NOT NULL")
+    names = [f"{v}_variogram" for v in values]
+    schema = T.StructType([*(rows.schema[k] for k in keys), T.StructField("lag", T.IntegerType()), *(T.StructField(n, T.DoubleType()) for n in names)])
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("day")
+        days = table.column("day").to_numpy()
+        key = {k: table.column(k)[0].as_py() for k in keys}
+        lag = next((k for k in range(1, len(days)) if smallest_mode(days[k:] - days[:-k]) > apart), None)
+        step = lag or 1
+        far = days[step:] - days[:-step] > (apart if lag else -1)
+        found = {}
+        for v, name in zip(values, names, strict=True):
+            x = table.column(v).to_numpy()
+            steps = np.abs(x[step:] - x[:-step])[far]
+            steps = steps[~np.isnan(steps)]
+            found[name] = float(np.median(steps)) if len(steps) else None
+        return pa.Table.from_pylist([key | {"lag": lag} | found] if len(days) > 1 else [], schema=arrow)
+
+    arrow = to_arrow_schema(schema)
+    return rows.groupBy(*keys).applyInArrow(run, schema)
 
 
 def observations_around(series: DataFrame, events: DataFrame, keys: Sequence[str], values: Sequence[str], n: int = 10, day: str = "day", at: str = "mid") -> DataFrame:

@@ -102,7 +102,7 @@ def _cell(v: Column, size: float) -> Column:
     return F.floor(v / size).cast("long")
 
 
-def _cells(low_x: Column, low_y: Column, high_x: Column, high_y: Column, size: float) -> Column:
+def grid_cells(low_x: Column, low_y: Column, high_x: Column, high_y: Column, size: float) -> Column:
     """All cells that a box touches."""
     return F.flatten(
         F.transform(
@@ -111,13 +111,58 @@ def _cells(low_x: Column, low_y: Column, high_x: Column, high_y: Column, size: f
     )
 
 
+def meets_box(ring: Column, min_x: Column, min_y: Column, max_x: Column, max_y: Column) -> Column:
+    """Whether an edge of the ring and a box have a point in common: the part of the edge that lies between both pairs of sides isn't empty."""
+
+    def common(e: Column) -> Column:
+        first, last, out = F.lit(0.0), F.lit(1.0), F.lit(False)
+        for axis, low, high in (("x", min_x, max_x), ("y", min_y, max_y)):
+            start, step = e[f"{axis}1"], e[f"{axis}2"] - e[f"{axis}1"]
+            a, b = F.try_divide(low - start, step), F.try_divide(high - start, step)
+            first, last = F.greatest(first, F.least(a, b)), F.least(last, F.greatest(a, b))  # an edge along the sides has no such bounds
+            out = out | ((step == 0) & ((start < low) | (start > high)))
+        return ~out & (first <= last)
+
+    return F.exists(_closed(ring), common)
+
+
+def _crossing(a: Column, b: Column) -> Column:
+    """Whether two edges have a point in common, ends included."""
+    turn = lambda e, x, y: F.signum((e["x2"] - e["x1"]) * (y - e["y1"]) - (e["y2"] - e["y1"]) * (x - e["x1"]))
+    apart = lambda e, f: turn(e, f["x1"], f["y1"]) * turn(e, f["x2"], f["y2"])
+    boxes = F.lit(True)
+    for c in "xy":
+        boxes &= (F.greatest(a[f"{c}1"], a[f"{c}2"]) >= F.least(b[f"{c}1"], b[f"{c}2"])) & (F.greatest(b[f"{c}1"], b[f"{c}2"]) >= F.least(a[f"{c}1"], a[f"{c}2"]))
+    return boxes & (apart(a, b) <= 0) & (apart(b, a) <= 0)
+
+
+def polygons_in_polygons(left: DataFrame, right: DataFrame, ring: str = "ring", other: str = "other", cell: float = 1000.0, predicate: str = "within", how: str = "inner", id_col: str = "id") -> DataFrame:
+    """Pairs of a polygon and one it lies ``within`` (no edges cross or touch) or ``intersects``, with all columns of both.
+
+    Column names must differ. With ``how="left"`` polygons without a partner stay, with nulls. A pair that shares several
+    cells is found in the first of them only.
+    """
+    a, b = box(F.col(ring)), box(F.col(other))
+    spread = lambda c: grid_cells(c["min_x"], c["min_y"], c["max_x"], c["max_y"], cell)
+    l, r = left.withColumn("cells_", spread(a)).withColumn("cell_", F.explode("cells_")), right.withColumn("ocells_", spread(b)).withColumn("ocell_", F.explode("ocells_"))
+    cross = F.exists(_closed(F.col(ring)), lambda e: F.exists(_closed(F.col(other)), lambda f: _crossing(e, f)))
+    first = lambda p: (p[0]["x"], p[0]["y"])
+    in_other = inside(*first(F.col(ring)), F.col(other))
+    holds = in_other & ~cross if predicate == "within" else in_other | cross | inside(*first(F.col(other)), F.col(ring))
+    once = F.col("cell_") == F.array_min(F.array_intersect("cells_", "ocells_"))
+    found = l.join(r, (F.col("cell_") == F.col("ocell_")) & once & holds).drop("cells_", "cell_", "ocells_", "ocell_")
+    if how == "inner":
+        return found
+    return found.unionByName(left.join(found.select(id_col).distinct(), id_col, "left_anti"), allowMissingColumns=True)
+
+
 def points_in_polygons(points: DataFrame, polygons: DataFrame, x: str, y: str, ring: str = "ring", cell: float = 1000.0, how: str = "inner") -> DataFrame:
     """Pairs of a point and a polygon that holds it, with all columns of both; with ``left_semi`` the points in any polygon.
 
     Column names must differ. A point in several polygons has a row for each.
     """
     corners = box(F.col(ring))
-    dealt = polygons.withColumn("cell_", F.explode(_cells(corners["min_x"], corners["min_y"], corners["max_x"], corners["max_y"], cell)))
+    dealt = polygons.withColumn("cell_", F.explode(grid_cells(corners["min_x"], corners["min_y"], corners["max_x"], corners["max_y"], cell)))
     at = points.withColumn("pcell_", F.struct(_cell(F.col(x), cell).alias("i"), _cell(F.col(y), cell).alias("j")))
     condition = (F.col("pcell_") == F.col("cell_")) & inside(F.col(x), F.col(y), F.col(ring))
     return at.join(dealt, condition, how).drop("pcell_", "cell_")
@@ -150,7 +195,7 @@ def assign_tile(features: DataFrame, tiles: DataFrame, id_col: str, tile_col: st
     Both tables have min_x, min_y, max_x, max_y.
     """
     names = ("min_x", "min_y", "max_x", "max_y")
-    spread = lambda df: F.explode(_cells(*(df[n] for n in names), cell))
+    spread = lambda df: F.explode(grid_cells(*(df[n] for n in names), cell))
     f = features.select(id_col, *names).withColumn("cell", spread(features))
     t = tiles.select(tile_col, *(F.col(n).alias(f"t_{n}") for n in names), *names).withColumn("cell", spread(tiles)).drop(*names)
     meets = (F.col("min_x") <= F.col("t_max_x")) & (F.col("max_x") >= F.col("t_min_x")) & (F.col("min_y") <= F.col("t_max_y")) & (F.col("max_y") >= F.col("t_min_y"))

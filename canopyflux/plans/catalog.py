@@ -74,6 +74,14 @@ def clean_observations(spark, sf_dir):
     return rows.groupBy("l_suppkey").agg(F.count("*").alias("n"), F.sum(F.floor("ndvi")).alias("ndvi_sum"), F.sum(F.col("green").cast("long")).alias("green_sum"))
 
 
+@query("SELECT DISTINCT l_suppkey, l_suppkey % 10 = 0 AS empty FROM lineitem")
+def detected_locations(spark, sf_dir):
+    """Every location is there once at least; those without any valid observation as a row of nulls."""
+    o = fx.observations(spark, sf_dir).withColumn("green", F.when(F.col("l_suppkey") % 10 == 0, 65535).otherwise(F.col("green")))
+    found = detect.detect_changes(o, ["l_suppkey"])
+    return found.groupBy("l_suppkey").agg(F.bool_and(F.col("tStart").isNull() & F.col("error").isNull()).alias("empty"))
+
+
 # --- columns -----------------------------------------------------------------------------------------------------------
 
 
@@ -243,7 +251,7 @@ def variogram_lag1(spark, sf_dir):
 
 
 @query(f"""WITH {fx.SERIES}, n AS (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY day) AS r FROM ser),
-    p AS (SELECT a.l_suppkey, b.r - a.r AS lag, b.day - a.day AS gap, abs(b.green - a.green) AS green, abs(b.swir2 - a.swir2) AS swir2 FROM n a JOIN n b ON a.l_suppkey = b.l_suppkey AND b.r - a.r BETWEEN 1 AND 24),
+    p AS (SELECT a.l_suppkey, b.r - a.r AS lag, b.day - a.day AS gap, abs(b.green - a.green) AS green, abs(b.swir2 - a.swir2) AS swir2 FROM n a JOIN n b ON a.l_suppkey = b.l_suppkey AND b.r > a.r),
     c AS (SELECT l_suppkey, lag, gap, count(*) AS k FROM p GROUP BY ALL), m AS (SELECT l_suppkey, lag, arg_min(gap, (-k, gap)) AS usual FROM c GROUP BY ALL),
     f AS (SELECT l_suppkey, min(lag) AS lag FROM m WHERE usual > 30 GROUP BY ALL)
     SELECT k.l_suppkey, f.lag, median(green) FILTER (f.lag IS NULL OR gap > 30) AS green_variogram, median(swir2) FILTER (f.lag IS NULL OR gap > 30) AS swir2_variogram
@@ -398,7 +406,10 @@ def cloud_shadow(spark, sf_dir):
     return raster.shadow_cells(_cells(spark, sf_dir).filter("v > 0"), 60, 4)
 
 
-@query()
+@query(f"""WITH {_CELLS}, k AS (SELECT unnest(range(1, 5)) AS k), sh AS (SELECT DISTINCT (row - round_even(k * cos(radians(60)), 0)::INT)::INT AS row, (col + round_even(k * sin(radians(60)), 0)::INT)::INT AS col, 1 AS s FROM cells, k WHERE v > 0),
+    raw AS (SELECT row, col, v, (v > 0 OR s IS NOT NULL)::INT AS m FROM cells LEFT JOIN sh USING (row, col)),
+    er AS (SELECT a.row, a.col, a.v, min(b.m) AS m FROM raw a JOIN raw b ON abs(a.row - b.row) <= 1 AND abs(a.col - b.col) <= 1 GROUP BY ALL)
+    SELECT a.row, a.col, a.v, 1 AS dark, max(b.m) AS masked FROM er a JOIN er b ON abs(a.row - b.row) <= 2 AND abs(a.col - b.col) <= 2 GROUP BY ALL""")
 def cloud_shadow_mask(spark, sf_dir):
     c = _cells(spark, sf_dir).withColumn("dark", F.lit(1))
     return raster.cloud_shadow_mask(c, "v", "dark", 60, steps=4, erode=1, dilate=2)
@@ -410,6 +421,13 @@ def mosaic_first(spark, sf_dir):
     return raster.mosaic(parts, ["part"])
 
 
+@query("""SELECT c_custkey % 100 AS row, c_nationkey AS col, min(c_custkey) AS part FROM customer WHERE c_custkey % 100 IN (SELECT s_suppkey % 50 FROM supplier WHERE s_nationkey = c_nationkey) GROUP BY ALL""")
+def mosaic_clipped(spark, sf_dir):
+    parts = fx.table(spark, sf_dir, "customer").select((F.col("c_custkey") % 100).alias("row"), F.col("c_nationkey").alias("col"), F.col("c_custkey").alias("part"))
+    region = fx.table(spark, sf_dir, "supplier").select((F.col("s_suppkey") % 50).alias("row"), F.col("s_nationkey").alias("col"))
+    return raster.mosaic(parts, ["part"], region=region)
+
+
 # --- space -------------------------------------------------------------------------------------------------------------
 
 _INSIDE = "inn AS (SELECT id, p, x, y FROM pts, edge GROUP BY ALL HAVING count(*) FILTER ((y1 > y) <> (y2 > y) AND x < (x2 - x1) * (y - y1) / nullif(y2 - y1, 0) + x1) % 2 = 1)"
@@ -425,6 +443,14 @@ def points_in_boundary(spark, sf_dir):
     return raster.rasterise(fx.polygons(spark, sf_dir), fx.locations(spark, sf_dir), cell=50).select("id")
 
 
+@query(f"""WITH {fx.LOCATIONS}, {fx.POLYGONS}, {_INSIDE} SELECT id FROM inn UNION SELECT id FROM pts, edge
+    WHERE greatest(0, least((x - 5 - x1) / (x2 - x1), (x + 5 - x1) / (x2 - x1)), least((y - 5 - y1) / (y2 - y1), (y + 5 - y1) / (y2 - y1)))
+       <= least(1, greatest((x - 5 - x1) / (x2 - x1), (x + 5 - x1) / (x2 - x1)), greatest((y - 5 - y1) / (y2 - y1), (y + 5 - y1) / (y2 - y1)))""")
+def cells_touched(spark, sf_dir):
+    """Cells of a raster that any polygon meets, be it with its border only."""
+    return raster.rasterise(fx.polygons(spark, sf_dir), fx.locations(spark, sf_dir), cell=50, touched=10).select("id")
+
+
 @query(f"WITH {fx.LOCATIONS}, {fx.POLYGONS}, {_INSIDE}, w AS (SELECT DISTINCT x, y FROM inn) SELECT c, count(*) AS n FROM (SELECT o_custkey AS c, (o_custkey % {fx.GRID} * 10)::DOUBLE AS x, (o_custkey // {fx.GRID} * 10)::DOUBLE AS y FROM orders) SEMI JOIN w USING (x, y) GROUP BY ALL")
 def roi_pixels(spark, sf_dir):
     """Observations of the pixels whose cell lies in a region of interest."""
@@ -462,6 +488,39 @@ def tile_assignment(spark, sf_dir):
     return spatial.assign_tile(_boxes(spark, sf_dir), tiles, "p", "tile", cell=100).select("p", "tile")
 
 
+_TILES = "t AS (SELECT n_nationkey AS tile, n_nationkey % 5 * 90.0 AS x0, n_nationkey // 5 * 90.0 AS y0 FROM nation)"
+
+
+@query(f"""WITH {fx.POLYGONS}, {_TILES}, b AS (SELECT p, min(x) AS x0, min(y) AS y0, max(x) AS x1, max(y) AS y1 FROM corner GROUP BY ALL),
+    w AS (SELECT p, tile FROM b, t WHERE b.x0 > t.x0 AND b.x1 < t.x0 + 100 AND b.y0 > t.y0 AND b.y1 < t.y0 + 100) SELECT p, tile FROM b LEFT JOIN w USING (p)""")
+def polygons_within_tiles(spark, sf_dir):
+    """Polygons with the tiles, as rings, that they lie within; those in none stay."""
+    n = F.col("n_nationkey")
+    corner = lambda dx, dy: F.struct((n % 5 * 90.0 + dx).alias("x"), (F.floor(n / 5) * 90.0 + dy).alias("y"))
+    tiles = fx.table(spark, sf_dir, "nation").select(n.alias("tile"), F.array(corner(0, 0), corner(100, 0), corner(100, 100), corner(0, 100)).alias("other"))
+    return spatial.polygons_in_polygons(fx.polygons(spark, sf_dir), tiles, cell=50, how="left", id_col="p").select("p", "tile")
+
+
+@query("""WITH s AS (SELECT c_custkey AS id, DATE '2020-01-01' + (c_custkey % 7)::INT AS d, c_custkey % 40 * 10.0 AS x, c_custkey // 40 * 10.0 AS y FROM customer),
+    o AS (SELECT s_suppkey AS score, DATE '2020-01-01' + (s_suppkey % 7)::INT AS d, s_suppkey % 20 * 20.0 AS x, s_suppkey // 20 * 20.0 AS y FROM supplier)
+    SELECT id, min(score) AS score FROM s JOIN o ON s.d = o.d AND s.x <= o.x + 25 AND s.x + 15 >= o.x AND s.y <= o.y + 25 AND s.y + 15 >= o.y GROUP BY ALL""")
+def first_overlapping_scene(spark, sf_dir):
+    """Scenes with the first row of another collection of the same day whose box meets theirs."""
+
+    def boxes(name: str, key: str, new: str, per_row: int, side: float, size: float) -> DataFrame:
+        k = F.col(key)
+        t = fx.table(spark, sf_dir, name).select(k.alias(new), F.date_add(F.lit("2020-01-01").cast("date"), (k % 7).cast("int")).alias("acq_date"), (k % per_row * side).alias("min_x"), (F.floor(k / per_row) * side).alias("min_y"))
+        return t.withColumns({"max_x": F.col("min_x") + size, "max_y": F.col("min_y") + size})
+
+    return images.first_overlapping(boxes("customer", "c_custkey", "id", 40, 10.0, 15), boxes("supplier", "s_suppkey", "score", 20, 20.0, 25), "id", "score", cell=40).select("id", "score")
+
+
+@query("SELECT max('/d/' || o_orderkey || '.tif') AS path, any_value(o_orderdate::DATE) AS modified FROM orders WHERE o_orderdate::DATE = (SELECT max(o_orderdate::DATE) FROM orders)")
+def most_recent_file(spark, sf_dir):
+    files = fx.table(spark, sf_dir, "orders").select(F.concat(F.lit("/d/"), F.col("o_orderkey").cast("string"), F.lit(".tif")).alias("path"), F.to_date("o_orderdate").alias("modified"))
+    return images.most_recent(files)
+
+
 @query("SELECT c_custkey FROM (SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) AS r, count(*) OVER () AS n FROM customer) WHERE r <= floor(n * 0.5)")
 def half_split(spark, sf_dir):
     return spatial.first_part_of(fx.table(spark, sf_dir, "customer").select("c_custkey"), ["c_custkey"])
@@ -485,16 +544,6 @@ def event_edges(spark, sf_dir):
     return graph.event_edges(_vertices(spark, sf_dir))
 
 
-@query(f"""WITH RECURSIVE {_VERTICES}, link AS (SELECT a, b FROM near WHERE lb = 1 AND rb = 1 AND dt < 4), reach(a, b) AS (SELECT DISTINCT a, a FROM link UNION SELECT r.a, n.b FROM reach r JOIN link n ON n.a = r.b),
-    roots AS (SELECT a AS node, min(b) AS root FROM reach GROUP BY ALL) SELECT root, count(*) AS events FROM roots GROUP BY ALL""")
-def component_stats(spark, sf_dir):
-    """Breaks less than four days apart, by component."""
-    edges = graph.event_edges(_vertices(spark, sf_dir).filter("is_break = 1"), days=4)
-    named = components(edges.select(F.col("src").alias("a"), F.col("dst").alias("b")))
-    members = named.unionByName(named.select(F.col("root").alias("node"), "root").distinct())
-    return members.groupBy("root").agg(F.count("*").alias("events"))
-
-
 @query()
 def event_components(spark, sf_dir):
     """All events, terminal ones and breaks up to the operator's days apart, by component; too much for recursive SQL."""
@@ -583,7 +632,13 @@ def accuracy_metrics(spark, sf_dir):
     return a.select("VP", "FP", "FN", "VN", *(F.round(c, 9).alias(c) for c in ("commission", "omission", "f1")))
 
 
-@query()
+@query(f"""WITH {_FILTERED}, {fx.LOCATIONS}, {fx.POLYGONS}, {_INSIDE},
+    e AS (SELECT i.id, i.p, x, y, x1, y1, x2 - x1 AS dx, y2 - y1 AS dy, greatest(0, least(1, ((x - x1) * (x2 - x1) + (y - y1) * (y2 - y1)) / ((x2 - x1) ^ 2 + (y2 - y1) ^ 2))) AS t FROM inn i JOIN edge e ON e.p = i.p),
+    n AS (SELECT id, p, any_value(x) AS x, any_value(y) AS y, (min(sqrt((x - x1 - t * dx) ^ 2 + (y - y1 - t * dy) ^ 2)) < 10)::INT AS bordadura FROM e GROUP BY ALL),
+    d AS (SELECT *, CASE WHEN p % 3 <> 0 THEN DATE '1997-03-05' END AS d1, CASE WHEN p % 4 = 0 THEN DATE '1999-07-11' END AS d3 FROM n),
+    j AS (SELECT x AS x_coord, y AS y_coord, tStart, tBreak, p, bordadura, d1, d3 FROM fil JOIN d ON d.id = fil.c),
+    a AS (SELECT *, 'A' AS nome, coalesce(d1, d3) AS data1_z FROM j UNION ALL SELECT *, 'B', d3 FROM j WHERE d1 IS NOT NULL AND d3 IS NOT NULL)
+    SELECT x_coord, y_coord, tStart, p, bordadura, nome, data1_z, count(tBreak) OVER (PARTITION BY x_coord, y_coord, nome) AS Valid_breaks, data1_z - tBreak AS delta_min FROM a""")
 def reference_join(spark, sf_dir):
     """Segments in reference polygons, by analyst."""
     s = _filtered(spark, sf_dir).withColumns({"x_coord": F.col("x_coord").cast("double"), "y_coord": F.col("y_coord").cast("double")})
@@ -612,16 +667,8 @@ def count_activities(spark, sf_dir):
     return refdb.ordered_pairs(_log(spark, sf_dir), "k", "d", "act").select("k", refdb.count_starting(F.col("pairs"), "CORTE 1").alias("n"))
 
 
-@query("SELECT o_orderkey, least(a, coalesce(b, a)) AS d0, CASE WHEN b < a THEN 'second' ELSE 'first' END AS a0, CASE WHEN b IS NOT NULL THEN greatest(a, b) END AS d1, CASE WHEN b < a THEN 'first' WHEN b IS NOT NULL THEN 'second' END AS a1 FROM (SELECT o_orderkey, o_orderdate::DATE AS a, CASE WHEN o_orderkey % 3 > 0 THEN o_orderdate::DATE + (o_orderkey % 41 - 20)::INT END AS b FROM orders WHERE o_orderkey % 41 <> 20)")
-def sort_row_pairs(spark, sf_dir):
-    k = F.col("o_orderkey")
-    o = fx.table(spark, sf_dir, "orders").filter(k % 41 != 20).select("o_orderkey", F.to_date("o_orderdate").alias("d0"), F.lit("first").alias("a0"))
-    o = o.withColumn("d1", F.when(k % 3 > 0, F.date_add("d0", (k % 41 - 20).cast("int")))).withColumn("a1", F.when(F.col("d1").isNotNull(), "second"))
-    return refdb.sort_row_pairs(o, ["d0", "d1"], ["a0", "a1"])
-
-
 @query("SELECT o_orderkey, least(a, coalesce(b, a)) AS d0, CASE WHEN b < a THEN 'second' ELSE 'first' END AS a0, CASE WHEN b IS NOT NULL THEN greatest(a, b) END AS d1, CASE WHEN b < a THEN 'first' WHEN b IS NOT NULL THEN 'second' END AS a1 FROM (SELECT o_orderkey, o_orderdate::DATE AS a, CASE WHEN o_orderkey % 3 > 0 THEN o_orderdate::DATE + (o_orderkey % 41 - 20)::INT END AS b FROM orders)")
-def sort_row_pairs_with_ties(spark, sf_dir):
+def sort_row_pairs(spark, sf_dir):
     k = F.col("o_orderkey")
     o = fx.table(spark, sf_dir, "orders").select("o_orderkey", F.to_date("o_orderdate").alias("d0"), F.lit("first").alias("a0"))
     o = o.withColumn("d1", F.when(k % 3 > 0, F.date_add("d0", (k % 41 - 20).cast("int")))).withColumn("a1", F.when(F.col("d1").isNotNull(), "second"))
@@ -752,9 +799,10 @@ def three_way_compare(spark, sf_dir):
     return refdb.three_way(o, "a", "b")
 
 
-@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')")
 def missing_ids(spark, sf_dir):
-    found = fx.table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    """Customers without an order of one kind, which some have and some don't."""
+    found = fx.table(spark, sf_dir, "orders").filter("o_orderstatus = 'P'").select(F.col("o_custkey").alias("c_custkey"))
     return refdb.missing_ids(fx.table(spark, sf_dir, "customer"), found, "c_custkey")
 
 

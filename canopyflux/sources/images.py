@@ -8,6 +8,8 @@ from datetime import date
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from canopyflux.operators.spatial import grid_cells
+
 
 def list_files(spark: SparkSession, folder: str) -> DataFrame:
     """(path, length, modified) of all files below a folder; contents aren't read."""
@@ -72,6 +74,21 @@ def first_match(scenes_df: DataFrame, other: DataFrame, key: str, order: str) ->
     return scenes_df.join(first, key)
 
 
+def first_overlapping(scenes_df: DataFrame, other: DataFrame, id_col: str, order: str, cell: float = 100_000.0) -> DataFrame:
+    """Scenes with the first row, by ``order``, of another collection that has the same date and meets the scene's box.
+
+    Both have acq_date, min_x, min_y, max_x and max_y. An equi join on date and grid cell; scenes without a partner are left out.
+    """
+    names = ("min_x", "min_y", "max_x", "max_y")
+    spread = lambda df: F.explode(grid_cells(*(F.col(n) for n in names), cell))
+    rest = [c for c in other.columns if c not in (*names, "acq_date")]
+    left = scenes_df.select(id_col, "acq_date", *names).withColumn("cell_", spread(scenes_df))
+    right = other.select("acq_date", *rest, *(F.col(n).alias(f"o_{n}") for n in names), spread(other).alias("cell_"))
+    meets = (F.col("min_x") <= F.col("o_max_x")) & (F.col("max_x") >= F.col("o_min_x")) & (F.col("min_y") <= F.col("o_max_y")) & (F.col("max_y") >= F.col("o_min_y"))
+    best = left.join(right, ["acq_date", "cell_"]).filter(meets).groupBy(id_col).agg(F.min(F.struct(order, *(c for c in rest if c != order))).alias("first_"))
+    return scenes_df.join(best, id_col).select(*scenes_df.columns, *(F.col(f"first_.{c}").alias(c) for c in rest))
+
+
 _RUN = re.compile(r"(?P<prefix>.+)_meow(?P<meow>\d+)_alpha(?P<alpha>[0-9.]+)_(?P<first>\d{8})_(?P<last>\d{8})_(?P<roi>[^_]+)$")
 
 

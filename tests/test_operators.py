@@ -124,7 +124,6 @@ def test_communities_are_a_partition_of_good_modularity(spark):
     edges = [(i, j) for g in groups for i in g for j in g if i < j] + [(0, 12), (12, 24)]
     got = {x.id: x.community_id for x in graph.communities(spark.createDataFrame(edges, "src long, dst long")).collect()}
     assert [len({got[i] for i in g}) for g in groups] == [1, 1, 1] and len(set(got.values())) == 3
-    got = {x.id: x.community_id for x in graph.communities(spark.createDataFrame(edges, "src long, dst long"), most=10).collect()}
     assert set(got) == set(range(36)) and all(got[i] <= i for i in got)
 
 
@@ -134,16 +133,16 @@ def test_communities_use_one_method_at_every_size(spark):
     edges = [(i, j) for i in range(60) for j in range(i) if r.random() < (0.4 if block[i] == block[j] else 0.06)]
     df = spark.createDataFrame(edges, "src long, dst long").coalesce(1)
     got = {x.id: x.community_id for x in graph.communities(df).collect()}
-    assert {x.id: x.community_id for x in graph.communities(df, most=10).collect()} == got and len(set(got.values())) > 2
+    assert {x.id: x.community_id for x in graph.communities(df).collect()} == got and len(set(got.values())) > 2
 
 
 def test_sorted_row_pairs_hold_the_ties(spark):
     from canopyflux.plans.catalog import ORACLE_SQL, QUERIES
     from tests.helpers import SF, spark_rows, sql_rows
 
-    df = QUERIES["sort_row_pairs_with_ties"](spark, SF)
+    df = QUERIES["sort_row_pairs"](spark, SF)
     assert df.filter("d0 = d1").count() > 0 and df.count() == spark.read.parquet(f"{SF}/orders.parquet").count()
-    assert spark_rows(df) == sql_rows(ORACLE_SQL["sort_row_pairs_with_ties"])
+    assert spark_rows(df) == sql_rows(ORACLE_SQL["sort_row_pairs"])
 
 
 def test_hull_holds_its_points():
@@ -228,3 +227,76 @@ def test_clipping_and_projecting_rings(spark):
 def test_a_date_that_only_repeats_is_no_session(spark):
     df = spark.createDataFrame([("a", D(2000, 1, 1))] * 3 + [("b", D(2000, 1, 1))] * 2, "k string, d date")
     assert [r.k for r in refdb.cut_sessions(df, "k", "d", repeats=False).collect()] == ["b"]
+
+
+# --- detection over tables ---------------------------------------------------------------------------------------------
+
+
+def _observations(days, green):
+    """Locations 1 (valid), 2 (nothing but nodata) and 3 (too short)."""
+    import datetime
+
+    start = datetime.date(2016, 1, 1)
+    rows = [(1, start + datetime.timedelta(int(d)), int(g), 600, 3000, 1500) for d, g in zip(days, green, strict=True)]
+    rows += [(2, start + datetime.timedelta(int(d)), 65535, 65535, 65535, 65535) for d in days[:5]]
+    return rows + [(3, start, 10, 600, 3000, 1500)]
+
+
+OBS = "k long, date date, green long, red long, nir long, swir2 long"
+
+
+def test_locations_without_valid_observations_are_rows_of_nulls(spark):
+    days = np.arange(0, 1000, 5)
+    df = spark.createDataFrame(_observations(days, 500 + 40 * np.sin(days)), OBS)
+    found = detect.detect_changes(df, ["k"]).collect()
+    assert {r.k for r in found} == {1, 2, 3}
+    assert all(r.tStart is None and r.error is None for r in found if r.k != 1) and all(r.tStart is not None for r in found if r.k == 1)
+    nested = {r.k: r for r in detect.detection_struct(df, ["k"]).collect()}
+    assert nested[2].processing_mask == [] and nested[2].change_models == [] and nested[2].error is None and len(nested[1].processing_mask) == len(days)
+    assert {r.k for r in detect.cloud_outlier_mask(df, ["k"]).collect()} == {1, 3}
+    assert detect.detect_changes(df.limit(0), ["k"]).count() == 0
+
+
+def test_one_bad_series_does_not_end_the_job(spark):
+    days = np.arange(0, 1000, 5)
+    df = spark.createDataFrame(_observations(days, 500 + 40 * np.sin(days)), OBS)
+
+    def broken(*args):
+        raise ValueError("no fit")
+
+    found = {r.k: r for r in detect.detect_changes(df, ["k"], fitter=broken).collect()}
+    assert found[1].error == "ValueError: no fit" and found[1].tStart is None and found[3].error is None
+    nested = {r.k: r for r in detect.detection_struct(df, ["k"], fitter=broken).collect()}
+    assert nested[1].error == "ValueError: no fit" and nested[1].change_models is None and nested[1].algorithm == "ccd" and nested[2].error is None
+
+
+def test_variogram_lags_have_no_limit(spark):
+    from canopyflux.operators import kernel, series
+
+    r = np.random.default_rng(5)
+    rows = [(1, d, float(r.integers(0, 9)), 1.0) for d in range(60)]  # daily: only lags over 30 days count
+    rows += [(2, 40 * d, float(d % 3), None) for d in range(9)] + [(3, 7, 1.0, 2.0)] + [(4, d, float(d), 1.0) for d in range(3)]
+    got = {x.k: x for x in series.adjusted_variogram(spark.createDataFrame(rows, "k long, day long, a double, b double"), ["k"], ["a", "b"]).collect()}
+    mine = np.array([x[2] for x in rows if x[0] == 1])
+    assert got[1].lag == 31 and got[1].a_variogram == kernel.adjusted_variogram(np.arange(60), mine[None])[0]
+    assert got[2].lag == 1 and got[2].b_variogram is None and 3 not in got
+    assert got[4].lag is None and got[4].a_variogram == 1.0
+
+
+# --- polygons ----------------------------------------------------------------------------------------------------------
+
+
+def test_polygons_in_polygons(spark):
+    ring = lambda *p: [{"x": float(x), "y": float(y)} for x, y in p]
+    square = lambda x, y, s: ring((x, y), (x + s, y), (x + s, y + s), (x, y + s))
+    left = spark.createDataFrame(
+        [(1, square(1, 1, 2)), (2, square(8, 8, 4)), (3, square(50, 50, 1)), (4, square(-5, 4, 30)), (5, square(0, 0, 10)), (6, ring((4, -5), (6, -5), (6, 15), (4, 15)))],
+        "id long, ring array<struct<x:double,y:double>>",
+    )
+    right = spark.createDataFrame([("a", square(0, 0, 10)), ("b", square(10, 0, 3))], "name string, other array<struct<x:double,y:double>>")
+    for cell in (1.0, 7.0, 1000.0):
+        join = lambda **how: sorted((r.id, r.name) for r in spatial.polygons_in_polygons(left, right, cell=cell, **how).collect())  # noqa: B023, E731
+        assert join() == [(1, "a")]  # 5 shares its border, 2 and 6 cross it
+        assert join(predicate="intersects") == [(1, "a"), (2, "a"), (4, "a"), (5, "a"), (5, "b"), (6, "a")]
+        kept = {(r.id, r.name) for r in spatial.polygons_in_polygons(left, right, cell=cell, how="left").collect()}
+        assert kept == {(1, "a"), (2, None), (3, None), (4, None), (5, None), (6, None)}
