@@ -9,8 +9,9 @@ its hash (host, tokens), and the partial counts are added up. A second pass look
 :func:`main_texts` does the same in memory, by a suffix array.
 
 A block is boilerplate if it is covered and stands on more pages than the page's own text does; so the copies of an
-article stay text, with all that is in them. Blocks on a path that carries the bulk of a page's text, and headings in the
-article, are never boilerplate: a passage that articles share is text. What remains is held against the page's structure:
+article stay text, with all that is in them. Blocks on a path that carries the bulk of a page's text are never
+boilerplate, nor are paragraphs, headings, lists, quotations and tables in what a page marks as its article: a passage
+that articles share is text. What remains is held against the page's structure:
 menus, footers, sidebars, notices, adverts, forms, comments and the like go, be they blocks or part of a line, and where a
 page marks an article, so does all that stands outside of it.
 
@@ -62,7 +63,8 @@ BLOCK = frozenset(
     "html head body title p div section article main header footer nav aside ul ol li dl dt dd table tr td th thead tbody tfoot caption h1 h2 h3 h4 h5 h6 hgroup blockquote pre figure "
     "figcaption form fieldset legend hr address details summary dialog menu center option select button label".split()
 )
-HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Elements that hold text by their meaning; others only group what is in them.
+TEXT = frozenset("p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd blockquote pre table tr td th caption figure figcaption".split())
 APART = frozenset("nav footer aside form head dialog menu select button label fieldset".split()) | RAW
 APART_ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
 APART_WORDS = frozenset(
@@ -110,7 +112,7 @@ def _apart(tag: str, at: dict[str, str], inside: bool) -> bool:
 class Block:
     text: str
     path: str
-    tag: str
+    where: str  # the block-level element around it
     apart: bool
     article: bool
 
@@ -154,7 +156,7 @@ def blocks(page: str) -> list[Block]:
         raw = "".join(parts)
         parts.clear()
         if text := " ".join((html.unescape(raw) if "&" in raw else raw).split()):
-            out.append(Block(text, path, stack[-1][0] if stack else "", apart > unseen, article > 0))
+            out.append(Block(text, path, path.rpartition(">")[2].partition(".")[0], apart > unseen, article > 0))
 
     at, end = 0, len(page)
     while at < end:
@@ -385,7 +387,7 @@ class Pages:
         text = counts[int(BULK * (len(counts) - 1))]  # the page's own text stands on so many pages
         for k, b in enumerate(own):
             n = self.lengths[i + k]
-            if not stay[k] or hit[i + k] < COVERED * n or mass[b.path] >= BULK * len(counts) or (b.article and b.tag in HEADINGS):
+            if not stay[k] or hit[i + k] < COVERED * n or mass[b.path] >= BULK * len(counts) or (b.article and b.where in TEXT):
                 continue
             at = self.starts[i + k]
             stay[k] = bool(np.median(wide[at : at + n]) <= text)

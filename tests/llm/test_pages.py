@@ -71,6 +71,26 @@ def test_shared_passages_and_all_parts_of_copies_stay_text():
     assert html_text.main_texts([copy] * 4 + pages)[:4] == [f"Title\n{body}\n{own}\n{own} too"] * 4
 
 
+def test_shared_parts_of_an_article_stay_text():
+    """Unclosed elements, lists, quotations and tables that many articles have in common; only what merely groups is held against the repeats."""
+    r = random.Random(10)
+    said = lambda n: " ".join(f"w{r.randint(0, 900)}" for _ in range(n))
+    shared = " ".join(f"s{i}" for i in range(20))
+    raw, want = [], []
+    for _ in range(8):
+        a, b, c = said(50), said(40), said(6)
+        raw.append(f"<article><h2>{shared} head</h2><p><b>{a}<br><p>{shared} one</p><p>{b}</p><ul><li>{shared} two</li></ul><blockquote>{shared} three</blockquote><table><tr><td><i>{shared} four</i></td></tr></table><p><b>{c}</article>")
+        want.append("\n".join([f"{shared} head", a, f"{shared} one", b, f"{shared} two", f"{shared} three", f"{shared} four", c]))
+    assert html_text.main_texts(raw) == want
+
+
+@pytest.mark.parametrize("folder", [SF.replace("0.001", "0.01")])
+def test_articles_of_a_larger_table_are_whole(spark, folder):
+    raw = {x.page_id: x.html for x in spark.read.parquet(f"{folder}/pages.parquet").collect()}
+    for x in QUERIES["op3_html_extraction"](spark, folder).collect():
+        assert x.text == plain_article(raw[x.page_id])
+
+
 def test_parts_of_a_line_go():
     cases = {
         '<p>Text <span class="advert">Buy now</span> more</p>': "Text more", "<p>a <span hidden>secret <b>x</b></span>b</p>": "a b", '<p>a</p><div class="user-reviews-comments-list">c</div>': "a",
@@ -150,15 +170,19 @@ def test_repeats_are_sought_over_the_whole_host(spark):
         assert {x.page_id: x.text for x in html_text.extract_text(df, **sizes).collect()} == want, sizes
 
 
-def test_query_equals_a_plain_parse(spark):
+def plain_article(page):
     import html
     import re
 
+    article = re.search("<article>(.*)</article>", page, re.S)[1]
+    parts = [" ".join(html.unescape(re.sub("<[^>]+>", "", x.replace("<br>", " "))).split()) for x in re.split("</?(?:p|h1)>", article)]
+    return "\n".join(x for x in parts if x)
+
+
+def test_query_equals_a_plain_parse(spark):
     raw = {r.page_id: r.html for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
     for r in QUERIES["op3_html_extraction"](spark, SF).collect():
-        article = re.search("<article>(.*)</article>", raw[r.page_id], re.S)[1]
-        parts = [" ".join(html.unescape(re.sub("<[^>]+>", "", x.replace("<br>", " "))).split()) for x in re.split("</?(?:p|h1)>", article)]
-        assert r.text == "\n".join(x for x in parts if x)
+        assert r.text == plain_article(raw[r.page_id])
 
 
 # --- urls --------------------------------------------------------------------------------------------------------------
