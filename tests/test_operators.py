@@ -26,7 +26,7 @@ def test_detect_changes_rows(spark):
     assert first.changeProb == 100 and first.tBreak == (736730 - 719163) * 86400000 and first.error is None
     assert first.greenStart == rows[0][2] and first.greenStart2 == rows[1][2]
     assert out[2, None].tBreak is None  # a location without a model is one row of nulls
-    assert {k for k, _ in out} == {1, 2}  # nothing is left of the third
+    assert {k for k, _ in out} == {1, 2, 3} and out[3, None].tBreak is None  # so is one whose observations are all nodata
     nested = detect.detection_struct(df, ["k"]).filter("k = 1").first()
     assert nested.change_models[0].break_day == 736730 and len(nested.processing_mask) == len(days)
 
