@@ -43,7 +43,8 @@ WINDOW = 8
 PAGES = 3
 #: Share of a block's tokens that must be covered before it can be boilerplate.
 COVERED = 0.8
-#: A path with at least this share of a page's tokens is the page's text, and so is what stands on as few pages as this share of it.
+#: A path with at least this share of a page's tokens is the page's text. The number of pages that this share of its tokens stands on, at
+#: most, is that of the page's own text.
 BULK = 0.3
 #: Bytes of pages that a task handles together where repeats go by shuffles.
 SHARD_BYTES = 1_000_000
