@@ -141,6 +141,11 @@ def shift_months(date: Column | str, months: int) -> Column:
     return F.add_months(_col(date), months)
 
 
+def days_around(first: Column | str, last: Column | str, days: int = 60) -> tuple[Column, Column]:
+    """So many days before the first and after the last date."""
+    return F.date_sub(_col(first), days), F.date_add(_col(last), days)
+
+
 def position_in_year(date: Column | str) -> Column:
     """0 on the first day of the year, 1 on the last one."""
     date = _col(date)
@@ -187,6 +192,36 @@ def split_once(text: Column | str, by: str = " - ") -> tuple[Column, Column]:
     return F.get(parts, F.lit(0)), F.get(parts, F.lit(1))
 
 
+# --- arrays ------------------------------------------------------------------------------------------------------------
+
+
+def value_mask(values: Column | str, value: Column | float) -> Column:
+    """For each entry of an array whether it has the value."""
+    return F.transform(_col(values), lambda v: v == value)
+
+
+def count_value(values: Column | str, value: Column | float) -> Column:
+    return F.size(F.filter(_col(values), lambda v: v == value))
+
+
+def array_key(values: Column | str) -> Column:
+    """A digest that names an array by its entries."""
+    return F.sha1(F.array_join(_col(values).cast("array<string>"), ","))
+
+
+def year_later_index(days: Column | str, start: int, size: int = 12, delta: int = 365) -> Column:
+    """Place of the first observation from ``start + size`` on that is ``delta`` days after that at ``start``.
+
+    The last ``size`` places aren't looked at: if there is none before, the first of them. Null for series of less than
+    ``delta`` days.
+    """
+    days = _col(days)
+    end, first = F.size(days) - size, F.get(days, F.lit(start))
+    fits = F.filter(F.sequence(F.lit(start + size), F.greatest(F.lit(start + size), end)), lambda i: (i < end) & (F.get(days, i) - first >= delta))
+    spans = F.array_max(days) - F.array_min(days) >= delta
+    return F.when(spans, F.coalesce(F.array_min(fits), F.greatest(F.lit(start + size), end)))
+
+
 # --- rasters -----------------------------------------------------------------------------------------------------------
 
 

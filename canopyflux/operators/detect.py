@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 
 from canopyflux.functions.columns import ORDINAL_OF_EPOCH, any_nodata, date_to_ordinal, ndvi
 from canopyflux.operators import kernel
-from canopyflux.params import NODATA, CcdParams
+from canopyflux.params import NODATA, CcdParams, named
 from canopyflux.schemas import VALUE_BANDS, VALUE_COLUMNS
 
 BAND_COLUMNS = ("green", "red", "nir", "swir2")
@@ -83,12 +83,12 @@ _OUT = (
 )
 
 
-def detect_changes(df: DataFrame, keys: Sequence[str], date_col: str = "date", params: CcdParams | None = None, nodata: float = NODATA, fitter: kernel.Fitter = kernel.fit_lasso) -> DataFrame:
+def detect_changes(df: DataFrame, keys: Sequence[str], date_col: str = "date", params: CcdParams | None = None, nodata: float = NODATA, fitter: kernel.Fitter | str = kernel.fit_lasso) -> DataFrame:
     """One row for each segment of each location; a location without a model, or without a valid observation, is one row of nulls.
 
     A series whose detection fails is such a row too, with the reason in ``error``.
     """
-    params = params or CcdParams()
+    params, fitter = params or CcdParams(), named(fitter) if isinstance(fitter, str) else fitter
     rows = clean_observations(df, keys, date_col, nodata)
     schema = T.StructType([*(rows.schema[k] for k in keys), *_OUT, T.StructField("error", T.StringType())])
 
@@ -109,7 +109,7 @@ def detect_changes(df: DataFrame, keys: Sequence[str], date_col: str = "date", p
     return _by_location(df, rows, keys).groupBy(*keys).applyInArrow(run, schema)
 
 
-def detection_struct(df: DataFrame, keys: Sequence[str], date_col: str = "date", params: CcdParams | None = None, nodata: float = NODATA, fitter: kernel.Fitter = kernel.fit_lasso) -> DataFrame:
+def detection_struct(df: DataFrame, keys: Sequence[str], date_col: str = "date", params: CcdParams | None = None, nodata: float = NODATA, fitter: kernel.Fitter | str = kernel.fit_lasso) -> DataFrame:
     """One row for each location with its nested result: algorithm, processing mask and change models.
 
     A location without a valid observation has an empty mask and no models. One whose detection fails has nulls instead,
@@ -119,7 +119,7 @@ def detection_struct(df: DataFrame, keys: Sequence[str], date_col: str = "date",
 
     from canopyflux.schemas import DETECTION
 
-    params = params or CcdParams()
+    params, fitter = params or CcdParams(), named(fitter) if isinstance(fitter, str) else fitter
     rows = clean_observations(df, keys, date_col, nodata)
     schema = T.StructType([*(rows.schema[k] for k in keys), *DETECTION.fields, T.StructField("error", T.StringType())])
     arrow = to_arrow_schema(schema)

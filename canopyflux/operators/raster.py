@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -79,6 +80,29 @@ def to_grid(points: DataFrame, value: Column, order: Sequence[str], x: str = "x_
     return placed.groupBy("row", "col").agg(F.max_by("value", F.struct("order_", "value")).alias("value"))
 
 
+class Grid(NamedTuple):
+    """Place and size of a grid: its upper left corner, the side of a cell, and how many cells there are."""
+
+    min_x: float
+    max_y: float
+    cell: float
+    rows: int
+    cols: int
+
+
+def regrid(cells: DataFrame, source: Grid, target: Grid, back: Callable[[Column, Column], tuple[Column, Column]]) -> DataFrame:
+    """(row, col, value) on another grid: the value of the source cell that holds the target cell's centre.
+
+    ``back`` projects from the target's coordinates to the source's. Target cells without a source cell are left out.
+    """
+    number = F.col("id")
+    centres = cells.sparkSession.range(target.rows * target.cols).select(F.floor(number / target.cols).cast("int").alias("row"), (number % target.cols).cast("int").alias("col"))
+    x, y = back(target.min_x + (F.col("col") + 0.5) * target.cell, target.max_y - (F.col("row") + 0.5) * target.cell)
+    at = centres.withColumns({"row_": F.floor((source.max_y - y) / source.cell).cast("int"), "col_": F.floor((x - source.min_x) / source.cell).cast("int")})
+    known = cells.select(F.col("row").alias("row_"), F.col("col").alias("col_"), "value")
+    return at.join(known, ["row_", "col_"]).select("row", "col", "value")
+
+
 def break_grid(segments: DataFrame, cell: float = 10) -> DataFrame:
     """Breaks as yyyymmdd by cell; of several in a cell the latest."""
     return to_grid(segments.filter("tBreak IS NOT NULL"), ms_to_yyyymmdd("tBreak"), ["tBreak"], cell=cell)

@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from canopyflux.functions.columns import digit_sum_even
+from canopyflux.functions.columns import days_around, digit_sum_even
+from canopyflux.operators.spatial import points_in_polygons
 
 
 def ordered_pairs(df: DataFrame, key: str, date: str, activity: str) -> DataFrame:
@@ -80,6 +81,55 @@ def numbered(df: DataFrame, key: str, order: Sequence[str], width: int = 2) -> D
     return df.withColumn("parcel", F.concat_ws("_", F.col(key).cast("string"), F.when(F.length(n) < width, F.lpad(n, width, "0")).otherwise(n)))
 
 
+def numbered_rows(df: DataFrame, order: Sequence[str], name: str = "number") -> DataFrame:
+    """Adds a number from 1 on to all rows, by ``order``.
+
+    Rows are counted by range partition, so that no task gets all rows; the number of partitions is given, so that both
+    uses have the same ones.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sorted_rows = df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("part_", F.spark_partition_id())
+    ranked = sorted_rows.withColumn("nth_", F.row_number().over(Window.partitionBy("part_").orderBy(*order)))
+    before = Window.orderBy("part_").rowsBetween(Window.unboundedPreceding, -1)  # as many rows as there are partitions
+    base = ranked.groupBy("part_").agg(F.count("*").alias("n_")).select("part_", F.coalesce(F.sum("n_").over(before), F.lit(0)).alias("base_"))
+    return ranked.join(F.broadcast(base), "part_").withColumn(name, F.col("base_") + F.col("nth_")).drop("part_", "nth_", "base_")
+
+
+def first_part_of(df: DataFrame, order: Sequence[str], share: float = 0.5) -> DataFrame:
+    """The first rows by ``order``, up to a share of all (rounded down)."""
+    most = df.agg(F.floor(F.count("*") * share).alias("most_"))  # one row
+    return numbered_rows(df, order, "place_").join(F.broadcast(most), F.col("place_") <= F.col("most_")).drop("place_", "most_")
+
+
+def groups_with_any(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """The rows of all groups that have a value in one row at least."""
+    some = df.groupBy(*keys).agg(F.count(value).alias("n_")).filter("n_ > 0").select(*keys)
+    return df.join(some, list(keys), "left_semi")
+
+
+def session_spans(sessions: DataFrame, key: str, days: int = 60) -> DataFrame:
+    """(key, spans): each key's sessions in order, as structs of their start and end with so many days around."""
+    low, high = days_around("first", "last", days)
+    span = F.struct("session", low.alias("start"), high.alias("end"))
+    return sessions.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(span)), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))).alias("spans"))
+
+
+def text_list(text: Column) -> Column:
+    """``a, b`` or ``['a', 'b']`` as an array of texts; an empty one for null."""
+    parts = F.filter(F.transform(F.split(F.regexp_replace(text, r"[\[\]']", ""), ","), lambda p: F.trim(p)), lambda p: p != "")
+    return F.coalesce(parts, F.array().cast("array<string>"))
+
+
+def drops_per_location(locations: DataFrame, parcels: DataFrame, x: str, y: str, breaks: str, start: str = "start_date", end: str = "end_date", cell: float = 1000.0) -> DataFrame:
+    """Locations of a tile with the parcels that they lie in, and the first of their break dates within the parcel's span.
+
+    ``breaks`` is a text of dates. Locations in no parcel stay, with nulls.
+    """
+    joined = points_in_polygons(locations, parcels, x, y, cell=cell, how="left").drop("ring")
+    dates = F.transform(text_list(F.col(breaks)), lambda t: F.try_to_date(t, "yyyy-MM-dd"))
+    return joined.withColumn("drop_date", first_date_between(dates, F.col(start), F.col(end)))
+
+
 def first_date_between(dates: Column, low: Column, high: Column) -> Column:
     """The earliest date of an array from low to high."""
     return F.array_min(F.filter(dates, lambda d: d.between(low, high)))
@@ -143,6 +193,11 @@ def merge_operations(base: DataFrame, *others: DataFrame, key: str) -> DataFrame
     return out
 
 
+def merge_parcels(operations: DataFrame, parcels: DataFrame, key: str) -> DataFrame:
+    """Operations with their parcel's attributes; operations of no known parcel, and parcels without any, are left out."""
+    return operations.join(parcels, key)
+
+
 def class_shares(df: DataFrame, cls: str, area: str) -> DataFrame:
     """(class, n, area, percent): counts, areas and shares of the total area."""
     sums = df.groupBy(cls).agg(F.count("*").alias("n"), F.sum(area).alias("area"))

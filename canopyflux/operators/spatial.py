@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -60,13 +60,35 @@ def ring_wkt(ring: Column) -> Column:
     return F.concat(F.lit("POLYGON (("), F.array_join(points, ", "), F.lit("))"))
 
 
-def parse_ring(wkt: Column) -> Column:
-    """The outer ring of a polygon in WKT, without its repeated last point."""
-    body = F.regexp_extract(wkt, r"\(\(([^)]*)\)", 1)
+def _ring(body: Column) -> Column:
+    """The points of a ring's text, without the repeated last one."""
     points = F.transform(F.split(body, r"\s*,\s*"), lambda p: F.split(F.trim(p), r"\s+"))
     ring = F.transform(points, lambda p: F.struct(F.get(p, F.lit(0)).cast("double").alias("x"), F.get(p, F.lit(1)).cast("double").alias("y")))
     closed = (F.size(ring) > 1) & (F.get(ring, F.lit(0)) == F.get(ring, F.size(ring) - 1))
-    return F.when(body != "", F.when(closed, F.slice(ring, 1, F.greatest(F.size(ring) - 1, F.lit(1)))).otherwise(ring))
+    return F.when(closed, F.slice(ring, 1, F.greatest(F.size(ring) - 1, F.lit(1)))).otherwise(ring)
+
+
+def parse_ring(wkt: Column) -> Column:
+    """The outer ring of a polygon in WKT, without its repeated last point."""
+    body = F.regexp_extract(wkt, r"\(\(([^)]*)\)", 1)
+    return F.when(body != "", _ring(body))
+
+
+def parse_parts(wkt: Column) -> Column:
+    """The outer rings of a polygon or multipolygon in WKT; an empty array for other texts and null."""
+    found = F.coalesce(F.regexp_extract_all(wkt, F.lit(r"\(\(([^()]+)\)"), F.lit(1)), F.array().cast("array<string>"))
+    return F.transform(found, _ring)
+
+
+def parts_wkt(parts: Column) -> Column:
+    """Rings as a multipolygon in WKT."""
+    texts = F.transform(parts, lambda r: F.substring(ring_wkt(r), F.lit(9), F.length(ring_wkt(r))))
+    return F.concat(F.lit("MULTIPOLYGON ("), F.array_join(texts, ", "), F.lit(")"))
+
+
+def inside_any(x: Column, y: Column, parts: Column) -> Column:
+    """Whether a point is in the union of several rings."""
+    return F.exists(parts, lambda r: inside(x, y, r))
 
 
 def reproject_ring(ring: Column, project: Callable[[Column, Column], tuple[Column, Column]]) -> Column:
@@ -168,6 +190,11 @@ def points_in_polygons(points: DataFrame, polygons: DataFrame, x: str, y: str, r
     return at.join(dealt, condition, how).drop("pcell_", "cell_")
 
 
+def points_in_unions(points: DataFrame, polygons: DataFrame, keys: Sequence[str], id_col: str, x: str, y: str, ring: str = "ring", cell: float = 1000.0) -> DataFrame:
+    """(id, keys) of points in the union of all polygons of a key, once each. Rings stay rows, so a union may have any number."""
+    return points_in_polygons(points.select(id_col, x, y), polygons.select(*keys, ring), x, y, ring, cell).select(id_col, *keys).distinct()
+
+
 def near_boundary(joined: DataFrame, x: str, y: str, distance: float, ring: str = "ring", name: str = "border") -> DataFrame:
     """Adds whether a point lies within ``distance`` of its polygon's boundary (1 or 0)."""
     return joined.withColumn(name, (boundary_distance(F.col(x), F.col(y), F.col(ring)) < distance).cast("int"))
@@ -207,16 +234,3 @@ def assign_tile(features: DataFrame, tiles: DataFrame, id_col: str, tile_col: st
 def in_box(x: str, y: str, min_x: float, min_y: float, max_x: float, max_y: float) -> Column:
     """A box predicate that reaches the scan."""
     return F.col(x).between(min_x, max_x) & F.col(y).between(min_y, max_y)
-
-
-def first_part_of(df: DataFrame, order: Sequence[str], share: float = 0.5) -> DataFrame:
-    """The first rows by ``order``, up to a share of all (rounded down).
-
-    Rows are counted by range partition, so that no task gets all rows.
-    """
-    spark_rows = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("part_", F.spark_partition_id())
-    ranked = spark_rows.withColumn("nth_", F.row_number().over(Window.partitionBy("part_").orderBy(*order)))
-    sizes = ranked.groupBy("part_").agg(F.count("*").alias("n_"))
-    before = Window.orderBy("part_").rowsBetween(Window.unboundedPreceding, -1)
-    base = sizes.select("part_", F.coalesce(F.sum("n_").over(before), F.lit(0)).alias("base_"), F.sum("n_").over(Window.partitionBy()).alias("all_"))
-    return ranked.join(F.broadcast(base), "part_").filter(F.col("base_") + F.col("nth_") <= F.floor(F.col("all_") * share)).drop("part_", "nth_", "base_", "all_")

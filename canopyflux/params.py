@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import importlib
 from dataclasses import dataclass
+from typing import Any
 
 #: Marker of a missing reflectance in source images.
 NODATA = 65535
@@ -10,6 +12,12 @@ NODATA = 65535
 NDVI_SCALE = 10000
 
 
+def named(path: str) -> Any:
+    """What a dotted name stands for, such as a fitter; an error if there is no such thing."""
+    module, _, name = path.rpartition(".")
+    return getattr(importlib.import_module(module), name)
+
+
 @dataclass(frozen=True)
 class CcdParams:
     """Defaults are fixed values that results depend on."""

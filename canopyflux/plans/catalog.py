@@ -5,8 +5,6 @@ Where SQL can express only a part of an operator, that part is a query of its ow
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,26 +13,10 @@ from canopyflux.functions.geodesy import tm_forward, tm_inverse
 from canopyflux.operators import detect, graph, raster, refdb, segments, series, spatial, validation
 from canopyflux.operators.components import components, cut
 from canopyflux.plans import fixtures as fx
+from canopyflux.plans import scans  # noqa: F401  (registers its queries)
+from canopyflux.plans.registry import ORACLE_SQL, QUERIES, query  # noqa: F401
 from canopyflux.sources import images, tables
 
-Query = Callable[[SparkSession, str], DataFrame]
-
-QUERIES: dict[str, Query] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    """Registers a query under its name, with the SQL it must equal if there is one."""
-
-    def register(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return register
-
-
 # --- detection ---------------------------------------------------------------------------------------------------------
 
 
@@ -523,7 +505,7 @@ def most_recent_file(spark, sf_dir):
 
 @query("SELECT c_custkey FROM (SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) AS r, count(*) OVER () AS n FROM customer) WHERE r <= floor(n * 0.5)")
 def half_split(spark, sf_dir):
-    return spatial.first_part_of(fx.table(spark, sf_dir, "customer").select("c_custkey"), ["c_custkey"])
+    return refdb.first_part_of(fx.table(spark, sf_dir, "customer").select("c_custkey"), ["c_custkey"])
 
 
 # --- graph -------------------------------------------------------------------------------------------------------------

@@ -62,16 +62,23 @@ def scenes(collection: DataFrame, start: str, end: str, tile: str | None = None,
     return (out.filter(F.col("cloud_percent") <= clouds) if clouds is not None else out).orderBy("acq_date", "id")
 
 
+def scenes_in_box(collection: DataFrame, bounds: tuple[float, float, float, float], start: str, end: str, clouds: float = 20) -> DataFrame:
+    """Scenes (id, acq_date, cloud_percent, min_x, min_y, max_x, max_y) that meet a box and have fewer clouds."""
+    x0, y0, x1, y1 = bounds
+    meets = (F.col("min_x") <= x1) & (F.col("max_x") >= x0) & (F.col("min_y") <= y1) & (F.col("max_y") >= y0)
+    return scenes(collection.filter(meets & (F.col("cloud_percent") < clouds)), start, end)
+
+
 def first_and_last(listed: DataFrame, start: str, end: str) -> DataFrame:
     """One row: the first and the last acquisition date from start to end; nulls for none."""
     day = F.when(F.col("acq_date").between(F.lit(start).cast("date"), F.lit(end).cast("date")), F.col("acq_date"))
     return listed.agg(F.min(day).alias("first"), F.max(day).alias("last"))
 
 
-def first_match(scenes_df: DataFrame, other: DataFrame, key: str, order: str) -> DataFrame:
-    """Scenes with the first row, by ``order``, of another collection that has the same index."""
+def first_match(scenes_df: DataFrame, other: DataFrame, key: str, order: str, how: str = "inner") -> DataFrame:
+    """Scenes with the first row, by ``order``, of another collection that has the same index; with ``left`` the others stay."""
     first = other.groupBy(key).agg(*(F.min_by(c, F.struct(order, c)).alias(c) for c in other.columns if c != key))
-    return scenes_df.join(first, key)
+    return scenes_df.join(first, key, how)
 
 
 def first_overlapping(scenes_df: DataFrame, other: DataFrame, id_col: str, order: str, cell: float = 100_000.0) -> DataFrame:

@@ -7,6 +7,9 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from canopyflux.functions.columns import ms_to_date
+from canopyflux.operators.segments import explode_lists, parse_number_list
+
 VALIDATION_COLUMNS = ("tBreak", "tEnd", "tStart", "changeProb", "x_coord", "y_coord", "coeficientes")
 
 
@@ -51,13 +54,21 @@ def read_delimited(spark: SparkSession, path: str, schema: str | None = None) ->
     return (reader.schema(schema) if schema else reader).csv(path)
 
 
+def read_list_results(spark: SparkSession, path: str, lists: Sequence[str], whole: Sequence[str] = ()) -> DataFrame:
+    """Results whose columns hold lists as texts, such as ``[1.5, 2]``: one row for each place of the lists; ``whole`` ones become whole numbers."""
+    df = read_delimited(spark, path)
+    rows = explode_lists(df.withColumns({c: parse_number_list(c) for c in lists}), lists)
+    return rows.withColumns({c: F.col(c).cast("long") for c in whole})
+
+
 def write_delimited(df: DataFrame, folder: str, sep: str = ",") -> None:
     df.write.mode("overwrite").option("header", "true").option("sep", sep).csv(folder)
 
 
 def write_points(df: DataFrame, folder: str, x: str = "x_coord", y: str = "y_coord") -> None:
-    """Points as a Parquet table with a WKT geometry."""
-    df.withColumn("geometry", F.concat(F.lit("POINT ("), F.col(x).cast("string"), F.lit(" "), F.col(y).cast("string"), F.lit(")"))).write.mode("overwrite").parquet(folder)
+    """Points as a Parquet table with a WKT geometry; breaks have their date, too."""
+    dated = df.withColumn("tBreak_date", F.date_format(ms_to_date("tBreak"), "yyyy-MM-dd")) if "tBreak" in df.columns else df
+    dated.withColumn("geometry", F.concat(F.lit("POINT ("), F.col(x).cast("string"), F.lit(" "), F.col(y).cast("string"), F.lit(")"))).write.mode("overwrite").parquet(folder)
 
 
 def grid_lines(grid: DataFrame, width: int, nodata: int = -9999) -> DataFrame:

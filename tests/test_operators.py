@@ -3,6 +3,7 @@
 import datetime as dt
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from canopyflux.functions import columns as C
@@ -300,3 +301,34 @@ def test_polygons_in_polygons(spark):
         assert join(predicate="intersects") == [(1, "a"), (2, "a"), (4, "a"), (5, "a"), (5, "b"), (6, "a")]
         kept = {(r.id, r.name) for r in spatial.polygons_in_polygons(left, right, cell=cell, how="left").collect()}
         assert kept == {(1, "a"), (2, None), (3, None), (4, None), (5, None), (6, None)}
+
+
+def test_fitter_by_name():
+    from canopyflux.operators import kernel
+    from canopyflux.params import named
+
+    assert named("canopyflux.operators.kernel.fit_lasso") is kernel.fit_lasso
+    with pytest.raises(AttributeError):
+        named("canopyflux.operators.kernel.nothing")
+
+
+def test_parts_of_texts(spark):
+    texts = ["MULTIPOLYGON (((0 0, 4 0, 4 4, 0 0), (1 1, 2 1, 2 2, 1 1)), ((9 9, 10 9, 10 10, 9 9)))", "POLYGON ((0 0, 4 0, 4 4, 0 0))", "POINT (1 2)", None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", spatial.parse_parts(F.col("t")).alias("p"))
+    got = {r.i: [[(p.x, p.y) for p in ring] for ring in r.p] for r in df.collect()}
+    first = [(0.0, 0.0), (4.0, 0.0), (4.0, 4.0)]
+    assert got == {0: [first, [(9.0, 9.0), (10.0, 9.0), (10.0, 10.0)]], 1: [first], 2: [], 3: []}
+    at = df.select("i", spatial.inside_any(F.lit(9.8), F.lit(9.5), F.col("p")).alias("a"), spatial.inside_any(F.lit(3.0), F.lit(1.0), F.col("p")).alias("b"))
+    assert {r.i: (r.a, r.b) for r in at.collect()} == {0: (True, True), 1: (False, True), 2: (False, False), 3: (False, False)}
+
+
+def test_rows_are_numbered_over_partitions(spark):
+    df = spark.range(1000).select((F.col("id") * 7919 % 1000).alias("v"), F.lit(1).alias("nth_x")).repartition(13)
+    assert all(r.number == r.v + 1 for r in refdb.numbered_rows(df, ["v"]).collect())
+    assert refdb.numbered_rows(df.limit(0), ["v"]).count() == 0
+    assert sorted(r.v for r in refdb.first_part_of(df, ["v"], 0.25).collect()) == list(range(250))
+
+
+def test_lists_in_texts(spark):
+    df = spark.createDataFrame([("['a', 'b']",), ("a,b ",), ("[]",), (None,)], "t string").select(refdb.text_list(F.col("t")).alias("l"))
+    assert [r.l for r in df.collect()] == [["a", "b"], ["a", "b"], [], []]
