@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import functools
+import itertools
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -15,6 +19,8 @@ from canopyflux.operators.spatial import neighbour_pairs
 MAX_DISTANCE = 12.0
 MAX_DAYS = 30.0
 LEAST_EVENTS = 25
+#: Edges of a component that a task moves at once: some 250 MB of dictionaries.
+BLOCK_EDGES = 1_000_000
 
 
 def event_vertices(segments: DataFrame) -> DataFrame:
@@ -31,68 +37,161 @@ def event_edges(vertices: DataFrame, distance: float = MAX_DISTANCE, days: float
     return pairs.filter(one | both).select(F.col("a").alias("src"), F.col("b").alias("dst"))
 
 
+def settle(edges: np.ndarray, weights: np.ndarray, degree: np.ndarray, own: np.ndarray, mass: np.ndarray, total: float, rng: np.random.Generator) -> np.ndarray:
+    """``own`` after local moves: each vertex goes to the neighbouring community with the most gain, in seeded orders, until none gains.
+
+    edges: pairs of places of vertices. ``degree`` is by vertex and counts loops twice, ``mass`` by community.
+    """
+    own, mass = own.copy(), mass.copy()
+    neighbours: list[dict[int, float]] = [{} for _ in degree]
+    for (a, b), w in zip(edges.tolist(), weights.tolist(), strict=True):
+        if a != b:
+            neighbours[a][b] = neighbours[a].get(b, 0) + w
+            neighbours[b][a] = neighbours[b].get(a, 0) + w
+    moved = True
+    while moved:
+        moved = False
+        for v in rng.permutation(len(own)).tolist():
+            links: dict[int, float] = {}
+            for u, w in neighbours[v].items():
+                links[own[u]] = links.get(own[u], 0) + w
+            old = own[v]
+            mass[old] -= degree[v]
+            gain = lambda c: links.get(c, 0) - degree[v] * mass[c] / total  # noqa: B023, E731
+            best = max(sorted(links), key=gain, default=old)
+            if gain(best) <= gain(old) + 1e-12 * (1 + degree[v]):
+                best = old
+            mass[best] += degree[v]
+            own[v] = best
+            moved |= best != old
+    return own
+
+
 def louvain(n: int, edges: np.ndarray, weights: np.ndarray, seed: int = 123) -> np.ndarray:
     """Communities of vertices 0 to n - 1 by modularity: local moves in a seeded order, then the same on the merged graph."""
     labels = np.arange(n)
     rng = np.random.default_rng(seed)
     while True:
-        neighbours: list[dict[int, float]] = [{} for _ in range(n)]
-        loops = np.zeros(n)
-        for (a, b), w in zip(edges.tolist(), weights.tolist(), strict=True):
-            if a == b:
-                loops[a] += w
-            else:
-                neighbours[a][b] = neighbours[a].get(b, 0) + w
-                neighbours[b][a] = neighbours[b].get(a, 0) + w
-        degree = np.array([sum(x.values()) for x in neighbours]) + 2 * loops
-        total = degree.sum()
-        if not total:
+        degree = np.bincount(edges.ravel(), np.repeat(weights, 2), n)
+        if not degree.any():
             return labels
-        own, mass = np.arange(n), degree.copy()
-        moved_any = moved = True
-        while moved:
-            moved = False
-            for v in rng.permutation(n).tolist():
-                links: dict[int, float] = {}
-                for u, w in neighbours[v].items():
-                    links[own[u]] = links.get(own[u], 0) + w
-                old = own[v]
-                mass[old] -= degree[v]
-                gain = lambda c: links.get(c, 0) - degree[v] * mass[c] / total  # noqa: B023, E731
-                best = max(sorted(links), key=gain, default=old)
-                if gain(best) <= gain(old) + 1e-12:
-                    best = old
-                mass[best] += degree[v]
-                own[v] = best
-                moved |= best != old
-        names, own = np.unique(own, return_inverse=True)
-        moved_any = len(names) < n
+        names, own = np.unique(settle(edges, weights, degree, np.arange(n), degree, degree.sum(), rng), return_inverse=True)
         labels = own[labels]
-        if not moved_any:
+        if len(names) == n:
             return labels
-        n = len(names)
-        edges = own[edges]
+        n, edges = len(names), own[edges]
+
+
+def settled(edges: DataFrame, seed: int, level: int, block_edges: int) -> DataFrame:
+    """(v, c): the vertices of (root, a, b, w) after local moves until no vertex gains by any; c is the smallest vertex of its community.
+
+    In each round every vertex that would gain names the community that it would best go to. A community points to that
+    one of highest rank, by a hash that changes with the round, among itself, those that it names and those that name it;
+    four such steps lead to its block. A block is a task: it moves its vertices among its own communities, whose masses and
+    links it knows whole, so that the gains are exact and blocks don't disturb each other. The community of highest rank
+    meets all that it names or is named by, so that each round raises the modularity and the rounds end. Where all that
+    would move in a component holds at most ``block_edges`` edges, it is one block. Else a block is some communities about
+    one of high rank, with the edges between their vertices; these must fit into a task.
+    """
+    weight = edges.select("root", F.col("a").alias("v"), "w").unionByName(edges.select("root", F.col("b").alias("v"), "w"))
+    degree = weight.groupBy("root", "v").agg(F.sum("w").alias("d"))
+    nodes = cut(degree.join(degree.groupBy("root").agg(F.sum("d").alias("total")), "root").withColumn("c", F.col("v")))
+    between = edges.filter("a <> b")
+    for step in itertools.count():
+        at = nodes.join(nodes.groupBy("c").agg(F.sum("d").alias("m")), "c").select("v", "total", F.struct("d", "c", "m").alias("at"))
+        ends = cut(between.join(at.select(F.col("v").alias("a"), F.col("at").alias("x"), "total"), "a").join(at.select(F.col("v").alias("b"), F.col("at").alias("y")), "b"))
+        wanted = cut(_wanted(ends))
+        if wanted.isEmpty():
+            break
+        near = wanted.unionByName(wanted.select("root", F.col("other").alias("c"), F.col("c").alias("other")))
+        near = near.unionByName(near.select("root", "c", F.col("c").alias("other")))
+        rank = F.struct(F.xxhash64("other", F.lit(seed), F.lit(level), F.lit(step)), "other")
+        blocks = near.groupBy("c").agg(F.max_by("other", rank).alias("block"))
+        for _ in range(2):
+            blocks = blocks.join(blocks.select(F.col("c").alias("block"), F.col("block").alias("to")), "block").select("c", F.col("to").alias("block"))
+        inner = ends.join(blocks.select(F.col("c").alias("p"), F.col("block").alias("block_x")), F.col("x.c") == F.col("p")).drop("p")
+        inner = cut(inner.join(blocks.select(F.col("c").alias("q"), "block"), F.col("y.c") == F.col("q")).drop("q"))
+        inner = inner.join(inner.groupBy("root").agg((F.count("*") <= block_edges).alias("one")), "root")
+        dealt = inner.filter("one or block = block_x").withColumn("block", F.when(F.col("one"), F.col("root")).otherwise(F.col("block")))
+        flat = [F.col(f"{e}.{k}").alias(f"{e}_{k}") for e in "xy" for k in "dcm"]
+        moved = dealt.select("root", "block", "a", "b", "w", "total", *flat).groupBy("root", "block").applyInArrow(_mover([seed, level, step]), "v long, to long")
+        nodes = cut(nodes.join(moved, "v", "left").select("root", "v", "d", "total", F.coalesce("to", "c").alias("c")))
+    names = nodes.groupBy("c").agg(F.min("v").alias("name"))
+    return nodes.join(names, "c").select("v", F.col("name").alias("c"))
 
 
-def communities(edges: DataFrame, seed: int = 123) -> DataFrame:
+def _wanted(ends: DataFrame) -> DataFrame:
+    """(root, c, other): communities of which a vertex would gain by going to another one, its best."""
+    one, other = (ends.select("root", "total", "w", F.col(v).alias("v"), F.col(f"{e}.d").alias("d"), F.col(f"{e}.c").alias("own"), F.col(f"{e}.m").alias("own_m"), F.col(f"{u}.c").alias("c"), F.col(f"{u}.m").alias("m")) for v, e, u in (("a", "x", "y"), ("b", "y", "x")))
+    vertex = ["root", "v", "total", "d", "own", "own_m"]
+    links = one.unionByName(other).groupBy(*vertex, "c", "m").agg(F.sum("w").alias("links"))
+    away = F.when(F.col("c") != F.col("own"), F.struct((F.col("links") - F.col("d") * F.col("m") / F.col("total")).alias("gain"), (-F.col("c")).alias("to")))
+    found = links.groupBy(*vertex).agg(F.max(away).alias("away"), F.coalesce(F.max(F.when(F.col("c") == F.col("own"), F.col("links"))), F.lit(0.0)).alias("links"))
+    stay = F.col("links") - F.col("d") * (F.col("own_m") - F.col("d")) / F.col("total")
+    return found.filter(F.col("away.gain") > stay + 1e-9 * (1 + F.col("d"))).select("root", F.col("own").alias("c"), (-F.col("away.to")).alias("other")).distinct()
+
+
+def _mover(seed: list[int]) -> Callable[[pa.Table], pa.Table]:
+    def run(table: pa.Table) -> pa.Table:
+        column = lambda *names: np.column_stack([table.column(x).to_numpy() for x in names])
+        ids, places = np.unique(column("a", "b"), return_inverse=True)
+        names, group = np.unique(column("x_c", "y_c"), return_inverse=True)
+        places, group = places.reshape(-1, 2), group.reshape(-1, 2)
+        degree, own, mass = np.zeros(len(ids)), np.zeros(len(ids), np.int64), np.zeros(len(names))
+        degree[places], own[places], mass[group] = column("x_d", "y_d"), group, column("x_m", "y_m")
+        now = settle(places, table.column("w").to_numpy(), degree, own, mass, table.column("total")[0].as_py(), np.random.default_rng(seed))
+        return pa.table({"v": ids[now != own], "to": names[now[now != own]]})
+
+    return run
+
+
+def communities(edges: DataFrame, seed: int = 123, block_edges: int = BLOCK_EDGES) -> DataFrame:
     """(id, community_id): modularity communities; each is named by its smallest vertex.
 
-    Components are found on the cluster, and each is a task's group, whatever its size: a component must fit into a task.
+    Local moves until no vertex gains, then the same on the graph of communities, until nothing moves. A component of at
+    most ``block_edges`` edges, as it is or once it is merged so far, is one task; a larger one moves in blocks (see
+    :func:`settled`). Both stop only where no vertex gains. Results are the same for the same edges, in any order.
     """
     edges = cut(edges)
     named = components(edges.select(F.col("src").alias("a"), F.col("dst").alias("b")))
     owners = named.unionByName(named.select(F.col("root").alias("node"), "root").distinct())
-    dealt = edges.join(owners, F.col("src") == F.col("node")).select("root", "src", "dst")
+    dealt = edges.join(owners, F.col("src") == F.col("node")).select("root", F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"))
+    graph = cut(dealt.groupBy("root", "a", "b").agg(F.count("*").cast("double").alias("w")))
+    small, members = [], None
+    for level in itertools.count():
+        large = cut(graph.groupBy("root").agg(F.count("*").alias("edges")).filter(F.col("edges") > block_edges).select("root"))
+        if large.isEmpty():
+            small.append(graph)
+            break
+        small.append(graph.join(large, "root", "left_anti"))
+        graph = graph.join(large, "root", "left_semi")
+        placed = cut(settled(graph, seed, level, block_edges))
+        if placed.filter("v <> c").isEmpty():
+            break
+        members = placed.withColumnRenamed("v", "id") if members is None else cut(_followed(members, placed))
+        graph = graph.join(placed.select(F.col("v").alias("a"), F.col("c").alias("x")), "a").join(placed.select(F.col("v").alias("b"), F.col("c").alias("y")), "b")
+        graph = cut(graph.groupBy("root", F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.sum("w").alias("w")))
 
     def run(table: pa.Table) -> pa.Table:
-        ends = np.column_stack([table.column("src").to_numpy(), table.column("dst").to_numpy()])
+        ends = np.column_stack([table.column("a").to_numpy(), table.column("b").to_numpy()])
         ids, places = np.unique(ends, return_inverse=True)
-        labels = louvain(len(ids), places.reshape(ends.shape), np.ones(len(ends)), seed)
+        labels = louvain(len(ids), places.reshape(ends.shape), table.column("w").to_numpy(), seed)
         first = np.full(labels.max() + 1, len(ids))
         np.minimum.at(first, labels, np.arange(len(ids)))
         return pa.table({"id": ids, "community_id": ids[first[labels]]})
 
-    return dealt.groupBy("root").applyInArrow(run, "id long, community_id long")
+    found = functools.reduce(DataFrame.unionByName, small).groupBy("root").applyInArrow(run, "id long, community_id long")
+    if members is None:
+        return found
+    found = cut(found)
+    merged = members.join(found.withColumnRenamed("id", "c"), "c", "left").select("id", F.coalesce("community_id", "c").alias("community_id"))
+    return found.join(members, "id", "left_anti").unionByName(merged)
+
+
+def _followed(members: DataFrame, placed: DataFrame) -> DataFrame:
+    """(id, c): where the communities c of ``members`` went; those that ``placed`` doesn't hold stay."""
+    went = placed.select(F.col("v").alias("c"), F.col("c").alias("to"))
+    return members.join(went, "c", "left").select("id", F.coalesce("to", "c").alias("c"))
 
 
 def community_stats(vertices: DataFrame, members: DataFrame, least: int = LEAST_EVENTS) -> DataFrame:

@@ -137,6 +137,35 @@ def test_communities_use_one_method_at_every_size(spark):
     assert {x.id: x.community_id for x in graph.communities(df).collect()} == got and len(set(got.values())) > 2
 
 
+def test_components_beyond_a_task_move_in_blocks(spark):
+    """Two components, with repeated edges and a loop; blocks of a few edges end where no vertex gains, as one task does."""
+    r = np.random.default_rng(5)
+    block = r.integers(0, 4, 48)
+    edges = [(i, j) for i in range(48) for j in range(i) if r.random() < (0.5 if block[i] == block[j] else 0.05)]
+    edges += edges[:9] + [(7, 7)] + [(100, 101), (101, 102)]
+
+    def modularity(got):
+        edges_, inner, mass = edges[:-2], 0, {}
+        for i, j in edges_:
+            inner += got[i] == got[j]
+            for v in (i, j):
+                mass[got[v]] = mass.get(got[v], 0) + 1
+        return inner / len(edges_) - sum((m / (2 * len(edges_))) ** 2 for m in mass.values())
+
+    df = spark.createDataFrame(edges, "src long, dst long")
+    one, many = ({x.id: x.community_id for x in graph.communities(df, block_edges=n).collect()} for n in (1000, 25))
+    assert set(one) == set(many) == {v for e in edges for v in e} and many[100] == many[101] == many[102] == 100
+    assert all(min(v for v in many if many[v] == c) == c for c in many.values())
+    assert modularity(many) > 0.95 * modularity(one) > 0.3
+    weights = {}
+    for i, j in edges[:-2]:
+        weights[min(i, j), max(i, j)] = weights.get((min(i, j), max(i, j)), 0.0) + 1
+    moved = graph.settled(spark.createDataFrame([(0, a, b, w) for (a, b), w in weights.items()], "root long, a long, b long, w double"), 123, 0, 25)
+    moved = {x.v: x.c for x in moved.collect()}
+    best = modularity(moved)
+    assert all(modularity(moved | {v: c}) <= best + 1e-9 for v in moved for c in set(moved.values()))
+
+
 def test_sorted_row_pairs_hold_the_ties(spark):
     from canopyflux.plans.catalog import ORACLE_SQL, QUERIES
     from tests.helpers import SF, spark_rows, sql_rows
