@@ -204,6 +204,7 @@ def neighbour_pairs(points: DataFrame, distance: float, id_col: str = "id", x: s
     """(a, b) with a < b of points at most ``distance`` apart, and the carried columns of both with suffixes _a and _b.
 
     Cells have the side ``distance``, so partners are in the cell or in one of its eight neighbours: an equi join on cells.
+    Neither side is broadcast: sizes estimated from packed files can be a small part of the rows'.
     """
     own = points.select(F.col(id_col).alias("a"), F.col(x).alias("x_a"), F.col(y).alias("y_a"), *(F.col(c).alias(f"{c}_a") for c in carry))
     around = F.array(*(F.struct((_cell(F.col("x_a"), distance) + i).alias("i"), (_cell(F.col("y_a"), distance) + j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)))
@@ -213,7 +214,7 @@ def neighbour_pairs(points: DataFrame, distance: float, id_col: str = "id", x: s
         F.struct(_cell(F.col(x), distance).alias("i"), _cell(F.col(y), distance).alias("j")).alias("cell"),
     )
     square = F.pow(F.col("x_a") - F.col("x_b"), 2) + F.pow(F.col("y_a") - F.col("y_b"), 2)
-    return left.join(right, "cell").filter((F.col("a") < F.col("b")) & (square <= distance * distance)).drop("cell")
+    return left.join(right.hint("merge"), "cell").filter((F.col("a") < F.col("b")) & (square <= distance * distance)).drop("cell")
 
 
 def assign_tile(features: DataFrame, tiles: DataFrame, id_col: str, tile_col: str, cell: float = 100_000.0) -> DataFrame:

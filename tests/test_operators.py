@@ -120,6 +120,26 @@ def test_event_components_equal_brute_force(spark):
     assert want and {r.root: r.events for r in QUERIES["event_components"](spark, SF).collect()} == want
 
 
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("query", ["event_edges"])
+def test_event_tables_are_not_broadcast(spark, monkeypatch, query):
+    """Files a tenth of their rows' size look small enough to broadcast; the driver's memory doesn't hold the rows."""
+    from canopyflux.plans import catalog
+    from tests.helpers import SF
+
+    plans = []
+    put = lambda edges: plans.append(_plan(edges)) or spark.createDataFrame([(1, 1)], "id long, community_id long")
+    monkeypatch.setattr(graph, "communities", put)
+    monkeypatch.setattr(catalog, "components", lambda edges: put(edges).toDF("node", "root"))
+    plans.append(_plan(catalog.QUERIES[query](spark, SF)))
+    assert len(plans) == 1 + (query != "event_edges")
+    joined = [p for p in plans if "Join" in p]
+    assert len(joined) == (2 if query.startswith("community") else 1) and "Broadcast" not in "".join(plans)
+
+
 def test_communities_are_a_partition_of_good_modularity(spark):
     groups = [range(0, 12), range(12, 24), range(24, 36)]
     edges = [(i, j) for g in groups for i in g for j in g if i < j] + [(0, 12), (12, 24)]
