@@ -194,10 +194,15 @@ def _followed(members: DataFrame, placed: DataFrame) -> DataFrame:
     return members.join(went, "c", "left").select("id", F.coalesce("to", "c").alias("c"))
 
 
+def _placed(vertices: DataFrame, members: DataFrame) -> DataFrame:
+    """The vertices with their communities; neither table is broadcast, however small its files are."""
+    return vertices.join(members.hint("merge"), "id")
+
+
 def community_stats(vertices: DataFrame, members: DataFrame, least: int = LEAST_EVENTS) -> DataFrame:
     """(community_id, events, tBreak_mean, tBreak_min, tBreak_max) over breaks, of communities with enough events."""
     at = F.when(F.col("is_break") == 1, F.col("tBreak_days"))
-    found = vertices.join(members, "id").groupBy("community_id").agg(F.count("*").alias("events"), F.avg(at).alias("tBreak_mean"), F.min(at).alias("tBreak_min"), F.max(at).alias("tBreak_max"))
+    found = _placed(vertices, members).groupBy("community_id").agg(F.count("*").alias("events"), F.avg(at).alias("tBreak_mean"), F.min(at).alias("tBreak_min"), F.max(at).alias("tBreak_max"))
     return found.filter(F.col("events") >= least)
 
 
