@@ -259,7 +259,7 @@ def concave_hull(points: np.ndarray, concavity: float = 2.0) -> np.ndarray:
 
 def hulls(vertices: DataFrame, members: DataFrame, least: int = LEAST_EVENTS, concavity: float = 2.0) -> DataFrame:
     """(community_id, events, ring): the hull of each community with enough events."""
-    rows = vertices.join(members, "id").select("community_id", F.col("x_coord").cast("double").alias("x"), F.col("y_coord").cast("double").alias("y"))
+    rows = _placed(vertices, members).select("community_id", F.col("x_coord").cast("double").alias("x"), F.col("y_coord").cast("double").alias("y"))
 
     def run(table: pa.Table) -> pa.Table:
         if table.num_rows < least:

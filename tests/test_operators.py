@@ -124,7 +124,7 @@ def _plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("query", ["event_edges", "event_components", "louvain_communities", "community_figures"])
+@pytest.mark.parametrize("query", ["event_edges", "event_components", "louvain_communities", "community_figures", "community_hulls"])
 def test_event_tables_are_not_broadcast(spark, monkeypatch, query):
     """Files a tenth of their rows' size look small enough to broadcast; the driver's memory doesn't hold the rows."""
     from canopyflux.plans import catalog
