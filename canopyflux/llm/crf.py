@@ -27,16 +27,33 @@ class Crf:
     def labels(self) -> int:
         return len(self.pair)
 
-    def decode(self, sentences: Sequence[tuple[np.ndarray, np.ndarray, np.ndarray]], most: int = 20_000) -> list[np.ndarray]:
-        """The best labels of each sentence. A sentence is its summed own, left and right scores by word and label.
+    def gain(self, score: np.ndarray) -> np.ndarray:
+        """At most what each word adds to a path by another label than 0, whatever the label before it is."""
+        into = (self.pair - self.pair[0, 0]).max(0)
+        return (score[:, 1:] - score[:, :1] + into[1:]).max(1).astype(float)
+
+    def doubtful(self, gain: np.ndarray) -> np.ndarray:
+        """The words that can have another label than 0 in a best path; all others are certain.
+
+        A run of such words gains the sum of ``gain`` at most, and what the way back to 0 adds. Where no run through a word
+        can gain, the run would be better outside.
+        """
+        total = np.cumsum(gain)
+        least = np.minimum.accumulate(np.r_[0.0, total[:-1]])
+        most = np.maximum.accumulate(total[::-1])[::-1]
+        back = float((self.pair[1:, 0] - self.pair[0, 0]).max())
+        return most - least + back > -1e-3
+
+    def decode(self, sentences: Sequence[np.ndarray], most: int = 20_000) -> list[np.ndarray]:
+        """The best labels of each sentence. A sentence is its scores by word and label: own, left and right summed.
 
         Sentences of like length are decoded together, about ``most`` words at once.
         """
         out: list[np.ndarray] = [np.empty(0, np.int8)] * len(sentences)
-        order = sorted(range(len(sentences)), key=lambda i: len(sentences[i][0]))
+        order = sorted(range(len(sentences)), key=lambda i: len(sentences[i]))
         group: list[int] = []
         for i in order:
-            if group and (len(group) + 1) * len(sentences[i][0]) > most:
+            if group and (len(group) + 1) * len(sentences[i]) > most:
                 self._viterbi(sentences, group, out)
                 group = []
             group.append(i)
@@ -45,14 +62,13 @@ class Crf:
         return out
 
     def _viterbi(self, sentences, group: list[int], out: list[np.ndarray]) -> None:
-        lengths = np.array([len(sentences[i][0]) for i in group])
+        lengths = np.array([len(sentences[i]) for i in group])
         n, steps = len(group), int(lengths.max(initial=0))
         if not steps:
             return
         score = np.zeros((steps, n, self.labels), np.float32)
         for k, i in enumerate(group):
-            own, left, right = sentences[i]
-            score[: lengths[k], k] = own + left + right
+            score[: lengths[k], k] = sentences[i]
         best = self.pair[0] + score[0]
         back = np.zeros((steps, n, self.labels), np.int8)
         rows = np.arange(n)

@@ -4,9 +4,9 @@ Base spans are fixed patterns with checks (e-mail, IPv4 address, payment card, p
 (:mod:`.crf`) labels words by their shapes, those of their neighbours and cues before them, and finds what the patterns
 leave: spelt-out addresses, phones without a plus sign, identity and account numbers, secrets such as keys and passwords,
 names after a title or a cue, and postal addresses. It is trained from a small labelled table (:func:`labelled_rows`) with
-a fixed seed each time it is needed, which takes seconds. Only words near a trigger (a digit, ``@``, ``=``, a word such as
-"password", "Mrs" or "Street", or "at" and "dot" as parts of an address) can be labelled, in training as in use; everything
-else is outside by definition, so that a text falls into short sentences that are decoded together. Words end at white
+a fixed seed each time it is needed, which takes seconds. Every word of a text is labelled, and a text is one chain of words.
+Words of which no run around them can gain by another label than "outside" (:meth:`.crf.Crf.doubtful`) part the chain into short
+ones that are decoded together, with the same result as for the whole; in training as in use no word is left out. Words end at white
 space and at the signs that join fields (comma, semicolon, ampersand, question mark, quotes and the like), and whole words
 are looked at, however long they are. A name or a password without any cue is not found.
 
@@ -23,8 +23,10 @@ one by one, so that repeated rows get equal results and an empty table an empty
 from __future__ import annotations
 
 import hashlib
+import itertools
 import random
 import re
+from bisect import bisect_right
 from collections.abc import Sequence
 from functools import lru_cache
 
@@ -34,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from . import crf
-from .common import core, slices, texts
+from .common import Memory, core, slices, texts
 
 Span = tuple[str, int, int]
 
@@ -100,14 +102,9 @@ SECRETS = "password passwd passcode passphrase pwd pass secret token key pin log
 NUMBERS = "ssn iban passport account id licence license insurance tax".split()
 PHONES = "phone tel telephone call fax mobile cell whatsapp".split()
 CLASSES = {w: kind for kind, words in (("title", TITLES), ("named", NAMED), ("street", STREETS), ("secret", SECRETS), ("number", NUMBERS), ("phone", PHONES)) for w in words}
+KINDS_OF_CUES = sorted(set(CLASSES.values()))
 #: Words whose meaning counts beside their shape.
 CUES = frozenset("at dot is my the by for to com org net of in page chapter year version licensed api required reset box apt suite floor lives live".split()) | frozenset(CLASSES)
-#: Words that make a sentence of the words around them, without a digit or a sign.
-_TRIGGER_WORDS = [*TITLES, "name", "sincerely", "regards", "signed", "attn", "password", "passwd", "passcode", "passphrase", "pwd", "dot"]
-_TRIGGER = re.compile(r"[0-9@=]|[\[({](?:at|dot)[\])}]")
-_TRIGGER_WORD = re.compile(rf"(?<![^\W_])(?:{'|'.join(_TRIGGER_WORDS)})(?![^\W_])", re.I)
-#: Words on both sides of a trigger that belong to its sentence; a trigger word has more.
-NEAR, NEAR_WORD = 3, 5
 #: Words before a word in which a cue is sought.
 BACK = 3
 _RUNS = re.compile(r"[A-Z]+|[a-z]+|[0-9]+")
@@ -174,24 +171,16 @@ def before(words: Sequence[str]) -> str | None:
     return None
 
 
-def segments(text: str) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
-    """The places of all words, and the sentences as ranges of words: those near a trigger."""
-    marks = [m.start() for m in _TRIGGER.finditer(text)]
-    named = [m.start() for m in _TRIGGER_WORD.finditer(text)]
-    if not marks and not named:
-        return [], []
-    words = [m.span() for m in _WORD.finditer(text)]
-    if not words:
-        return [], []
-    starts = np.fromiter((w[0] for w in words), np.int64, len(words))
-    near = np.zeros(len(words) + 1, np.int64)
-    for places, reach in ((marks, NEAR), (named, NEAR_WORD)):
-        hit = np.unique(np.maximum(np.searchsorted(starts, np.array(places, np.int64), "right") - 1, 0))
-        np.add.at(near, np.maximum(hit - reach, 0), 1)
-        np.add.at(near, np.minimum(hit + reach + 1, len(words)), -1)
-    near = np.flatnonzero(np.cumsum(near[:-1]) > 0)
-    cuts = np.flatnonzero(np.diff(near) > 1)
-    return words, list(zip(near[np.r_[0, cuts + 1]].tolist(), (near[np.r_[cuts, len(near) - 1]] + 1).tolist(), strict=True))
+_STOPS = ".,;:!"
+
+
+def typical(word: str) -> str:
+    """A word with the same features: plain words in small letters, or with a capital first, are one but for cues."""
+    body = word[:-1] if word[-1:] in _STOPS else word
+    if not (body.isascii() and body.isalpha()) or len(body) < 2 or body.lower() in CUES:
+        return word
+    rest = word[len(body) :]
+    return f"zz{rest}" if body.islower() else f"Zz{rest}" if body[0].isupper() and body[1:].islower() else word
 
 
 # --- the labelled table ------------------------------------------------------------------------------------------------
@@ -296,65 +285,130 @@ def labelled_rows(rows: int = 1500, seed: int = 11) -> list[tuple[str, list[Span
     return out
 
 
+def plain_rows(rows: int = 300, seed: int = 12) -> list[tuple[str, list[Span]]]:
+    """Texts without personal data, made by rule: words and cues in any case, with signs and stops, accents and repeats."""
+    r = random.Random(seed)
+    pick = r.choice
+    cues = sorted(CUES - set(CLASSES) - {"dot", "com", "org", "net"}) + ["at", "st"] * 2
+    out = []
+    for _ in range(rows):
+        letters = pick(["abcdefghijklmnoprstuvwy"] * 3 + ["abcdeéèçñöüßaiou", "éèàùçêîôû"])
+        word = lambda: pick(cues) if r.random() < 0.25 else "".join(pick(letters) for _ in range(r.randint(1, 10)))  # noqa: B023, E731
+        capital, loud, signed, stop = pick([0, 0, 0.1, 0.3, 1]), r.random() < 0.15, pick([0, 0, 0.2, 1]), pick([0, 0.1, 0.5])
+        words, most = [], r.randint(3, 40)
+        while len(words) < most:
+            w = word()
+            w = w.upper() if loud else w.capitalize() if r.random() < capital or words and words[-1][-1] in ".!?" else w
+            w += pick("#*$%&!?~^+/:=") * r.randint(1, 3) if r.random() < signed else ""
+            w += pick(".,;!?") if r.random() < stop else ""
+            words += [w] * (pick([2, 3, 20]) if r.random() < 0.05 else 1)
+        out.append((" ".join(words[:most]), []))
+    for _ in range(rows // 12):
+        w = "".join(pick("abcdeilmnorstu") for _ in range(r.randint(2, 8)))
+        out.append((" ".join([w.capitalize() + pick(["", ",", ".", ";"])] * r.randint(5, 40)), []))
+    return out
+
+
+#: Distinct words whose scores a worker remembers.
+REMEMBERED = 50_000
+#: Words that are scored at once.
+SCORED = 100_000
+
+
 class Model:
     """The trained random field and the numbers of its features."""
 
-    def __init__(self, rows: list[tuple[str, list[Span]]]) -> None:
+    def __init__(self, rows: list[tuple[str, list[Span]]], plain: list[tuple[str, list[Span]]] = ()) -> None:
+        """Features are those that occur in ``rows``."""
         self.number: dict[str, int] = {}
         sentences, labels = [], []
-        for text, spans in rows:
-            words, ranges = segments(text)
+        for text, spans in [*rows, *plain]:
+            words = [m.span() for m in _WORD.finditer(text)]
             tag = [0] * len(words)
             for kind, a, b in spans:
                 inside = [i for i, (x, y) in enumerate(words) if x < b and a < y]
                 for i in inside:
                     tag[i] = 2 * _ORDER[kind] + (1 if i == inside[0] else 2)
-            for lo, hi in ranges:
-                near = [text[slice(*words[i])] if 0 <= i < len(words) else "" for i in range(lo - 1, hi + 1)]
-                names = [features(w) for w in near]
-                for i in range(lo, hi):
-                    if told := before([text[slice(*w)] for w in words[max(0, i - BACK) : i]]):
-                        names[i - lo + 1] = [*names[i - lo + 1], told]
-                sentences.append([[self.number.setdefault(f, len(self.number)) for f in x] for x in names])
-                labels.append(tag[lo:hi])
-        self.crf = crf.train(sentences, labels, len(self.number), 2 * len(KINDS) + 1)
-
-    def scores(self, word: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            said = ["", *(text[slice(*w)] for w in words), ""]
+            names = [features(w) for w in said]
+            for i in range(1, len(said) - 1):
+                if told := before(said[max(1, i - BACK) : i]):
+                    names[i] = [*names[i], told]
+            if len(sentences) < len(rows):
+                for f in itertools.chain(*names):
+                    self.number.setdefault(f, len(self.number))
+            sentences.append([[self.number[f] for f in x if f in self.number] for x in names])
+            labels.append(tag)
+        self.crf = crf.train(sentences, labels, len(self.number), 2 * len(KINDS) + 1, steps=300)
+
+        self.memory = Memory(2 * REMEMBERED)
+        #: What a cue before a word adds to its scores: nothing, then by distance and class.
+        self.told = np.zeros((1 + BACK * len(KINDS_OF_CUES), 3, self.crf.labels), np.float32)
+        for k in range(BACK):
+            for c, kind in enumerate(KINDS_OF_CUES):
+                if (i := self.number.get(f"after:{kind}:{k}")) is not None:
+                    self.told[1 + k * len(KINDS_OF_CUES) + c] = self.crf.own[i], self.crf.left[i], self.crf.right[i]
+
+    def scores(self, word: str) -> np.ndarray:
+        """The own, left and right scores of a word by label."""
         known = [self.number[f] for f in features(word) if f in self.number]
-        return self.crf.own[known].sum(0), self.crf.left[known].sum(0), self.crf.right[known].sum(0)
-
-    def told(self, feature: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
-        """What :func:`before` adds to a word's scores."""
-        i = self.number.get(feature or "")
-        return None if i is None else (self.crf.own[i], self.crf.left[i], self.crf.right[i])
+        return np.array([x[known].sum(0) for x in (self.crf.own, self.crf.left, self.crf.right)])
 
 
 @lru_cache(1)
 def model() -> Model:
-    return Model(labelled_rows())
-
-
-#: Distinct words whose scores a worker remembers.
-REMEMBERED = 50_000
+    return Model(labelled_rows(), plain_rows())
+
+
+def _doubtful(found: Model, said: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The places of the words that may be labelled, and their scores by label. An empty word is the edge of a text."""
+    number: dict[str, int] = {"": 0}
+    of = {w: number.setdefault(typical(w), len(number)) for w in dict.fromkeys(said)}
+    for w in found.memory.missing(set(number)):
+        found.memory[w] = found.scores(w)
+    table = np.stack([found.memory[w] for w in number])
+    kinds = np.array([-1, *(1 + KINDS_OF_CUES.index(CLASSES[c]) if (c := cue(w)) in CLASSES else 0 for w in list(number)[1:])])
+    ids = np.fromiter(map(of.__getitem__, said), np.int64, len(said))
+    told, seeking = np.zeros(len(ids), np.int64), ids != 0
+    for k in range(min(BACK, len(ids) - 1)):
+        kind = np.r_[np.full(k + 1, -1), kinds[ids[: -k - 1]]]
+        hit = seeking & (kind > 0)
+        told[hit] = k * len(KINDS_OF_CUES) + kind[hit]
+        seeking &= kind == 0
+
+    def score(at: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(at), found.crf.labels), np.float32)
+        for part, i in enumerate((at, np.maximum(at - 1, 0), np.minimum(at + 1, len(ids) - 1))):
+            out += table[ids[i], part]
+            cued = np.flatnonzero(told[i])
+            out[cued] += found.told[told[i[cued]], part]
+        return out
+
+    gain = np.concatenate([found.crf.gain(score(np.arange(lo, min(lo + SCORED, len(ids))))) for lo in range(0, len(ids), SCORED)])
+    gain[ids == 0] = -1e4
+    at = np.flatnonzero(found.crf.doubtful(gain))
+    return at, score(at)
 
 
 def added_spans(found: Model, batch: list[str]) -> list[list[Span]]:
     """Spans that the random field labels in each text, whether or not base spans overlap them."""
-    scores = lru_cache(REMEMBERED)(found.scores)
-    sentences, owners = [], []
-    for k, text in enumerate(batch):
-        words, ranges = segments(text)
-        for lo, hi in ranges:
-            said = [text[slice(*words[i])] if 0 <= i < len(words) else "" for i in range(lo - 1 - BACK, hi + 1)]
-            near = [scores(w) for w in said[BACK:]]
-            if any(cue(w) in CLASSES for w in said):
-                for i in range(1, len(near) - 1):
-                    if (more := found.told(before(said[i : i + BACK]))) is not None:
-                        near[i] = tuple(a + b for a, b in zip(near[i], more, strict=True))
-            sentences.append((np.array([x[0] for x in near[1:-1]]), np.array([x[1] for x in near[:-2]]), np.array([x[2] for x in near[2:]])))
-            owners.append((k, words[lo:hi]))
+    said, starts = [""], []
+    for text in batch:
+        starts.append(len(said))
+        said += _WORD.findall(text)
+        said.append("")
+    at, scores = _doubtful(found, said)
+    chains = [x for x in np.split(np.arange(len(at)), np.flatnonzero(np.diff(at) > 1) + 1) if len(x)]
     out: list[list[Span]] = [[] for _ in batch]
-    for (k, words), tags in zip(owners, found.crf.decode(sentences), strict=True):
+    places: dict[int, list[tuple[int, int]]] = {}
+    for chain, tags in zip(chains, found.crf.decode([scores[x[0] : x[-1] + 1] for x in chains]), strict=True):
+        if not tags.any():
+            continue
+        first = int(at[chain[0]])
+        k = bisect_right(starts, first) - 1
+        if k not in places:
+            places[k] = [m.span() for m in _WORD.finditer(batch[k])]
+        words = places[k][first - starts[k] : first - starts[k] + len(chain)]
         text, i = batch[k], 0
         while i < len(words):
             if not tags[i]:
