@@ -132,13 +132,34 @@ def _optima(gram: np.ndarray, moments: np.ndarray, penalty: float, near: np.ndar
     diagonal = np.arange(gram.shape[0])
     system[:, diagonal, diagonal] += 1 - used
     try:
-        out = np.linalg.solve(system, (used * (moments - penalty * sign))[:, :, None])[:, :, 0]
+        out = np.linalg.solve(system, (used * (moments - penalty * sign))[:, :, None])[..., 0]
     except np.linalg.LinAlgError:
         return near, np.zeros(len(near), bool)
     rest = np.abs(moments - out @ gram) * (1 - used)
     return out, (out * sign >= used * 1e-300).all(1) & (rest <= penalty).all(1)
 
 
+def _nearby(gram: np.ndarray, moments: np.ndarray, penalty: float, near: np.ndarray, steps: int = 4) -> tuple[np.ndarray, np.ndarray]:
+    """As :func:`_optima`, but where the signs are wrong others are tried: terms that change theirs go, and the one that is
+    farthest out of bounds comes in. What is told to be an optimum is one, as it is held against the same conditions."""
+    out, right = _optima(gram, moments, penalty, near)
+    signs = np.sign(near)
+    for _ in range(steps):
+        wrong = np.flatnonzero(~right)
+        if not len(wrong):
+            break
+        sign, rest = signs[wrong], moments[wrong] - out[wrong] @ gram
+        turned = (sign != 0) & (out[wrong] * sign <= 0)
+        beyond = np.where(sign == 0, np.abs(rest), 0.0)
+        term, rows = beyond.argmax(1), np.arange(len(wrong))
+        into = (beyond[rows, term] > penalty) & ~turned.any(1)
+        sign[turned] = 0
+        sign[rows[into], term[into]] = np.sign(rest[rows[into], term[into]])
+        signs[wrong] = sign
+        out[wrong], right[wrong] = _optima(gram, moments[wrong], penalty, sign)
+    return out, right
+
+
 def lasso(gram: np.ndarray, moment: np.ndarray, square: float, penalty: float, sweeps: int, tolerance: float = 1e-4) -> np.ndarray:
     """Coordinate descent on centred sums: gram = X'X, moment = X'y, square = y'y, penalty = n * alpha.
 
@@ -181,7 +202,7 @@ def fit_lasso(terms: np.ndarray, values: np.ndarray, coefs: int, params: CcdPara
     """
     n, used = len(terms), coefs - 1
     x = terms[:, :used]
-    mean_x, mean_y = x.mean(0), values.mean(1)
+    mean_x, mean_y = np.add.reduce(x, 0) / n, np.add.reduce(values, 1) / n
     xc, yc = x - mean_x, values - mean_y[:, None]
     weights = np.zeros((len(values), terms.shape[1]))
     if params.alpha:
@@ -189,7 +210,7 @@ def fit_lasso(terms: np.ndarray, values: np.ndarray, coefs: int, params: CcdPara
         if near is None:
             right = np.zeros(len(values), bool)
         else:
-            weights[:, :used], right = _optima(gram, moments.T, n * params.alpha, near.coefficients[:, :used])
+            weights[:, :used], right = _nearby(gram, moments.T, n * params.alpha, near.coefficients[:, :used])
         for b in np.flatnonzero(~right):
             weights[b, :used] = lasso(gram, moments[:, b], float(squares[b]), n * params.alpha, params.lasso_max_iter)
     else:
@@ -211,7 +232,9 @@ def bisquare(residual: np.ndarray, c: float = 4.685) -> np.ndarray:
 
 def robust_scale(residual: np.ndarray, dropped: int = 4) -> float:
     """Median absolute residual without the smallest ones, as a standard deviation."""
-    return float(np.median(np.sort(np.abs(residual))[dropped:]) / 0.6745)
+    left = np.sort(np.abs(residual))[dropped:]
+    half = len(left) // 2
+    return float((left[half] if len(left) % 2 else (left[half - 1] + left[half]) / 2) / 0.6745) if half else float(np.median(left) / 0.6745)
 
 
 def _solve(x: np.ndarray, weights: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -339,7 +362,7 @@ class Detector:
 
     def _start(self, lo: int, hi: int) -> tuple[int, int, Fit | None]:
         """The next window of a year at least that is stable once cloudy observations are ruled out."""
-        p = self.p
+        p, fit = self.p, None
         while hi + p.meow_size < len(self.live):
             if self.dates[hi - 1] - self.dates[lo] < p.day_delta:
                 hi += 1
@@ -352,7 +375,7 @@ class Detector:
             if out.any():
                 self._rule_out(lo + np.flatnonzero(out))
                 hi -= int(out.sum())
-            fit = self._fit(lo, hi, 4)
+            fit = self._fit(lo, hi, 4, fit)
             if self._stable(fit, lo, hi):
                 return lo, hi, fit
             lo, hi = lo + 1, hi + 1

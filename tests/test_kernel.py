@@ -111,3 +111,22 @@ def test_smallest_mode_and_gaps():
     assert k.adjust_peek(np.arange(0, 100, 5), 6) == 19
     assert k.adjust_peek(np.zeros(10), 6) == 6
     assert k.adjust_peek(np.arange(0, 1000, 30), 6) == 6
+
+
+def test_fits_nearby_need_no_search(monkeypatch):
+    """Windows that differ by an observation mostly have signs that differ by a term; the optimum is found without a search, and is the same."""
+    from canopyflux.operators import kernel
+
+    r = np.random.default_rng(4)
+    days = 736000 + np.sort(r.choice(2500, 500, replace=False))
+    bands = [1000 * np.sin(days / 58.1 + k) + r.normal(0, 900, len(days)) for k in range(3)]
+    calls, search = [], kernel.lasso
+    monkeypatch.setattr(kernel, "lasso", lambda *a, **k: calls.append(1) or search(*a, **k))
+    got, mask = kernel.detect(days, *bands)
+    few = len(calls)
+    monkeypatch.setattr(kernel, "_nearby", lambda gram, moments, penalty, near: (near, np.zeros(len(near), bool)))
+    want, mask_ = kernel.detect(days, *bands)
+    assert (mask == mask_).all() and len(got) == len(want) and few < (len(calls) - few) / 20
+    for a, b in zip(got, want, strict=True):
+        assert (a.start_day, a.end_day, a.break_day, a.change_probability) == (b.start_day, b.end_day, b.break_day, b.change_probability)
+        np.testing.assert_allclose(a.coefficients, b.coefficients, rtol=1e-6, atol=1e-9)
