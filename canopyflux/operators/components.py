@@ -1,9 +1,10 @@
-"""Connected components of an edge table, by alternating star steps."""
+"""Connected components of an edge table, by merging neighbours."""
 
 from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,24 +29,47 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, root): the smallest node that can be reached from each node that has an edge to another one.
 
-    edges: (a, b). A large-star step links every larger neighbour of a node to the least of its neighbourhood, a small-star
-    step does so for the smaller ones. Both leave at most as many edges as there were, and O(log n) rounds or so suffice.
-    Each round is written to the shared folder, so that neither plans nor recomputation grow.
+    edges: (a, b). In each round every node points to that one of lowest rank among itself and its neighbours, by a hash that
+    changes with the round, and goes on to where that one points. Nodes that go to the same one are merged, and the edges
+    between merged nodes are all that the next round sees. No node goes to the one of highest rank, so that the rounds end;
+    how much a round leaves doesn't depend on how nodes are named. Back from the last round, each takes the root of the one
+    it went to. Each round is written to the shared folder, so that neither plans nor recomputation grow. Neither side of a
+    join is broadcast: packed files can be a small part of the rows.
     """
-    edges = cut(edges.select("a", "b").filter("a <> b").distinct())
-    before = None
-    for _ in range(rounds):
-        sides = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = sides.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
-        large = sides.filter("b > a").join(least, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        lowest = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(lowest, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(lowest.select("a", F.col("m").alias("b")))
-        edges = cut(small.filter("a <> b").distinct())
-        now = edges.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0))).first()
-        if now == before:
-            return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        before = now
-    raise RuntimeError(f"no end after {rounds} rounds")
+    spark = edges.sparkSession
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark).rstrip('/')}/components-{uuid.uuid4().hex}")
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        df.write.parquet(f"{folder}/{name}")
+        return spark.read.schema(df.schema).parquet(f"{folder}/{name}")
+
+    try:
+        edges, least, levels = kept(edges.select("a", "b").filter("a <> b"), "edges-0"), None, []
+        while not edges.isEmpty():
+            level = len(levels)
+            rank = lambda c: F.xxhash64(F.lit(level), c)  # noqa: B023, E731
+            sides = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+            best = sides.groupBy(F.col("a").alias("v")).agg(F.min_by("b", rank("b")).alias("m"))
+            best = best.select("v", F.when(rank("v") < rank("m"), F.col("v")).otherwise(F.col("m")).alias("m"))
+            best = best.join(best.select(F.col("v").alias("m"), F.col("m").alias("to")).hint("merge"), "m").select("v", F.col("to").alias("m"))
+            names = best.withColumn("least", F.col("v")) if least is None else least.join(best.hint("merge"), "v", "left").select("v", "m", "least")
+            levels.append(names := kept(names, f"names-{level}"))
+            least = names.filter("m IS NOT NULL").groupBy(F.col("m").alias("v")).agg(F.min("least").alias("least"))
+            to = names.filter("m IS NOT NULL")
+            for end in ("a", "b"):
+                edges = edges.join(to.select(F.col("v").alias(end), F.col("m").alias(f"{end}_m")).hint("merge"), end)
+            merged = edges.filter("a_m <> b_m").select(F.least("a_m", "b_m").alias("a"), F.greatest("a_m", "b_m").alias("b")).distinct()
+            edges = kept(merged, f"edges-{level + 1}")
+            files.delete(spark._jvm.org.apache.hadoop.fs.Path(folder, f"edges-{level}"), True)
+        if not levels:
+            return cut(edges.toDF("node", "root"))
+        roots = least.select("v", F.col("least").alias("root"))
+        for names in reversed(levels):
+            roots = names.join(roots.select(F.col("v").alias("m"), "root").hint("merge"), "m", "left").select("v", F.coalesce("root", "least").alias("root"))
+        return cut(roots.filter("v <> root").select(F.col("v").alias("node"), "root"))
+    finally:
+        files.delete(folder, True)

@@ -1,6 +1,7 @@
 """Operators on hand-made rows, and on empty tables and nulls."""
 
 import datetime as dt
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -120,6 +121,27 @@ def test_event_components_equal_brute_force(spark):
     assert want and {r.root: r.events for r in QUERIES["event_components"](spark, SF).collect()} == want
 
 
+def test_event_components_are_joined_without_a_broadcast(spark):
+    """Nor do rounds broadcast what a task has counted as small; what they write goes with them."""
+    from canopyflux.operators.components import shared_dir
+    from canopyflux.plans.catalog import QUERIES
+    from tests.helpers import SF
+
+    store, bus = spark._jsparkSession.sharedState().statusStore(), spark.sparkContext._jsc.sc().listenerBus()
+    runs = lambda: bus.waitUntilEmpty() or {x.executionId(): x.physicalPlanDescription() for x in map(store.executionsList().apply, range(store.executionsList().size()))}
+    before = runs()
+    assert QUERIES["event_components"](spark, SF).count() == 1
+    plans = [plan for k, plan in runs().items() if k not in before]
+    assert any("SortMergeJoin" in p for p in plans) and not any("Broadcast" in p for p in plans)
+    assert not list(Path(shared_dir(spark).removeprefix("file://")).glob("components-*"))
+
+
+def test_components_of_a_long_path_and_of_a_hub(spark):
+    path, hub = [(f"p{i:04}", f"p{i + 1:04}") for i in range(300)], [("z", f"h{i:04}") for i in range(300)]
+    got = {x.node: x.root for x in components(spark.createDataFrame(path + hub + hub + [("h0001", "z"), ("x", "x"), (None, "y")], "a string, b string")).collect()}
+    assert got == {b: "p0000" for _, b in path} | {b: "h0000" for _, b in hub[1:]} | {"z": "h0000"}
+
+
 def _plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
