@@ -1,5 +1,6 @@
 """Operators on hand-made rows, and on empty tables and nulls."""
 
+import collections
 import datetime as dt
 from pathlib import Path
 
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from canopyflux.functions import columns as C
 from canopyflux.operators import detect, graph, raster, refdb, segments, series, spatial, validation
-from canopyflux.operators.components import components
+from canopyflux.operators.components import components, neighbourhoods
 
 D = dt.date
 
@@ -179,6 +180,28 @@ def test_communities_use_one_method_at_every_size(spark):
     assert {x.id: x.community_id for x in graph.communities(df).collect()} == got and len(set(got.values())) > 2
 
 
+def test_large_components_move_in_parts_before_blocks(spark, monkeypatch):
+    """Forty groups in a row: what a part holds whole needs no round of moves between blocks, of which each reads all edges."""
+    edges = [(4 * k + i, 4 * k + j) for k in range(40) for i in range(4) for j in range(i + 1, 4)] + [(4 * k, 4 * k + 5) for k in range(39)]
+    rounds, mover = [], graph._mover
+    monkeypatch.setattr(graph, "_mover", lambda seed: rounds.append(seed) or mover(seed))
+    found = graph.communities(spark.createDataFrame(edges, "src long, dst long"), block_edges=100)
+    got = {x.id: x.community_id for x in found.collect()}
+    assert set(got) == set(range(160)) and all(got[4 * k + i] == got[4 * k] for k in range(40) for i in range(4))
+    assert sum(level == 0 for _, level, _ in rounds) <= 2
+
+
+def test_parts_hold_no_more_than_they_may(spark):
+    """Parts of a grid, by rounds and by the one task that ends them, are no larger than said, and not much smaller."""
+    edges = [(100 * x + y, 100 * x + y + d) for x in range(30) for y in range(5) for d in (1, 100)]
+    found = neighbourhoods(spark.createDataFrame(edges, "a long, b long"), 60).collect()
+    ends, parts = collections.Counter(v for e in edges for v in e), collections.defaultdict(set)
+    for r in found:
+        parts[r.part].add(r.v)
+    assert {r.v for r in found} == set(ends) and {r.root for r in found} == {0}
+    assert max(sum(map(ends.get, p)) for p in parts.values()) <= 60 and 600 / 60 <= len(parts) < len(ends) / 3
+
+
 def test_components_beyond_a_task_move_in_blocks(spark):
     """Two components, with repeated edges and a loop; blocks of a few edges end where no vertex gains, as one task does."""
     r = np.random.default_rng(5)
